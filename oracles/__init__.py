@@ -16,13 +16,33 @@ def _needs(name: str, seen: dict[str, None]) -> None:
             seen[ref] = None
 
 
+def _exact_rounding(sql: str) -> str:
+    """Round the decimal text of a double, as Spark and Python-style decimals do. DuckDB's own
+    half-even rounding of doubles works on a product with a power of ten and misses ties."""
+    out, at = [], 0
+    while (start := sql.find("round_even(", at)) >= 0:
+        depth, comma, end = 0, -1, start + len("round_even")
+        while True:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = end
+            if depth == 0:
+                break
+            end += 1
+        value = _exact_rounding(sql[start + len("round_even("):comma])
+        out += [sql[at:start], f"round_even(CAST(CAST(({value}) AS VARCHAR) AS DECIMAL(38,15)){sql[comma:end]})"]
+        at = end + 1
+    return "".join(out) + sql[at:]
+
+
 def sql_for(name: str) -> str:
     """The view's SQL with the views it reads, in order, as common table expressions."""
     seen: dict[str, None] = {}
     _needs(name, seen)
     seen[name] = None
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n].strip()}\n)" for n in seen)
-    return f"WITH {ctes}\nSELECT * FROM {name}"
+    return f"WITH {_exact_rounding(ctes)}\nSELECT * FROM {name}"
 
 
 def load() -> dict[str, str]:

@@ -31,7 +31,7 @@ SELECT 'AC-' || CAST(o_date AS VARCHAR) || '-' || sku_id || '-' || location_id |
   CASE WHEN o_custkey % 4 = 0 THEN 'COMMERCIAL' ELSE 'RETAIL' END AS customer_type,
   CASE WHEN o_custkey % 17 = 0 THEN 'INACTIVE' WHEN o_custkey % 19 = 0 THEN 'closed'
     WHEN o_custkey % 5 = 0 THEN NULL ELSE 'ACTIVE' END AS customer_status,
-  'S' || (o_custkey % 23) AS salesman_id, l_linenumber
+  'S' || ((o_custkey + l_linenumber) % 5) AS salesman_id, l_linenumber
 FROM order_lines
 """
 

@@ -24,6 +24,10 @@ NETWORK_MODEL = "rolling_avg_network"
 EXCLUDED_LOCATIONS = ("LOC-021", "LOC-014", "LOC-019", "LOC-022", "LOC-023", "LOC-030", "LOC-031")
 SALE_CODES = ("SL", "SL-I")
 FREEZE_CATEGORIES = ("electrical", "cooling")
+ACTION_RETURN = "Return to vendor"
+ACTION_MARKDOWN = "Markdown — price reduction"
+ACTION_WRITE_OFF = "Write off"
+ACTION_LIQUIDATE = "Liquidate / delist"
 CM_TO_INCH = 0.393701
 # --------------------------------------------------------------------------------------------------
 

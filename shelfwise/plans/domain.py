@@ -60,7 +60,7 @@ def sales(c):
         _e("case when o_custkey % 4 = 0 then 'COMMERCIAL' else 'RETAIL' end as customer_type"),
         _e("case when o_custkey % 17 = 0 then 'INACTIVE' when o_custkey % 19 = 0 then 'closed'"
            " when o_custkey % 5 = 0 then null else 'ACTIVE' end as customer_status"),
-        _e("concat('S', o_custkey % 23) as salesman_id"),
+        _e("concat('S', (o_custkey + l_linenumber) % 5) as salesman_id"),
         "l_linenumber")
 
 

@@ -76,7 +76,7 @@ if __name__ == "__main__":
 
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracle, bad = entry.queries(), entry.oracle_sql(), 0
