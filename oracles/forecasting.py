@@ -102,7 +102,7 @@ FROM (SELECT sku_id, location_id, greatest(0, coalesce(avg(demand) FILTER (WHERE
 """
 
 VIEWS["weather_streaks"] = """
-SELECT *, coalesce(temp_min_f < 32 AND temp_max_f >= 32, FALSE) AS freeze_thaw_cycle,
+SELECT * EXCLUDE (cold, island), coalesce(temp_min_f < 32 AND temp_max_f >= 32, FALSE) AS freeze_thaw_cycle,
   sum(cold) OVER (PARTITION BY island ORDER BY log_date)::INTEGER AS consecutive_freeze_days
 FROM (SELECT *, sum(1 - cold) OVER (ORDER BY log_date) AS island
   FROM (SELECT *, CASE WHEN coalesce(temp_min_f < 32, FALSE) THEN 1 ELSE 0 END AS cold FROM weather))
