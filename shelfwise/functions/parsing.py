@@ -37,8 +37,10 @@ def yes(c: Column) -> Column:
 
 def location_code(c: Column) -> Column:
     """'25-CPW - DC' -> 'LOC-025'; text without a leading number is kept."""
-    n = F.trim(F.split_part(c, F.lit("-"), F.lit(1))).try_cast("int")
-    return F.when(n.isNotNull(), F.format_string("LOC-%03d", n)).otherwise(c)
+    head = F.trim(F.split_part(c, F.lit("-"), F.lit(1)))
+    digits = F.regexp_replace(head, "^0+(?=[0-9])", "")
+    padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    return F.when(head.rlike("^[0-9]+$"), F.concat(F.lit("LOC-"), padded)).otherwise(c)
 
 
 def tran_code(c: Column) -> Column:

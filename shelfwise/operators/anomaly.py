@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import count_if, day, num, total, total_if
+from shelfwise.operators.common import count_if, day, spread, total, total_if
 
 
 def daily_profile(sales: DataFrame, as_of: date, lookback: int = 365) -> DataFrame:
@@ -39,29 +39,32 @@ def isolation_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) ->
         return np.where(m > 2, big, np.where(m == 2, 1.0, 0.0))
 
     levels = int(np.ceil(np.log2(max(size, 2))))
+    values = x[picks.ravel()]
     for level in range(levels + 1):
         width = 1 << level
         slot = (tree * width + node_s).ravel()
-        count = np.bincount(slot, minlength=trees * width)
-        lo = np.full((trees * width, f), np.inf)
-        hi = np.full((trees * width, f), -np.inf)
-        values = x[picks.ravel()]
-        for j in range(f):
-            np.minimum.at(lo[:, j], slot, values[:, j])
-            np.maximum.at(hi[:, j], slot, values[:, j])
+        # Bounds of the points in each node: group the points by node, reduce each run.
+        order = np.argsort(slot, kind="stable")
+        used, first, count = np.unique(slot[order], return_index=True, return_counts=True)
+        lo = np.minimum.reduceat(values[order], first, axis=0)
+        hi = np.maximum.reduceat(values[order], first, axis=0)
         spread = hi > lo
-        leaf = (count <= 1) | ~spread.any(axis=1) | (level == levels)
+        leaf = np.ones(trees * width, dtype=bool)
+        leaf[used] = (count <= 1) | ~spread.any(axis=1) | (level == levels)
+        sizes = np.zeros(trees * width)
+        sizes[used] = count
         at = tree * width + node_x
         ends = live & leaf[at]
-        depth[ends] = level + expected(count[at[ends]])
+        depth[ends] = level + expected(sizes[at[ends]])
         live &= ~ends
         if not live.any():
             break
-        feature = np.argmax(np.where(spread, rng.random(spread.shape), -1.0), axis=1)
-        rows = np.arange(trees * width)
-        low, high = lo[rows, feature], hi[rows, feature]
-        ok = np.isfinite(low) & np.isfinite(high)
-        cut = np.where(ok, np.where(ok, low, 0.0) + rng.random(len(rows)) * np.where(ok, high - low, 0.0), 0.0)
+        pick = np.argmax(np.where(spread, rng.random(spread.shape), -1.0), axis=1)
+        rows = np.arange(len(used))
+        low, high = lo[rows, pick], hi[rows, pick]
+        feature = np.zeros(trees * width, dtype=np.int64)
+        cut = np.zeros(trees * width)
+        feature[used], cut[used] = pick, low + rng.random(len(used)) * (high - low)
         node_s = 2 * node_s + (values[np.arange(len(slot)), feature[slot]] >= cut[slot]).reshape(trees, size)
         node_x = 2 * node_x + (x[np.arange(n)[None, :], feature[at]] >= cut[at])
     return 2.0 ** (-depth.mean(axis=0) / max(float(expected(size)), 1e-9))
@@ -80,7 +83,7 @@ def unusual_days(profile: DataFrame, min_days: int = 30, contamination: float =
         out = pdf[["sku_id", "day", "daily_qty"]].assign(mean_qty=pdf["daily_qty"].mean(), anomaly_score=-scores)
         return out[out["anomaly_score"] < np.percentile(out["anomaly_score"], 100 * contamination)]
 
-    return (profile.join(enough.select("sku_id"), "sku_id", "left_semi")
+    return (spread(profile.join(enough.select("sku_id"), "sku_id", "left_semi"), ["sku_id"])
             .groupBy("sku_id").applyInPandas(flag, schema))
 
 

@@ -50,6 +50,12 @@ def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One hash placement over all shuffle partitions. Adaptive execution merges partitions by
+    bytes; frames that are small but costly per row keep their parallelism this way."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def max_date(df: DataFrame, col: str) -> DataFrame:
     """One row holding the newest date: the anchor of the data-driven engines."""
     return df.agg(F.max(col).alias("anchor"))

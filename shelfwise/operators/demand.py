@@ -46,7 +46,9 @@ def lost_sales_imputation(sales: DataFrame, window_days: int = 30) -> DataFrame:
     local = (rows.groupBy("sku_id", F.coalesce("location_id", F.lit("")).alias("loc"), "n_day")
              .agg(F.sum(F.when(in_stock, num("qty_sold")).otherwise(0.0)).alias("q"),
                   F.sum(F.when(in_stock, 1).otherwise(0)).alias("n"),
-                  F.max((~in_stock).cast("int")).alias("wanted")))
+                  F.max((~in_stock).cast("int")).alias("wanted"))
+             # At most days x locations rows per SKU now: one placement serves all steps below.
+             .repartition("sku_id"))
     network = local.groupBy("sku_id", "n_day").agg(F.sum("q").alias("q"), F.sum("n").alias("n"),
                                                    F.max("wanted").alias("wanted"))
 

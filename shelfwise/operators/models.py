@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import day
+from shelfwise.operators.common import day, spread
 from shelfwise.operators.forecast import FEATURES, FORECAST_COLUMNS, WEATHER_FEATURES, with_blend
 
 KEYS = ["sku_id", "location_id"]
@@ -30,7 +30,7 @@ def boosted_forecast(features: DataFrame, tiers: DataFrame, quality: DataFrame,
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         features.join(spans.select(*KEYS, "first_day", "mean"), KEYS))
     usable = rows.filter(F.col("target").isNotNull() & (F.col("day") >= F.date_add("first_day", 28)))
-    train = usable.select(*KEYS, "features", "target", (F.col("day") >= day(as_of, -holdout)).alias("held_out"))
+    train = spread(usable.select(*KEYS, "features", "target", (F.col("day") >= day(as_of, -holdout)).alias("held_out")), KEYS)
     model = GBTRegressor(labelCol="target", featuresCol="features", validationIndicatorCol="held_out", maxIter=trees,
                          maxDepth=depth, seed=seed, stepSize=0.1).fit(train)
     error = (model.transform(train.filter("held_out")).groupBy(*KEYS)
@@ -82,7 +82,7 @@ def seasonal_forecast(features: DataFrame, as_of: date, min_days: int = 90, ridg
         return out.assign(predicted_qty=mean, lower_bound=mean - 1.96 * sd, upper_bound=mean + 1.96 * sd)
 
     cols = [*KEYS, "day", "target", *WEATHER_FEATURES]
-    fitted = features.select(*cols).join(wanted, KEYS, "left_semi").groupBy(*KEYS).applyInPandas(fit, schema)
+    fitted = spread(features.select(*cols).join(wanted, KEYS, "left_semi"), KEYS).groupBy(*KEYS).applyInPandas(fit, schema)
     return fitted.withColumns({"model_type": F.lit("seasonal"), "confidence_pct": F.lit(0.95), "run_date": day(as_of)})
 
 

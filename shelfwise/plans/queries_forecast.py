@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import demand, forecast
 from shelfwise.plans.catalog import AS_OF, frame, query
+from shelfwise.session import settle
 
 
 @query
@@ -66,8 +67,9 @@ def feature_skus(c):
 
 @frame
 def model_features(c):
-    return forecast.feature_frame(c["sales"], c["feature_skus"], c["weather"], c["demand_quality"], c["sku_master"],
-                                  AS_OF)
+    # Counted, trained on, scored and predicted from: stored once.
+    return settle(forecast.feature_frame(c["sales"], c["feature_skus"], c["weather"], c["demand_quality"],
+                                         c["sku_master"], AS_OF))
 
 
 @query

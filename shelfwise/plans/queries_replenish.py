@@ -5,6 +5,7 @@ from __future__ import annotations
 from shelfwise import params
 from shelfwise.operators import basket, customers, reorder
 from shelfwise.plans.catalog import AS_OF, frame, query
+from shelfwise.session import settle
 
 
 @frame
@@ -36,8 +37,9 @@ def selected_forecasts(c):
 
 @query
 def stock_positions(c):
-    return reorder.stock_positions(c["latest_stock"], c["active_skus"], c["at_risk_skus"], c["supplier_scores"],
-                                   c["purchase_orders"], c["forecast_means"], c["location_shares"], AS_OF)
+    # Needs, transfer sources, basket triggers and threshold checks all read it: stored once.
+    return settle(reorder.stock_positions(c["latest_stock"], c["active_skus"], c["at_risk_skus"], c["supplier_scores"],
+                                          c["purchase_orders"], c["forecast_means"], c["location_shares"], AS_OF))
 
 
 @query

@@ -13,16 +13,17 @@ from pyspark.sql.types import StructType
 from shelfwise.operators.common import latest_row
 from shelfwise.plans import reports
 from shelfwise.plans.catalog import AS_OF, frame, query
-from shelfwise.session import shared_folder
+from shelfwise.session import settle, shared_folder
 from shelfwise.sources import readers, sinks
 from shelfwise.streaming import incremental
 
 
 @frame
 def cube_rows(c):
-    """Order lines as a cube would export them: everything text, some of it broken."""
+    """Order lines as a cube would export them: everything text, some of it broken. Written once,
+    as landed files would be, so that the rendering is no part of the parsing."""
     e = F.expr
-    return c["order_lines"].select(
+    return settle(c["order_lines"].select(
         e("case when l_orderkey % 101 = 7 then 'n/a' when l_orderkey % 5 = 0 then cast(o_date as string)"
           " when l_orderkey % 7 = 0 then date_format(o_date, 'M/d/yyyy') else date_format(o_date, 'MM/dd/yyyy') end as sale_date"),
         e("case when o_custkey % 53 = 0 then 'HUB' else concat(o_custkey % 9 + 1, ' -CPW - STORE') end as location"),
@@ -43,7 +44,7 @@ def cube_rows(c):
         e("concat(' C', o_custkey, '-') as ship_to"), e("case when l_linestatus = 'O' then 'n' else 'Y ' end as stock_flag"),
         e("case when o_custkey % 6 = 0 then '' else concat((o_custkey + l_partkey) % 9 + 1, '-CPW - X') end as ship_location"),
         # Load order is unique, so "first" and "last" mean the same to every engine.
-        e("struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) as load_order"))
+        e("struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) as load_order")))
 
 
 @query

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from shelfwise.operators import purchasing, stock
 from shelfwise.plans.catalog import AS_OF, frame, query
+from shelfwise.session import settle
 
 START_90 = AS_OF - timedelta(days=90)
 
@@ -22,7 +23,8 @@ def margin_baselines(c):
 
 @query
 def outside_purchase_flags(c):
-    return purchasing.outside_flags(c["sales_detail"], c["recommendations"], START_90)
+    # Read by the gap check and by the understocking report: stored once.
+    return settle(purchasing.outside_flags(c["sales_detail"], c["recommendations"], START_90))
 
 
 @query

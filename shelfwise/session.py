@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the stored rows.
+    """Write ``df`` as a table in the shared folder and continue from the stored rows.
 
     Used where two branches must see exactly the same rows in the same order, also after an
-    executor is lost and its tasks are run again.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    executor is lost and its tasks are run again, and where several steps read a costly frame."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
