@@ -28,9 +28,9 @@ def basket_rules(items: DataFrame, as_of: date, min_support: float = 0.001, min_
     A pair is frequent only if both SKUs are, so infrequent SKUs leave before pairs are formed, and
     a basket holds at most as many SKUs as the size limit lets through. Pairs are counted with
     map-side partial sums; nothing is kept per group."""
-    whole = F.broadcast(items.agg(F.countDistinct("basket").alias("total")))  # one row
+    one_row = items.agg(F.countDistinct("basket").alias("total"))
     support = items.groupBy("sku_id").agg(F.count(F.lit(1)).alias("n"))
-    frequent = support.crossJoin(whole).filter(F.col("n") / F.col("total") >= min_support)
+    frequent = support.crossJoin(F.broadcast(one_row)).filter(F.col("n") / F.col("total") >= min_support)
     kept = items.join(frequent.select("sku_id"), "sku_id", "left_semi")
     listed = kept.groupBy("basket").agg(F.array_sort(F.collect_list("sku_id")).alias("skus")).filter(F.size("skus") > 1)
     first = listed.select("skus", F.posexplode("skus").alias("i", "a"))

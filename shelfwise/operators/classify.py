@@ -215,9 +215,9 @@ def abc_by_gross_profit(profit: DataFrame, master: DataFrame, min_skus: int = 10
     """Rank over the whole master by weighted profit, or by weighted volume when too few SKUs earn any."""
     per_sku = profit.groupBy("sku_id").agg(F.sum("gp_weighted").alias("gpw"), F.sum("gp_12m").alias("gp"),
                                            F.sum("qty_weighted").alias("qw"))
-    enough = F.broadcast(per_sku.agg((count_if(F.col("gpw") > 0) >= min_skus).alias("use_gp")))  # one row
+    enough = per_sku.agg((count_if(F.col("gpw") > 0) >= min_skus).alias("use_gp"))  # one row
     pool = (master.filter(~catch_all_sku(F.col("sku_id"))).select("sku_id", F.col("abc_class").alias("old_class"))
-            .join(per_sku, "sku_id", "left").crossJoin(enough)
+            .join(per_sku, "sku_id", "left").crossJoin(F.broadcast(enough))
             .withColumn("metric", F.coalesce(F.when(F.col("use_gp"), F.col("gpw")).otherwise(F.col("qw")), F.lit(0.0))))
     ranked = global_rank(pool, [F.desc(F.round("metric", 6)), F.asc("sku_id")])
     return ranked.select("sku_id", share_class(F.col("rank_idx"), F.col("rank_n"), a, b).alias("abc_class"),

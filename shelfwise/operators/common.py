@@ -117,8 +117,8 @@ def global_rank(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (
     ranked = (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
               .withColumn("_rank", F.col("_off") + pos))
     if not group:
-        n = F.broadcast(placed.agg(F.count(F.lit(1)).alias("rank_n")))  # one row
-        out = ranked.crossJoin(n).withColumn("rank_idx", F.col("_rank"))
+        one_row = placed.agg(F.count(F.lit(1)).alias("rank_n"))
+        out = ranked.crossJoin(F.broadcast(one_row)).withColumn("rank_idx", F.col("_rank"))
     else:
         spans = ranked.groupBy(*group).agg(F.min("_rank").alias("_start"),
                                            F.count(F.lit(1)).alias("rank_n"))

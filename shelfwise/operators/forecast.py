@@ -109,10 +109,10 @@ def seasonal_targets(master: DataFrame, detail: DataFrame, as_of: date, top_n: i
           .groupBy(F.col("prod_line_pn").alias("sku_id")).agg(F.sum("gross_profit").cast("double").alias("gp"))
           .filter("gp > 0"))
     hits = a.join(gp, "sku_id", "left")
-    enough = F.broadcast(hits.agg((F.count("gp") >= min_skus).alias("by_gp")))  # one row
+    enough = hits.agg((F.count("gp") >= min_skus).alias("by_gp"))  # one row
     units, cost = num("avg_weekly_units"), num("unit_cost")
     moved = F.when(cost > 0, units * cost).otherwise(units)
-    return (hits.crossJoin(enough)
+    return (hits.crossJoin(F.broadcast(enough))
             .withColumn("rank_value", F.when(F.col("by_gp"), F.coalesce("gp", F.lit(0.0))).otherwise(moved))
             .orderBy(F.desc("rank_value"), "sku_id").limit(top_n)
             .select("sku_id", F.bround("rank_value", 4).alias("rank_value")))

@@ -28,6 +28,8 @@ def query(fn: Callable[["Catalog"], DataFrame]):
 
 class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
+        from shelfwise.plans import registry
+        registry.load()
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._built: dict[str, DataFrame] = {}
