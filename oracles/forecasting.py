@@ -113,9 +113,13 @@ SELECT sku_id, location_id, transaction_date AS day, sum(d) AS demand FROM train
 WHERE transaction_date BETWEEN {D} - 365 AND {D} - 1 AND sku_id IN (SELECT sku_id FROM feature_skus) GROUP BY 1, 2, 3
 """
 VIEWS["feature_calendar"] = f"""
-SELECT p.sku_id, p.location_id, CAST(p.dt AS DATE) AS day, CASE WHEN p.dt < {D} THEN coalesce(f.demand, 0) ELSE recent END AS v
-FROM (SELECT sku_id, location_id, sum(CASE WHEN day >= {D} - 28 THEN demand ELSE 0 END) / 28.0::DOUBLE AS recent,
-    unnest(generate_series(min(day), {D} + 29, INTERVAL 1 DAY)) AS dt FROM feature_demand GROUP BY 1, 2) p
+SELECT p.sku_id, p.location_id, CAST(p.dt AS DATE) AS day, last_day,
+  CASE WHEN p.dt < {D} THEN coalesce(f.demand, 0) ELSE recent END AS v
+FROM (SELECT e.sku_id, e.location_id, last_day, sum(CASE WHEN day > last_day - 28 THEN demand ELSE 0 END)
+      / least(28, max(last_day - first_day) + 1)::DOUBLE AS recent,
+    unnest(generate_series(min(day), {D} + 29, INTERVAL 1 DAY)) AS dt
+  FROM feature_demand d JOIN (SELECT sku_id, location_id, min(day) AS first_day, max(day) AS last_day FROM feature_demand
+    GROUP BY 1, 2) e ON e.sku_id = d.sku_id AND e.location_id = d.location_id GROUP BY 1, 2, 3) p
 LEFT JOIN feature_demand f ON f.sku_id = p.sku_id AND f.location_id = p.location_id AND f.day = p.dt
 """
 VIEWS["feature_weather"] = f"""
@@ -123,7 +127,7 @@ SELECT log_date, coalesce(temp_min_f, 32) AS t, freeze_thaw_cycle::INTEGER::DOUB
   consecutive_freeze_days::DOUBLE AS cf FROM weather_streaks WHERE log_date >= {D} - 365
 """
 VIEWS["forecast_features"] = f"""
-SELECT c.sku_id, c.location_id, c.day, CASE WHEN c.day < {D} THEN v END AS target,
+SELECT c.sku_id, c.location_id, c.day, CASE WHEN c.day <= last_day THEN v END AS target,
   (isodow(c.day) - 1)::DOUBLE AS day_of_week, weekofyear(c.day)::DOUBLE AS week_of_year, month(c.day)::DOUBLE AS month,
   round(lag_7, 6) AS lag_7, round(lag_14, 6) AS lag_14, round(lag_28, 6) AS lag_28,
   round(m7, 6) AS rolling_mean_7, round(m28, 6) AS rolling_mean_28,

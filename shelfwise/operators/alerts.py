@@ -156,8 +156,8 @@ def advance(state: DataFrame, current: DataFrame, as_of: date, lookback: int = 3
     of the auto-resolved types whose key no longer occurs are closed. Returns the whole new table,
     to be written as a new version."""
     cutoff = day(as_of, -lookback)
-    # One alert per key and run; the key is deterministic, so duplicates are the same alert.
-    now = current.groupBy("alert_key").agg(*[F.max(c).alias(c) for c in ALERT_COLUMNS if c != "alert_key"])
+    # One alert per key and run: the one with the largest impact.
+    now = latest_row(current.select(*ALERT_COLUMNS), ["alert_key"], ["financial_impact"])
     fresh = [c for c in ALERT_COLUMNS if c not in ("alert_date", "alert_key")]
     in_reach = F.col("alert_date") >= cutoff
     newest = state.filter(in_reach).groupBy("alert_key").agg(F.max("alert_date").alias("_newest"))

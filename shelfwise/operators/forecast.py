@@ -25,22 +25,20 @@ def _moments(daily: DataFrame, keys: list[str], as_of: date, lookback: int) -> D
                     pop_std(F.col("s"), F.col("ss"), lookback).alias("sd"))
 
 
-def blended(own: Column, regional: Column, tier: Column, quality: Column, weight: float = 0.40,
-            low_quality: float = 0.50) -> Column:
-    """Third-tier locations with poor demand quality lean on the mean of the better locations."""
-    weak = (F.coalesce(tier, F.lit(2)) == 3) & (F.coalesce(quality, F.lit(1.0)) < low_quality)
-    return F.when(weak, F.lit(weight) * F.coalesce(regional, own) + F.lit(1.0 - weight) * own).otherwise(own)
-
-
-def with_blend(pairs: DataFrame, tiers: DataFrame, quality: DataFrame) -> DataFrame:
-    """Adds ``blend`` to a (sku, location, mean) frame. A SKU has one row per location here, so the
+def with_regional(pairs: DataFrame, tiers: DataFrame, quality: DataFrame, low_quality: float = 0.50) -> DataFrame:
+    """Adds ``regional``, the SKU's mean over first- and second-tier locations, and ``weak``, true for
+    third-tier locations with poor demand quality. A SKU has one row per location here, so the
     regional mean is a plain aggregate joined back on the SKU."""
     p = (pairs.join(tiers.select("location_id", "location_tier"), "location_id", "left")
          .join(quality.select("sku_id", "location_id", "demand_quality_score"), ["sku_id", "location_id"], "left"))
-    better = F.coalesce("location_tier", F.lit(2)) <= 2
-    regional = p.filter(better).groupBy("sku_id").agg(F.avg("mean").alias("regional"))
-    return p.join(regional, "sku_id", "left").withColumn(
-        "blend", blended(F.col("mean"), F.col("regional"), F.col("location_tier"), F.col("demand_quality_score")))
+    tier, score = F.coalesce("location_tier", F.lit(2)), F.coalesce("demand_quality_score", F.lit(1.0))
+    regional = p.filter(tier <= 2).groupBy("sku_id").agg(F.avg("mean").alias("regional"))
+    return p.join(regional, "sku_id", "left").withColumn("weak", (tier == 3) & (score < low_quality))
+
+
+def leaned(own: Column, regional: Column, weak: Column, weight: float = 0.40) -> Column:
+    """Weak locations lean on the regional mean."""
+    return F.when(weak, F.lit(weight) * regional + F.lit(1.0 - weight) * own).otherwise(own)
 
 
 def _over_horizon(df: DataFrame, as_of: date, horizon: int, model: str, confidence: float) -> DataFrame:
@@ -60,8 +58,9 @@ def _band(mean: Column, sd: Column, predicted: Column) -> list[Column]:
 def rolling_pairs(sales: DataFrame, tiers: DataFrame, quality: DataFrame, as_of: date, lookback: int = 91,
                   min_days: int = 7, horizon: int = 30) -> DataFrame:
     pairs = _moments(daily_demand(sales, as_of, lookback), ["sku_id", "location_id"], as_of, lookback)
-    m = with_blend(pairs, tiers, quality).filter(F.col("sale_days") >= min_days)
-    rows = m.select("sku_id", "location_id", *_band(F.col("mean"), F.col("sd"), F.col("blend")))
+    m = with_regional(pairs, tiers, quality).filter(F.col("sale_days") >= min_days)
+    blend = leaned(F.col("mean"), F.coalesce("regional", "mean"), F.col("weak"))
+    rows = m.select("sku_id", "location_id", *_band(F.col("mean"), F.col("sd"), blend))
     return _over_horizon(rows, as_of, horizon, "rolling_avg", 0.6827)
 
 
@@ -151,16 +150,22 @@ FEATURES = ("day_of_week", "week_of_year", "month", "lag_7", "lag_14", "lag_28",
 def feature_frame(sales: DataFrame, skus: DataFrame, weather: DataFrame, quality: DataFrame, master: DataFrame,
                   as_of: date, training_days: int = 365, horizon: int = 30) -> DataFrame:
     """Fourteen features per (sku, location, day), from the pair's first sale to the end of the
-    horizon. ``target`` is the day's demand, null from ``as_of`` on; future lags take the pair's
-    28-day mean. Each window partition is one pair's calendar, bounded by the training days."""
+    horizon. ``target`` is the day's demand, null after the pair's last sale; lags that reach into
+    the future take ``recent``, the mean of the last 28 days up to that sale. ``active_mean`` is the
+    mean over days with a sale. Each window partition is one pair's calendar, bounded by the
+    training days."""
     d = effective_demand()
     seen = (training_sales(sales).join(skus.select("sku_id"), "sku_id", "left_semi")
             .filter(F.col("transaction_date").between(day(as_of, -training_days), day(as_of, -1)))
             .groupBy("sku_id", "location_id", F.col("transaction_date").alias("day")).agg(F.sum(d).alias("demand")))
-    pairs = (seen.groupBy("sku_id", "location_id")
-             .agg(F.min("day").alias("first_day"),
-                  (F.sum(F.when(F.col("day") >= day(as_of, -28), F.col("demand")).otherwise(0.0)) / 28.0).alias("recent")))
-    calendar = pairs.select("sku_id", "location_id", "recent",
+    keys = ["sku_id", "location_id"]
+    ends = seen.groupBy(*keys).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+                                   F.avg("demand").alias("active_mean"))
+    tail = F.sum(F.when(F.col("day") > F.date_sub("last_day", 28), F.col("demand")).otherwise(0.0))
+    length = F.least(F.datediff("last_day", "first_day") + 1, F.lit(28))
+    pairs = (seen.join(ends, keys).groupBy(*keys, "first_day", "last_day", "active_mean").agg(tail.alias("tail"))
+             .withColumn("recent", F.col("tail") / length))
+    calendar = pairs.select(*keys, "recent", "last_day", "active_mean",
                             F.explode(F.sequence("first_day", day(as_of, horizon - 1))).alias("day"))
     past = F.col("day") < day(as_of)
     filled = (calendar.join(seen, ["sku_id", "location_id", "day"], "left")
@@ -171,7 +176,8 @@ def feature_frame(sales: DataFrame, skus: DataFrame, weather: DataFrame, quality
         return F.coalesce(F.sum("v").over(w.rowsBetween(-k, -1)), F.lit(0.0)) / float(k)
 
     lags = [F.coalesce(F.lag("v", k).over(w), F.lit(0.0)).alias(f"lag_{k}") for k in (7, 14, 28)]
-    base = filled.select("sku_id", "location_id", "day", F.when(past, F.col("v")).alias("target"), *lags,
+    base = filled.select(*keys, "day", "recent", "last_day", "active_mean",
+                         F.when(F.col("day") <= F.col("last_day"), F.col("v")).alias("target"), *lags,
                          mean_before(7).alias("rolling_mean_7"), mean_before(28).alias("rolling_mean_28"))
     wx = freeze_features(weather).select(
         F.col("log_date").alias("day"), F.coalesce("temp_min_f", F.lit(32.0)).alias("temp_min_f"),
@@ -185,7 +191,7 @@ def feature_frame(sales: DataFrame, skus: DataFrame, weather: DataFrame, quality
     return (base.join(wx, "day", "left").crossJoin(F.broadcast(climate))  # one row
             .join(quality.select("sku_id", "location_id", "demand_quality_score"), ["sku_id", "location_id"], "left")
             .join(codes, "sku_id", "left")
-            .select("sku_id", "location_id", "day", "target",
+            .select(*keys, "day", "target", "recent", "last_day", "active_mean",
                     F.weekday("day").cast("double").alias("day_of_week"),
                     F.weekofyear("day").cast("double").alias("week_of_year"), F.month("day").cast("double").alias("month"),
                     "lag_7", "lag_14", "lag_28", "rolling_mean_7", "rolling_mean_28",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.common import day, spread
-from shelfwise.operators.forecast import FEATURES, FORECAST_COLUMNS, WEATHER_FEATURES, with_blend
+from shelfwise.operators.forecast import FEATURES, FORECAST_COLUMNS, WEATHER_FEATURES, leaned, with_regional
 
 KEYS = ["sku_id", "location_id"]
 
@@ -22,24 +22,22 @@ def boosted_forecast(features: DataFrame, tiers: DataFrame, quality: DataFrame,
     """One gradient-boosted model over the features of every series.
 
     A model per pair would be hundreds of thousands of tiny fits; one model shares their strength
-    and trains as a distributed job. The last ``holdout`` days stop the boosting and give each
-    series its own error for the band. Only the lower bound is clamped."""
-    spans = (features.filter("target is not null").groupBy(*KEYS)
-             .agg(F.min("day").alias("first_day"), F.avg(F.when(F.col("target") > 0, F.col("target"))).alias("mean"),
-                  F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 28 + min_days))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        features.join(spans.select(*KEYS, "first_day", "mean"), KEYS))
-    usable = rows.filter(F.col("target").isNotNull() & (F.col("day") >= F.date_add("first_day", 28)))
-    train = spread(usable.select(*KEYS, "features", "target", (F.col("day") >= day(as_of, -holdout)).alias("held_out")), KEYS)
+    and trains as a distributed job. Each series' last ``holdout`` days stop the boosting and give
+    it its own error for the band. Only the lower bound is clamped."""
+    series = (features.filter("target is not null").groupBy(*KEYS)
+              .agg(F.count(F.lit(1)).alias("n"), F.max("active_mean").alias("mean")))
+    wanted = series.filter(F.col("n") >= min_days).select(*KEYS)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features.join(wanted, KEYS, "left_semi"))
+    held = F.col("day") > F.date_sub("last_day", holdout)
+    train = spread(rows.filter("target is not null").select(*KEYS, "features", "target", held.alias("held_out")), KEYS)
     model = GBTRegressor(labelCol="target", featuresCol="features", validationIndicatorCol="held_out", maxIter=trees,
                          maxDepth=depth, seed=seed, stepSize=0.1).fit(train)
     error = (model.transform(train.filter("held_out")).groupBy(*KEYS)
              .agg(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2)).alias("rmse")))
-    ahead = model.transform(rows.filter("target is null").select(*KEYS, "day", "features", "mean"))
-    blend = with_blend(spans.select(*KEYS, F.coalesce("mean", F.lit(0.0)).alias("mean")), tiers, quality).select(
-        *KEYS, (F.col("blend") != F.col("mean")).alias("weak"), "regional")
-    x = ahead.join(error, KEYS).join(blend, KEYS, "left")
-    p = F.when(F.col("weak"), 0.40 * F.col("regional") + 0.60 * F.col("prediction")).otherwise(F.col("prediction"))
+    ahead = model.transform(rows.filter(F.col("day") >= day(as_of)).select(*KEYS, "day", "features", "recent"))
+    lean = with_regional(series, tiers, quality).select(*KEYS, "regional", "weak")
+    x = ahead.join(error, KEYS).join(lean, KEYS)
+    p = leaned(F.col("prediction"), F.coalesce("regional", "recent"), F.col("weak"))
     return x.select(*KEYS, F.col("day").alias("forecast_date"), F.lit("lightgbm").alias("model_type"),
                     F.bround(p, 4).alias("predicted_qty"),
                     F.bround(F.greatest(F.lit(0.0), F.col("prediction") - band * F.col("rmse")), 4).alias("lower_bound"),
@@ -70,15 +68,16 @@ def seasonal_forecast(features: DataFrame, as_of: date, min_days: int = 90, ridg
         pdf = pdf.sort_values("day", ignore_index=True)
         x = seasonal_design(pdf["day"], pdf[list(WEATHER_FEATURES)].to_numpy(float))
         known = pdf["target"].notna().to_numpy()
+        ahead = pd.to_datetime(pdf["day"]).to_numpy() >= np.datetime64(as_of)
         y = pdf["target"].to_numpy(float)[known]
         penalty = ridge * np.eye(x.shape[1])
         penalty[0, 0] = 0.0
         a = x[known]
         beta = np.linalg.solve(a.T @ a + penalty, a.T @ y)
         sd = float(np.std(y - a @ beta))
-        mean = x[~known] @ beta
-        out = pdf.loc[~known, ["sku_id", "location_id"]].copy()
-        out["forecast_date"] = pdf.loc[~known, "day"]
+        mean = x[ahead] @ beta
+        out = pdf.loc[ahead, ["sku_id", "location_id"]].copy()
+        out["forecast_date"] = pdf.loc[ahead, "day"]
         return out.assign(predicted_qty=mean, lower_bound=mean - 1.96 * sd, upper_bound=mean + 1.96 * sd)
 
     cols = [*KEYS, "day", "target", *WEATHER_FEATURES]
@@ -86,20 +85,24 @@ def seasonal_forecast(features: DataFrame, as_of: date, min_days: int = 90, ridg
     return fitted.withColumns({"model_type": F.lit("seasonal"), "confidence_pct": F.lit(0.95), "run_date": day(as_of)})
 
 
-def ensemble(seasonal: DataFrame, boosted: DataFrame, fallback: DataFrame, as_of: date, weight: float = 0.60) -> DataFrame:
-    """Weighted mean of the two models; one of them, or the flat fallback, where others are missing."""
+def ensemble(seasonal: DataFrame, boosted: DataFrame, fallback: DataFrame, lean: DataFrame, as_of: date,
+             weight: float = 0.60) -> DataFrame:
+    """Weighted mean of the two models; one of them, or the flat fallback, where others are missing.
+    ``lean`` holds (sku, location, regional, weak): weak locations lean on the regional mean."""
     on = [*KEYS, "forecast_date"]
-
-    def part(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("predicted_qty", "lower_bound", "upper_bound")])
-
-    x = part(seasonal, "s").join(part(boosted, "b"), on, "full").join(part(fallback, "f"), on, "full")
-
-    def mix(c: str):
-        s, b, f = F.col(f"s_{c}"), F.col(f"b_{c}"), F.col(f"f_{c}")
-        return F.bround(F.greatest(F.lit(0.0), F.coalesce(weight * s + (1 - weight) * b, s, b, f)), 4).alias(c)
-
-    return x.select(*on, F.lit("prophet").alias("model_type"), mix("predicted_qty"), mix("lower_bound"), mix("upper_bound"),
+    s = seasonal.select(*on, F.col("predicted_qty").alias("s"), F.col("lower_bound").alias("lo"), F.col("upper_bound").alias("hi"))
+    b = boosted.select(*on, F.col("predicted_qty").alias("b"))
+    f = fallback.select(*on, F.col("predicted_qty").alias("f"))
+    x = s.join(b, on, "full").join(f, on, "full").join(lean.select(*KEYS, "regional", "weak"), KEYS, "left")
+    mixed = F.coalesce(weight * F.col("s") + (1 - weight) * F.col("b"), "s", "b", "f")
+    own = F.greatest(F.lit(0.0), mixed)
+    weak = F.coalesce(F.col("weak") & F.col("regional").isNotNull(), F.lit(False))
+
+    def bound(stored: str, part: float):
+        return F.bround(F.greatest(F.lit(0.0), F.coalesce(F.col(stored), mixed * part)), 4)
+
+    return x.select(*on, F.lit("prophet").alias("model_type"), F.bround(leaned(own, F.col("regional"), weak), 4).alias("predicted_qty"),
+                    bound("lo", 0.7).alias("lower_bound"), bound("hi", 1.3).alias("upper_bound"),
                     F.lit(0.95).alias("confidence_pct"), day(as_of).alias("run_date")).select(*FORECAST_COLUMNS)
 
 

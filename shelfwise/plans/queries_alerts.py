@@ -95,7 +95,9 @@ def seasonal_forecast(c):
 def ensemble_forecast(c):
     boosted = models.boosted_forecast(c["seasonal_features"], c["locations"], c["demand_quality"], AS_OF, trees=8, depth=4)
     flat = c["flat_forecast"].join(c["sku_master"].filter("abc_class = 'A'").select("sku_id"), "sku_id", "left_semi")
-    return models.ensemble(c["seasonal_forecast"], boosted, flat, AS_OF)
+    means = c["seasonal_features"].groupBy("sku_id", "location_id").agg(F.max("active_mean").alias("mean"))
+    lean = forecast.with_regional(means, c["locations"], c["demand_quality"])
+    return models.ensemble(c["seasonal_forecast"], boosted, flat, lean, AS_OF)
 
 
 @query

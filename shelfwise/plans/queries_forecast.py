@@ -75,4 +75,4 @@ def model_features(c):
 @query
 def forecast_features(c):
     means = [n for n in forecast.FEATURES if n.startswith(("lag", "rolling")) or n in forecast.WEATHER_FEATURES]
-    return c["model_features"].withColumns({n: F.round(n, 6) for n in means})
+    return c["model_features"].withColumns({n: F.round(n, 6) for n in means}).drop("recent", "last_day", "active_mean")

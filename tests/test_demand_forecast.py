@@ -110,7 +110,9 @@ def test_learned_models_beat_the_flat_mean_on_a_weekly_pattern(make):
     boosted = models.boosted_forecast(f, tiers, quality, AS_OF, trees=15, depth=4)
     assert error(seasonal) < 0.3 * flat
     assert error(boosted) < flat
-    mixed = models.ensemble(seasonal, boosted, boosted, AS_OF)
+    lean = make("sku_id string, location_id string, regional double, weak boolean", [("A", "L1", 10.0, False), ("B", "L1", 0.0, True)])
+    mixed = models.ensemble(seasonal, boosted, boosted, lean, AS_OF)
+    assert {round(r.predicted_qty, 1) for r in mixed.filter("sku_id = 'B'").collect()} == {3.0}  # 0.6 of 5
     assert error(mixed) < flat and mixed.filter("predicted_qty < 0").count() == 0 and mixed.count() == 60
 
 
