@@ -102,7 +102,7 @@ FROM (SELECT p.a AS antecedent_sku, p.b AS consequent_sku, p.n / total AS s, p.n
   JOIN (SELECT sku_id, count(*) AS n FROM basket_items GROUP BY 1) x ON x.sku_id = p.a
   JOIN (SELECT sku_id, count(*) AS n FROM basket_items GROUP BY 1) y ON y.sku_id = p.b
   CROSS JOIN (SELECT count(DISTINCT (transaction_date, location_id, invoice_number)) AS total FROM basket_items) t)
-WHERE s >= 0.00002 AND c >= 0.05 AND l >= 1.0
+WHERE s >= 0.00001 AND c >= 0.004 AND l >= 1.0
 """
 VIEWS["basket_triggered"] = f"""
 SELECT sku_id, location_id, {D} AS recommendation_date, greatest(1, CAST(round_even(shortfall, 0) AS BIGINT))::BIGINT AS qty_to_order,
@@ -113,7 +113,7 @@ SELECT sku_id, location_id, {D} AS recommendation_date, greatest(1, CAST(round_e
 FROM stock_positions
 WHERE days_of_supply < 60 AND shortfall >= 0.01
   AND (sku_id, location_id) NOT IN (SELECT (sku_id, location_id) FROM reorder_recommendations)
-  AND sku_id IN (SELECT consequent_sku FROM basket_rules WHERE confidence >= 0.05
+  AND sku_id IN (SELECT consequent_sku FROM basket_rules WHERE confidence >= 0.004
     AND antecedent_sku IN (SELECT sku_id FROM reorder_recommendations))
 """
 VIEWS["threshold_gaps"] = """

@@ -74,17 +74,17 @@ def unusual_days(profile: DataFrame, min_days: int = 30, contamination: float =
                  seed: int = 42) -> DataFrame:
     """The most isolated days of each SKU. The grouped input has one row per day, so a group is
     bounded by the look-back however many sales a SKU has."""
-    enough = profile.groupBy("sku_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_days)
     schema = "sku_id string, day date, daily_qty double, mean_qty double, anomaly_score double"
 
     def flag(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_days:
+            return pdf.head(0)[["sku_id", "day", "daily_qty"]].assign(mean_qty=0.0, anomaly_score=0.0)
         pdf = pdf.sort_values("day", ignore_index=True)
         scores = isolation_scores(pdf[["daily_qty", "avg_price", "sales"]].to_numpy(float), trees, seed)
         out = pdf[["sku_id", "day", "daily_qty"]].assign(mean_qty=pdf["daily_qty"].mean(), anomaly_score=-scores)
         return out[out["anomaly_score"] < np.percentile(out["anomaly_score"], 100 * contamination)]
 
-    return (spread(profile.join(enough.select("sku_id"), "sku_id", "left_semi"), ["sku_id"])
-            .groupBy("sku_id").applyInPandas(flag, schema))
+    return spread(profile, ["sku_id"]).groupBy("sku_id").applyInPandas(flag, schema)
 
 
 def volume_alerts(flagged: DataFrame, as_of: date, lookback: int = 30) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.common import day
+from shelfwise.session import settle
 
 
 def baskets(sales: DataFrame, as_of: date, lookback: int = 90, largest: int = 50) -> DataFrame:
     """Distinct (basket, sku) of invoices with 2 to ``largest`` SKUs. Sizes are counted before any
     group is formed, so an invoice of any length costs one row per SKU and is then left out."""
-    items = (sales.filter(F.col("transaction_date").between(day(as_of, -lookback), day(as_of)))
+    items = settle(sales.filter(F.col("transaction_date").between(day(as_of, -lookback), day(as_of)))
              .filter("sku_id <> '' and invoice_number <> ''")
              .select(F.struct("transaction_date", "location_id", "invoice_number").alias("basket"), "sku_id").distinct())
     fit = (items.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))

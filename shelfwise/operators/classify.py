@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import params
 from shelfwise.operators.common import count_if, day, fraction_class, global_rank, num, share_class, total
+from shelfwise.session import settle
 
 
 def _since(df: DataFrame, col: str, as_of: date, days: int) -> DataFrame:
@@ -136,7 +137,7 @@ def location_tiers(sales: DataFrame, orders: DataFrame, as_of: date, lookback: i
         (count_if(q < 0) / F.count(F.lit(1))).alias("returns"))
     fills = (orders.withColumn("f", fill_rate(F.col("qty_received"), F.col("qty_ordered")))
              .groupBy("location_id").agg(F.avg("f").alias("fill")))
-    raw = (moved.join(fills, "location_id", "left").withColumn("fill", F.coalesce("fill", F.lit(0.5))))
+    raw = settle(moved.join(fills, "location_id", "left").withColumn("fill", F.coalesce("fill", F.lit(0.5))))
     metrics = ("fill", "volume", "breadth", "returns")
     bounds = raw.agg(*[f(m).alias(f"{m}_{s}") for m in metrics for f, s in ((F.min, "lo"), (F.max, "hi"))])
     scored = (raw.crossJoin(F.broadcast(bounds))  # one row of bounds
@@ -158,7 +159,7 @@ def residual_demand(sales: DataFrame, snapshots: DataFrame, as_of: date, lookbac
                     min_stockouts: int = 2, spike: float = 2.0) -> DataFrame:
     """Sales that spilled over from stocked-out peers: at least ``min_stockouts`` other locations
     out of the SKU that day, the seller in stock, and a quantity at or over ``spike`` baselines."""
-    outs = (snapshots.filter(F.col("is_stockout") & (F.col("snapshot_date") >= day(as_of, -lookback)))
+    outs = settle(snapshots.filter(F.col("is_stockout") & (F.col("snapshot_date") >= day(as_of, -lookback)))
             .select("sku_id", "location_id", F.col("snapshot_date").alias("transaction_date")).distinct())
     hot = (outs.groupBy("sku_id", "transaction_date").agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") >= min_stockouts))

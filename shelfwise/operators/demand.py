@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.common import day, num
+from shelfwise.session import settle
 
 
 def training_sales(sales: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def lost_sales_imputation(sales: DataFrame, window_days: int = 30) -> DataFrame:
     in_stock = ~F.coalesce(F.col("is_stockout"), F.lit(False))
     rows = sales.filter("sku_id <> ''").withColumn("n_day", F.datediff("transaction_date", F.lit(date(1970, 1, 1))))
     # One row per (sku, location, day): in-stock sums, and whether a stockout sale needs a value.
-    local = (rows.groupBy("sku_id", F.coalesce("location_id", F.lit("")).alias("loc"), "n_day")
+    # Two windows read it, so it is stored: the sales are scanned once for it.
+    local = settle(rows.groupBy("sku_id", F.coalesce("location_id", F.lit("")).alias("loc"), "n_day")
              .agg(F.sum(F.when(in_stock, num("qty_sold")).otherwise(0.0)).alias("q"),
                   F.sum(F.when(in_stock, 1).otherwise(0)).alias("n"),
                   F.max((~in_stock).cast("int")).alias("wanted"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise import params
 from shelfwise.operators.common import count_if, day, num, pop_std
 from shelfwise.operators.demand import daily_demand, effective_demand, training_sales
+from shelfwise.session import settle
 
 FORECAST_COLUMNS = ("sku_id", "location_id", "forecast_date", "model_type", "predicted_qty", "lower_bound",
                     "upper_bound", "confidence_pct", "run_date")
@@ -57,7 +58,8 @@ def _band(mean: Column, sd: Column, predicted: Column) -> list[Column]:
 
 def rolling_pairs(sales: DataFrame, tiers: DataFrame, quality: DataFrame, as_of: date, lookback: int = 91,
                   min_days: int = 7, horizon: int = 30) -> DataFrame:
-    pairs = _moments(daily_demand(sales, as_of, lookback), ["sku_id", "location_id"], as_of, lookback)
+    # Read twice below (own and regional means); stored, so the sales are scanned once.
+    pairs = settle(_moments(daily_demand(sales, as_of, lookback), ["sku_id", "location_id"], as_of, lookback))
     m = with_regional(pairs, tiers, quality).filter(F.col("sale_days") >= min_days)
     blend = leaned(F.col("mean"), F.coalesce("regional", "mean"), F.col("weak"))
     rows = m.select("sku_id", "location_id", *_band(F.col("mean"), F.col("sd"), blend))
@@ -75,7 +77,7 @@ def rolling_network(sales: DataFrame, as_of: date, lookback: int = 91, min_days:
 
 def demand_shares(sales: DataFrame, as_of: date, lookback: int = 91, min_days: int = 3) -> DataFrame:
     """Each location's part of a SKU's positive demand, for SKUs with enough network sale days."""
-    daily = daily_demand(sales, as_of, lookback).filter(F.col("day") < day(as_of))
+    daily = settle(daily_demand(sales, as_of, lookback).filter(F.col("day") < day(as_of)))
     enough = (daily.filter("sold = 1").groupBy("sku_id").agg(F.countDistinct("day").alias("n"))
               .filter(F.col("n") >= min_days).select("sku_id"))
     local = daily.groupBy("sku_id", "location_id").agg(F.sum("positive").alias("q")).filter("q > 0")
@@ -155,7 +157,7 @@ def feature_frame(sales: DataFrame, skus: DataFrame, weather: DataFrame, quality
     mean over days with a sale. Each window partition is one pair's calendar, bounded by the
     training days."""
     d = effective_demand()
-    seen = (training_sales(sales).join(skus.select("sku_id"), "sku_id", "left_semi")
+    seen = settle(training_sales(sales).join(skus.select("sku_id"), "sku_id", "left_semi")
             .filter(F.col("transaction_date").between(day(as_of, -training_days), day(as_of, -1)))
             .groupBy("sku_id", "location_id", F.col("transaction_date").alias("day")).agg(F.sum(d).alias("demand")))
     keys = ["sku_id", "location_id"]

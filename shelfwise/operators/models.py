@@ -60,11 +60,11 @@ def seasonal_design(days: pd.Series, weather: np.ndarray) -> np.ndarray:
 def seasonal_forecast(features: DataFrame, as_of: date, min_days: int = 90, ridge: float = 1.0) -> DataFrame:
     """Additive model per series by a closed-form ridge fit. A group is one series' calendar,
     bounded by the training days."""
-    wanted = (features.filter("target is not null").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= min_days).select(*KEYS))
     schema = "sku_id string, location_id string, forecast_date date, predicted_qty double, lower_bound double, upper_bound double"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["target"].notna().sum() < min_days:
+            return pdf.head(0)[["sku_id", "location_id"]].assign(forecast_date=None, predicted_qty=0.0, lower_bound=0.0, upper_bound=0.0)
         pdf = pdf.sort_values("day", ignore_index=True)
         x = seasonal_design(pdf["day"], pdf[list(WEATHER_FEATURES)].to_numpy(float))
         known = pdf["target"].notna().to_numpy()
@@ -81,7 +81,7 @@ def seasonal_forecast(features: DataFrame, as_of: date, min_days: int = 90, ridg
         return out.assign(predicted_qty=mean, lower_bound=mean - 1.96 * sd, upper_bound=mean + 1.96 * sd)
 
     cols = [*KEYS, "day", "target", *WEATHER_FEATURES]
-    fitted = spread(features.select(*cols).join(wanted, KEYS, "left_semi"), KEYS).groupBy(*KEYS).applyInPandas(fit, schema)
+    fitted = spread(features.select(*cols), KEYS).groupBy(*KEYS).applyInPandas(fit, schema)
     return fitted.withColumns({"model_type": F.lit("seasonal"), "confidence_pct": F.lit(0.95), "run_date": day(as_of)})
 
 

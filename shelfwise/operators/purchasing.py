@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise import params
 from shelfwise.operators.common import (count_if, day, longest_streak, most_frequent, newest_run, num, top_per_group,
                                         total)
+from shelfwise.session import settle
 
 
 def trend(last: Column, prior: Column, up: float, down: float) -> Column:
@@ -27,9 +28,9 @@ def stocking_gaps(recommendations: DataFrame, master: DataFrame, snapshots: Data
                                    & (F.col("recommendation_date") >= day(as_of, -p.lookback_days))
                                    & ~F.col("location_id").isin(*excluded))
     # One row per (pair, day), so later steps see at most the days of the window per pair.
-    daily = moved.groupBy(*keys, "recommendation_date").agg(
+    daily = settle(moved.groupBy(*keys, "recommendation_date").agg(
         F.sum(F.when(F.col("qty_to_order") > 0, F.col("qty_to_order"))).alias("q"),
-        count_if(F.col("qty_to_order") > 0).alias("n"))
+        count_if(F.col("qty_to_order") > 0).alias("n")))
     d = F.col("recommendation_date")
     g = daily.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("transfer_frequency"), F.sum("q").alias("q"), F.sum("n").alias("n"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import params
 from shelfwise.operators.common import count_if, day, latest_row, newest_run, num, top_per_group, total, total_if
+from shelfwise.session import settle
 
 
 def resolved_costs(snapshots: DataFrame, master: DataFrame, orders: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataF
          .withColumn("unit", F.coalesce(F.col("cost.c"), F.col("master_cost").cast("double"), F.lit(0.0)))
          .filter("daily > 0 and unit > 0 and pct > 0"))
     suggested = F.col("daily") * cover_days
-    rows = x.select(
+    rows = settle(x.select(
         "sku_id", "location_id", F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("sku_description"),
         "days_observed", "days_below_reorder", F.bround("pct", 4).alias("stockout_days_pct"),
         F.bround("daily", 4).alias("avg_daily_demand"), F.bround("current_min", 2).alias("current_min_qty"),
@@ -145,7 +146,7 @@ def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataF
         F.bround(F.col("pct") * F.col("daily") * F.col("unit"), 4).alias("priority_score"),
         F.bround(F.col("pct") * num("gp_per_unit") * F.col("daily"), 2).alias("financial_severity"),
         F.bround(F.least(num("gp_per_unit"), F.lit(99.9999)), 4).alias("avg_gp_pct"),
-        F.coalesce("double", F.lit(False)).alias("double_confirmed"))
+        F.coalesce("double", F.lit(False)).alias("double_confirmed")))
     wide = (rows.filter(F.col("stockout_days_pct") > severe_share).groupBy("sku_id")
             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= network_locations)
             .select("sku_id", F.lit(True).alias("network_flag")))

@@ -2,7 +2,9 @@
 
 Every table is derived from the whole of its source with integer arithmetic, so it grows with the
 source and two engines agree on each value. Twenty consecutive parts form one SKU; a customer
-belongs to one of nine locations.
+belongs to one of nine locations. Where a view keeps only some of its grid (forecasts, shares,
+recommendations), the gaps are the shape of the data: not every pair has a forecast or is ordered
+every day. No query reads less than its whole view.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import accuracy, alerts, anomaly, forecast, models
+from shelfwise.operators import accuracy, alerts, anomaly, forecast, models, purchasing, quality
 from shelfwise.plans.catalog import AS_OF, frame, query
 from shelfwise.session import settle
 
@@ -65,7 +65,6 @@ def volume_alerts(c):
 
 @query
 def anomaly_issues(c):
-    from shelfwise.operators import quality
     return quality.anomaly_issues(c["unusual_day_rows"], c["sales"])
 
 
@@ -156,7 +155,6 @@ def alerts_churn_risk(c):
 
 @query
 def alerts_outside_gap(c):
-    from shelfwise.operators import purchasing
     flags = purchasing.outside_flags(c["sales_detail"], c["recommendations"], AS_OF - timedelta(days=90), high=2, medium=1)
     return alerts.outside_gap(flags, AS_OF)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import classify
 from shelfwise.plans.catalog import AS_OF, frame, query
+from shelfwise.session import settle
 
 
 @query
@@ -58,7 +59,8 @@ def demand_quality(c):
 
 @frame
 def recent_gross_profit(c):
-    return classify.recent_gross_profit(c["sales_detail"], AS_OF)
+    # The use-profit test and the ranking both read it: stored once.
+    return settle(classify.recent_gross_profit(c["sales_detail"], AS_OF))
 
 
 @query

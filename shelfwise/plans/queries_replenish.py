@@ -25,7 +25,8 @@ def at_risk_skus(c):
 
 @query
 def forecast_means(c):
-    return reorder.forecast_means(c["forecasts"], AS_OF)
+    # Own and network means are both taken from it: stored once.
+    return settle(reorder.forecast_means(c["forecasts"], AS_OF))
 
 
 @query
@@ -60,14 +61,14 @@ def basket_items(c):
 @query
 def basket_rules(c):
     # Random baskets have no strong partners: low confidence and lift keep the rule set non-empty.
-    return basket.basket_rules(basket.baskets(c["sales"], AS_OF, lookback=2500), AS_OF, min_support=0.00002,
-                               min_confidence=0.05, min_lift=1.0)
+    return basket.basket_rules(basket.baskets(c["sales"], AS_OF, lookback=2500), AS_OF, min_support=0.00001,
+                               min_confidence=0.004, min_lift=1.0)
 
 
 @query
 def basket_triggered(c):
     # A position under 14 days is already ordered here: leads are long, so the limit is wider.
-    p = params.Reorder(basket_confidence=0.05, basket_supply_days=60.0)
+    p = params.Reorder(basket_confidence=0.004, basket_supply_days=60.0)
     return reorder.basket_triggered(c["reorder_recommendations"], c["stock_positions"], c["basket_rules"], AS_OF, p)
 
 
