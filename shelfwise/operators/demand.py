@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.common import day, num
-from shelfwise.session import settle
 
 
 def training_sales(sales: DataFrame) -> DataFrame:
@@ -44,13 +43,17 @@ def lost_sales_imputation(sales: DataFrame, window_days: int = 30) -> DataFrame:
     in_stock = ~F.coalesce(F.col("is_stockout"), F.lit(False))
     rows = sales.filter("sku_id <> ''").withColumn("n_day", F.datediff("transaction_date", F.lit(date(1970, 1, 1))))
     # One row per (sku, location, day): in-stock sums, and whether a stockout sale needs a value.
-    # Two windows read it, so it is stored: the sales are scanned once for it.
-    local = settle(rows.groupBy("sku_id", F.coalesce("location_id", F.lit("")).alias("loc"), "n_day")
+    local = (rows.groupBy("sku_id", F.coalesce("location_id", F.lit("")).alias("loc"), "n_day")
              .agg(F.sum(F.when(in_stock, num("qty_sold")).otherwise(0.0)).alias("q"),
                   F.sum(F.when(in_stock, 1).otherwise(0)).alias("n"),
-                  F.max((~in_stock).cast("int")).alias("wanted")))
-    network = local.groupBy("sku_id", "n_day").agg(F.sum("q").alias("q"), F.sum("n").alias("n"),
-                                                   F.max("wanted").alias("wanted"))
+                  F.max((~in_stock).cast("int")).alias("wanted"))
+             # At most days x locations rows per SKU now: one placement serves both windows.
+             .repartition("sku_id"))
+    # Counting the locations keeps every column of ``local`` in use here too, so both branches are
+    # the same plan up to the placement and it runs once.
+    network = (local.groupBy("sku_id", "n_day")
+               .agg(F.sum("q").alias("q"), F.sum("n").alias("n"), F.max("wanted").alias("wanted"), F.count("loc").alias("locs"))
+               .filter("locs > 0"))
 
     def around(keys):
         return Window.partitionBy(*keys).orderBy("n_day").rangeBetween(-window_days, window_days)
