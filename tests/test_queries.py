@@ -3,12 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
-from shelfwise.plans.catalog import Catalog
+from shelfwise.plans.catalog import Catalog, query_names
 from tests.compare import differences, duck
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = list(entry.queries())
-ORACLE = entry.oracle_sql()
+ORACLE = entry.oracle_sql()  # loads the queries
+NAMES = query_names()
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def test_query_matches_its_twin(name, catalog, con):
 
 
 def test_most_queries_have_a_twin():
-    assert len(ORACLE) >= len(NAMES) - 8
+    assert sum(name in ORACLE for name in NAMES) >= len(NAMES) - 8
 
 
 def test_entry_is_the_reorder_frame(spark):
