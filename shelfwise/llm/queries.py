@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import warc
+from shelfwise.llm import quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,3 +25,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back: its payload's size and digest, and what it revisits."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the ordered rules."""
+    return quality.judged(table(spark, sf_dir, "documents"))

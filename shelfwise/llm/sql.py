@@ -14,3 +14,25 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, digest AS p
        CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN NULL ELSE first_id END AS refers_to
 FROM p JOIN f USING (h) JOIN d USING (h)
 """
+
+ORACLE["op4_quality"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+      FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM w WHERE len(w) > 2)),
+rep AS (SELECT r, unnest([p, p + 1, p + 2]) AS p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+nrep AS (SELECT r, count(DISTINCT p) AS n FROM rep GROUP BY r),
+l AS (SELECT r, count(*) AS lines, count(*) - count(DISTINCT x) AS dups
+      FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0) AS n_lines,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits
+      FROM w LEFT JOIN nrep USING (r) LEFT JOIN l USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_upper > 4 * word_chars
+            OR 10 * n_digits > 4 * word_chars OR 2 * word_chars < 5 * n_words OR word_chars > 15 * n_words
+            OR 2 * n_dup_lines > n_lines) AS kept
+FROM f
+"""
