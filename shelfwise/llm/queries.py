@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import quality, warc
+from shelfwise.llm import packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,3 +31,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the ordered rules."""
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in one slot of a token-budget batch of its length bucket."""
+    return packing.packed(table(spark, sf_dir, "documents"))
