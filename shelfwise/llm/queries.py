@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import packing, quality, warc
+from shelfwise.llm import packing, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,3 +38,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in one slot of a token-budget batch of its length bucket."""
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts, the base digest, and all spans."""
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(only_base=True), 256).alias("base_sha256"), pii.joined().alias("spans"))
