@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import packing, pii, quality, warc
+from shelfwise.llm import packing, pii, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,3 +46,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined(only_base=True), 256).alias("base_sha256"), pii.joined().alias("spans"))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts, the base digest, and all spans."""
+    found = secrets.spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, z -> z.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(only_base=True), 256).alias("base_sha256"), secrets.joined().alias("spans"))
