@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import packing, pii, quality, secrets, warc
+from shelfwise.llm import decontaminate, packing, pii, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,3 +54,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.spans(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(spans, z -> z.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(only_base=True), 256).alias("base_sha256"), secrets.joined().alias("spans"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item) whose question and answer stand in the document."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
