@@ -44,7 +44,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base counts, the base digest, and all spans."""
     found = pii.spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"cast(size(filter(spans, z -> z.base and z.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined(only_base=True), 256).alias("base_sha256"), pii.joined().alias("spans"))
 
 
