@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, neardup, packing, pii, quality, secrets, warc
+from shelfwise.llm import decontaminate, neardup, packing, pii, quality, secrets, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,3 +66,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that a smaller document has."""
+    return suffixes.repeated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
