@@ -80,16 +80,23 @@ def impacts(items: DataFrame) -> DataFrame:
     return scored.join(total, "item").select("item", "item_terms", "term", (F.col("weight") / F.col("total")).alias("impact"))
 
 
+@dataclass
+class Lengths:
+    """Items of like length, at most twice the shortest: their blocks and the passages that suit them."""
+
+    window: int
+    bounds: np.ndarray                                       # (terms, blocks): the largest impact in each block
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (term ids, impacts, item numbers)
+
+
 @dataclass
 class Shard:
     """What tasks get of some items: block bounds for every term, and the postings of each block."""
 
     vocabulary: pa.Array
-    bounds: np.ndarray                     # (terms + 1, blocks); row 0 is for unknown words
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (term ids, impacts, item numbers)
+    lengths: list[Lengths]
     grams: list[tuple[np.ndarray, np.ndarray]]               # question and answer 3-grams by item number
     item_ids: list[int | None]
-    window: int
 
 
 def _gram_codes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -107,23 +114,30 @@ def build_shard(items: list[tuple], postings: list[tuple], block_items: int = 16
     sizes = {p[0]: p[1] for p in postings}
     known = sorted((i for i in items if i[0] in sizes), key=lambda i: (sizes[i[0]], i[0]))
     number = {i[0]: k for k, i in enumerate(known)}
-    n_blocks = -(-len(known) // block_items)
-    bounds = np.zeros((len(vocabulary) + 1, n_blocks), dtype=np.float32)
-    held: list[list[tuple[int, int, float]]] = [[] for _ in range(n_blocks)]
+    of_item: list[list[tuple[int, float]]] = [[] for _ in known]
     for key, _, term, impact in postings:
-        k, t = number[key], term_id[term]
-        held[k // block_items].append((t, k % block_items, impact))
-        bounds[t + 1, k // block_items] = max(bounds[t + 1, k // block_items], impact)
-    blocks = []
-    for b, rows in enumerate(held):
-        terms = np.unique([r[0] for r in rows])
-        matrix = np.zeros((len(terms), block_items))
-        for t, k, impact in rows:
-            matrix[np.searchsorted(terms, t), k] = impact
-        blocks.append((terms, matrix, np.arange(b * block_items, min(len(known), (b + 1) * block_items))))
+        of_item[number[key]].append((term_id[term], impact))
+    lengths, at = [], 0
+    while at < len(known):
+        top = max(16, 1 << (sizes[known[at][0]] - 1).bit_length())
+        stop = next((k for k in range(at, len(known)) if sizes[known[k][0]] > top), len(known))
+        blocks = []
+        for first in range(at, stop, block_items):
+            numbers = np.arange(first, min(first + block_items, stop))
+            terms = np.unique([t for k in numbers for t, _ in of_item[k]])
+            matrix = np.zeros((len(terms), len(numbers)))
+            for k in numbers:
+                for t, impact in of_item[k]:
+                    matrix[np.searchsorted(terms, t), k - first] = impact
+            blocks.append((terms, matrix, numbers))
+        bounds = np.zeros((len(vocabulary), len(blocks)), dtype=np.float32)
+        for b, (terms, matrix, _) in enumerate(blocks):
+            bounds[terms, b] = matrix.max(axis=1)
+        lengths.append(Lengths(2 * sizes[known[stop - 1][0]], bounds, blocks))
+        at = stop
     as_ids = lambda ws: np.array([term_id[w] for w in ws], dtype=np.int64)
     grams = [tuple(_gram_codes(as_ids(part), len(vocabulary)) for part in question_and_answer(i[2])) for i in known]
-    return Shard(pa.array(vocabulary, pa.string()), bounds, blocks, grams, [i[1] for i in known], 2 * max(sizes.values(), default=1))
+    return Shard(pa.array(vocabulary, pa.string()), lengths, grams, [i[1] for i in known])
 
 
 def _passages(offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,35 +150,51 @@ def _passages(offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
     return starts, np.minimum(starts + window, offsets[doc + 1])
 
 
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, one range after the other."""
+    sizes = last - first
+    return np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+
+
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows between the edges."""
+    running = np.zeros((len(values) + 1, values.shape[1]))
+    np.cumsum(values, axis=0, dtype=np.float64, out=running[1:])
+    return running[edges[1:]] - running[edges[:-1]]
+
+
 def search(shard: Shard, ids: np.ndarray, offsets: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple]:
     """(document row, item number, score, question share, answer share, first word) of every verified passage."""
-    starts, ends = _passages(offsets, shard.window)
-    slice_words = max(shard.window, 2_000_000 // max(1, shard.bounds.shape[1]))
-    at, size = 0, len(shard.vocabulary)
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + slice_words)))
-        lo, hi = starts[at], ends[at:stop].max()
-        sums = np.zeros((hi - lo + 1, shard.bounds.shape[1]))
-        np.cumsum(shard.bounds[ids[lo:hi] + 1], axis=0, dtype=np.float64, out=sums[1:])
-        bound = sums[ends[at:stop] - lo] - sums[starts[at:stop] - lo]
-        for p in np.flatnonzero((bound >= threshold - 1e-6).any(axis=1)):
-            words = ids[starts[at + p]:ends[at + p]]
-            own = np.unique(words[words >= 0])
-            codes = None
-            for b in np.flatnonzero(bound[p] >= threshold - 1e-6):
-                terms, matrix, numbers = shard.blocks[b]
-                where = np.searchsorted(terms, own)
-                hit = where < len(terms)
-                hit[hit] = terms[where[hit]] == own[hit]
-                scores = matrix[where[hit]].sum(axis=0)
-                for k in np.flatnonzero(scores[:len(numbers)] >= threshold):
-                    if codes is None:
-                        codes = _gram_codes(words, size)
-                    shares = [np.isin(g, codes, assume_unique=True).mean() if len(g) else 1.0 for g in shard.grams[numbers[k]]]
-                    if min(shares) >= overlap and any(len(g) for g in shard.grams[numbers[k]]):
-                        doc = int(np.searchsorted(offsets, starts[at + p], side="right")) - 1
-                        yield doc, int(numbers[k]), float(scores[k]), *map(float, shares), int(starts[at + p] - offsets[doc])
-        at = stop
+    size = len(shard.vocabulary)
+    for part in shard.lengths:
+        starts, ends = _passages(offsets, part.window)
+        slice_words = max(part.window, 1_500_000 // part.bounds.shape[1])
+        at = 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(starts, starts[at] + slice_words)))
+            s, e = starts[at:stop], ends[at:stop]
+            at = stop
+            word = ids[_spread(s, e)].astype(np.int64)
+            passage = np.repeat(np.arange(len(s)), e - s)
+            pairs = np.unique((passage * size + word)[word >= 0])  # a term counts once in a passage
+            passage, term = np.divmod(pairs, size)
+            edges = np.searchsorted(passage, np.arange(len(s) + 1))
+            bound = _sums(part.bounds[term], edges) >= threshold - 1e-4
+            for b in np.flatnonzero(bound.any(axis=0)):
+                terms, matrix, numbers = part.blocks[b]
+                chosen = np.flatnonzero(bound[:, b])
+                own = term[_spread(edges[chosen], edges[chosen + 1])]
+                where = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+                rows = np.where((terms[where] == own)[:, None], matrix[where], 0.0)
+                scores = _sums(rows, np.concatenate([[0], np.cumsum(edges[chosen + 1] - edges[chosen])]))
+                for p, k in np.argwhere(scores >= threshold):
+                    first, last = s[chosen[p]], e[chosen[p]]
+                    codes = _gram_codes(ids[first:last], size)
+                    grams = shard.grams[numbers[k]]
+                    shares = [np.isin(g, codes, assume_unique=True).mean() if len(g) else 1.0 for g in grams]
+                    if min(shares) >= overlap and any(len(g) for g in grams):
+                        doc = int(np.searchsorted(offsets, first, side="right")) - 1
+                        yield doc, int(numbers[k]), float(scores[p, k]), *map(float, shares), int(first - offsets[doc])
 
 
 def _searcher(shard: Shard, threshold: float, overlap: float):
