@@ -1,14 +1,16 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Document frequencies of all shingles of all documents, in 2**18 hashed counters (a fixed megabyte).
-2. Per document: shingles of five lower-cased words, weight = count * (1 + ln((1 + N) / (1 + df))),
+2. Per document: shingles of five lower-cased words, weight = count * (1 + ln((1 + N) / (1 + df)) / ln(2 + N)),
+   so a rare shingle counts at most twice as much as one that every document has,
    and ``bands * rows`` improved consistent weighted samples (Ioffe's scheme): for shingle s and
    sample k, with r, c ~ Gamma(2, 1) and beta ~ U(0, 1) drawn from a hash of (s, k),
    t = floor(ln w / r + beta) and ln a = ln c - r (t + 1 - beta); the sample is the (s, t) of least a.
    Two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Texts with equal words are one node. Nodes that share a band meet in a bucket. Each round links the
    members of a bucket to its least node, so a bucket of n members gives n - 1 pairs; pairs are
-   verified on whole texts by exact weighted Jaccard similarity. Members that did not fall into the
+   verified on whole texts by exact weighted Jaccard similarity (a pair whose plain counts already
+   reach the threshold is a link too, so that no weight hides a copy). Members that did not fall into the
    component of their bucket's least node go into the next round, until no untested pair is left.
 4. Components of the verified pairs are the classes.
 
@@ -110,13 +112,15 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + ln((1 + N) / (1 + df)) of every hashed counter, over all documents."""
+    """1 + ln((1 + N) / (1 + df)) / ln(2 + N) of every hashed counter, over all documents.
+
+    The bounded form keeps edits of a text that has very many copies from outweighing what they share."""
     counted = docs.select("text").mapInArrow(_counters, "part int, docs long, df binary")
     parts = counted.groupBy("part").applyInPandas(_summed, "part int, docs long, df binary").collect()  # 64 rows of fixed size
     df, n = np.zeros((_RANGES, COUNTERS // _RANGES), dtype=np.int64), sum(p["docs"] for p in parts)
     for p in parts:
         df[p["part"]] = np.frombuffer(p["df"], dtype="<i8")
-    return (1.0 + np.log((1.0 + n) / (1.0 + df.ravel()))).astype(np.float32)
+    return (1.0 + np.log((1.0 + n) / (1.0 + np.minimum(df.ravel(), n))) / np.log(2.0 + n)).astype(np.float32)
 
 
 def _gamma_quantiles(levels: int = 1 << 16) -> np.ndarray:
@@ -212,8 +216,10 @@ def _verifier(idf, threshold: float):
         sets, center = {}, int(rows["center"].iloc[0])
         for k, node in enumerate(rows["node"]):
             if _node(hashes[offsets[k]:offsets[k + 1]]) == node:  # an id may name several texts
-                sets[int(node)] = (s[edges[k]:edges[k + 1]], w[edges[k]:edges[k + 1]])
-        near = [n for n in sets if n != center and center in sets and similarity(sets[center], sets[n]) >= threshold]
+                own = slice(edges[k], edges[k + 1])
+                sets[int(node)] = ((s[own], w[own]), (s[own], counts[own]))
+        near = [n for n in sets if n != center and center in sets
+                and any(similarity(a, b) >= threshold for a, b in zip(sets[center], sets[n]))]
         return pd.DataFrame({"a": pd.Series(near, dtype="int64"), "b": pd.Series([center] * len(near), dtype="int64")})
     return run
 
