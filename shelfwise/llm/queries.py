@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, licenses, neardup, packing, pii, quality, secrets, suffixes, warc
+from shelfwise.llm import decontaminate, licenses, lm, neardup, packing, pii, quality, secrets, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -80,3 +80,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license wording in every document."""
     return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under the base counts and under the trained model."""
+    return lm.scores(table(spark, sf_dir, "documents"))
