@@ -2,16 +2,15 @@
 
 1. Document frequencies of all shingles of all documents, in 2**18 hashed counters (a fixed megabyte).
 2. Per document: shingles of five lower-cased words, weight = count * (1 + ln((1 + N) / (1 + df)) / ln(2 + N)),
-   so a rare shingle counts at most twice as much as one that every document has,
-   and ``bands * rows`` improved consistent weighted samples (Ioffe's scheme): for shingle s and
+   so a rare shingle counts at most twice as much as one that every document has, and ``bands * rows`` improved consistent weighted samples (Ioffe's scheme): for shingle s and
    sample k, with r, c ~ Gamma(2, 1) and beta ~ U(0, 1) drawn from a hash of (s, k),
    t = floor(ln w / r + beta) and ln a = ln c - r (t + 1 - beta); the sample is the (s, t) of least a.
    Two documents agree in a sample with the probability of their weighted Jaccard similarity.
-3. Texts with equal words are one node. Nodes that share a band meet in a bucket. Each round links the
-   members of a bucket to its least node, so a bucket of n members gives n - 1 pairs; pairs are
-   verified on whole texts by exact weighted Jaccard similarity (a pair whose plain counts already
-   reach the threshold is a link too, so that no weight hides a copy). Members that did not fall into the
-   component of their bucket's least node go into the next round, until no untested pair is left.
+3. Texts with equal words are one node. Nodes that share a band meet in a bucket. A bucket of n members
+   gives n - 1 pairs with its busiest node, then one pair with a random node for each member that did
+   not join that node's component, and so on until a round adds no link. Pairs are verified on whole
+   texts by exact weighted Jaccard similarity (a pair whose plain counts already reach the threshold
+   is a link too, so that no weight hides a copy).
 4. Components of the verified pairs are the classes.
 
 A bucket's members are dealt to many tasks when their texts are compared, with the one text all of
@@ -34,16 +33,17 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.shared import kept_columns, settle
+from shelfwise.llm.shared import BLANKS, columns_of, kept_columns, settle
 
 WORDS = 5
 COUNTERS = 1 << 18
 _RANGES = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+_LAST = (1 << 63) - 1
 _BLOCK = 24_000  # shingles handled at once, so that work arrays stay in the cache
 
 
@@ -196,7 +196,8 @@ def _sketcher(idf, sampler: Sampler):
             nodes = [_node(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * sampler.bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), lists], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), lists],
+                                             ["doc_id", "text_key", "node", "bands"])
     return run
 
 
@@ -234,48 +235,83 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, group:
     return members.unionByName(centers).groupBy("center", "part").applyInPandas(_verifier(idf, threshold), "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
-    """(doc_id, class_id): every row and the least doc_id among its near duplicates."""
-    spark = docs.sparkSession
+def _busiest(members: DataFrame) -> DataFrame:
+    """(key, center): of each bucket the node with the most bucket mates, which stands in the middle of its kind."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    mates = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("mates"))
+    ranked = members.join(mates, "node")
+    most = ranked.groupBy("key").agg(F.max("mates").alias("mates"))
+    return ranked.join(most, ["key", "mates"]).groupBy("key").agg(F.min("node").alias("center"))
+
+
+def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame | None:
+    """(node, label) of the nodes that have a verified link, or nothing.
+
+    The first round tests every member of a bucket against its busiest node. In later rounds those
+    that are not in that node's component are tested against another random node of each of their
+    buckets, until a round adds no link."""
+    first = settle(_busiest(members))
+    tested = labels = None
+    turn = 0
+    while True:
+        if labels is None:
+            pairs = members.join(first, "key").select("node", "center")
+        else:
+            named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            middle = first.join(labels.withColumnRenamed("node", "center"), "center", "left").select("key", F.coalesce("label", "center").alias("main"))
+            apart = named.join(middle, "key").where("label <> main").select("key", "node", "label")
+            mask = int(_mix(np.array([turn], dtype=np.uint64))[0] >> np.uint64(1))
+            drawn = named.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask)).alias("center"))
+            other = labels.select(F.col("node").alias("center"), F.col("label").alias("theirs"))
+            pairs = (apart.join(drawn, "key").join(other, "center", "left").where("label <> coalesce(theirs, center)").select("node", "center"))
+        pairs = pairs.where("node <> center").distinct()
+        pairs = settle(pairs if tested is None else pairs.join(tested, ["node", "center"], "left_anti"))
+        near = settle(_verified(pairs, texts, idf, threshold))
+        if not near.limit(1).count():
+            return labels
+        known = near if labels is None else near.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = components(known)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        turn += 1
+
+
+def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """(doc_id, text_key, label): every row and the component of its text, null for a text without words."""
     docs = kept_columns(docs, "doc_id", "text")
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))  # 2**18 floats
-    sketched = settle(docs.mapInArrow(_sketcher(idf, Sampler(bands, rows)), "doc_id long, node long, bands array<long>"))
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))  # 2**18 floats
+    sketched = settle(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        _sketcher(idf, Sampler(bands, rows)), "doc_id long, text_key long, node long, bands array<long>"))
     placed = sketched.where("node is not null").select("node", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = settle(placed.join(shared, "key").distinct())
-    ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ids = F.coalesce("doc_id", F.lit(_LAST))
     involved = members.select("node").distinct()
     rep = sketched.select(ids.alias("id"), "node").join(involved, "node").groupBy("node").agg(F.min("id").alias("id"))
     texts = settle(docs.select(ids.alias("id"), "text").join(rep, "id").select("node", "text"))
-    tested = found = labels = None
-    while True:
-        centers = members.groupBy("key").agg(F.min("node").alias("center"))
-        pairs = members.join(centers, "key").where("node <> center").select("node", "center").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "center"], "left_anti")
-            mine, theirs = labels.withColumnsRenamed({"label": "mine"}), labels.withColumnsRenamed({"node": "center", "label": "theirs"})
-            pairs = (pairs.join(mine, "node", "left").join(theirs, "center", "left")
-                     .where("mine is null or theirs is null or mine <> theirs").select("node", "center"))
-        pairs = settle(pairs)
-        if pairs.limit(1).count():
-            near = settle(_verified(pairs, texts, idf, threshold))
-            found = near if found is None else found.unionByName(near)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            labels = components(found)
-        elif tested is None:
-            break
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        least = named.join(centers, (named["key"] == centers["key"]) & (named["node"] == centers["center"])).select(named["key"], F.col("label").alias("gone"))
-        rest = named.join(least, "key").where("label <> gone").select("key", "node")
-        members = settle(rest)
-        if not members.limit(1).count():
-            break
-    named = sketched.select("doc_id", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    else:
-        named = named.withColumn("label", F.col("node"))
-    ids_of = named.where("node is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
-    return named.join(ids_of, "label", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    labels = _linked(members, texts, idf, threshold)
+    named = sketched.select("doc_id", "text_key", "node")
+    if labels is None:
+        return named.select("doc_id", "text_key", F.col("node").alias("label"))
+    return named.join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """(doc_id, class_id, class_rows): every row and the least doc_id among its near duplicates."""
+    named = settle(labelled(docs, threshold, bands, rows))
+    of_class = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    return named.join(of_class, "label", "left").select(
+        "doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1).cast("long")).alias("class_rows"))
+
+
+def representatives(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """One row of each class, that of the least doc_id (null counts as largest), and all rows without words; own columns."""
+    named = settle(labelled(docs, threshold, bands, rows).where("label is not null").withColumn("__id", F.coalesce("doc_id", F.lit(_LAST))))
+    least = named.groupBy("label").agg(F.min("__id").alias("__id"))
+    keep = (named.join(least, ["label", "__id"]).groupBy("label", "__id").agg(F.min("text_key").alias("__text"))
+            .select("__id", "__text"))
+    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(_LAST)), "__text": F.xxhash64("text")})
+    same = Window.partitionBy("__id", "__text").orderBy("__text")  # rows that repeat one another entirely
+    kept = keyed.join(keep, ["__id", "__text"]).withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    blank = docs.where(~F.coalesce("text", F.lit("")).rlike(BLANKS.replace("[", "[^", 1)))
+    return kept.select(columns_of(docs)).unionByName(blank)

@@ -96,6 +96,12 @@ def _inlined(condition: str, names=FEATURES) -> str:
     return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: f"({FEATURES[m[1]]})", condition)
 
 
+def _over_text(body: str) -> str:
+    """``body`` with __text and __words bound once in the row, so that a filter pushed down keeps them shared."""
+    return (f"transform(array(coalesce(text, '')), __text -> transform(array(array_remove(split(__text, '{_BLANKS}'), '')), "
+            f"__words -> {body})[0])[0]")
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     return (docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
             .withColumn("__words", F.expr(f"array_remove(split(__text, '{_BLANKS}'), '')")))
@@ -112,10 +118,10 @@ def plan(docs: DataFrame, rules=RULES, sample_rows: int = 400, fraction: float =
 
     The sample serves the order alone; every document is judged by every rule it needs."""
     sample = settle(docs.select("text").sample(fraction, seed=7).limit(sample_rows))
-    frame = _prepared(sample)
     measured = []
     for rule in rules:
-        job = frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr(f"cast({_inlined(rule.rejects)} as int)")), F.lit(0)).alias("hit"))
+        hit = F.expr(_over_text(f"cast({_inlined(rule.rejects)} as int)"))
+        job = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum(hit), F.lit(0)).alias("hit"))
         spent = []
         for _ in range(repeats):
             start = time.perf_counter()
@@ -125,19 +131,15 @@ def plan(docs: DataFrame, rules=RULES, sample_rows: int = 400, fraction: float =
     return sorted(measured, key=lambda m: -m[2] / max(m[1], 1e-6))
 
 
-def verdict(rules: list[Rule], lazily: bool) -> Column:
-    """The first rule that rejects, in the given order, or null. ``lazily`` computes features inside the branches."""
-    out = None
-    for rule in rules:
-        condition = F.expr(_inlined(rule.rejects) if lazily else rule.rejects)
-        out = F.when(condition, F.lit(rule.name)) if out is None else out.when(condition, F.lit(rule.name))
-    return out
+def verdict(rules: list[Rule]) -> Column:
+    """The first rule that rejects, in the given order, or ''; features are computed inside the branches."""
+    branches = " ".join(f"WHEN {_inlined(r.rejects)} THEN '{r.name}'" for r in rules)
+    return F.expr(_over_text(f"CASE {branches} ELSE '' END"))
 
 
 def cascade(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    order = [m[0] for m in plan(docs, rules)]
-    return _prepared(docs).where(verdict(order, lazily=True).isNull()).drop("__text", "__words")
+    return docs.where(verdict([m[0] for m in plan(docs, rules)]) == "")
 
 
 def judged(docs: DataFrame, rules=RULES) -> DataFrame:
