@@ -60,7 +60,7 @@ def _compatible() -> dict[str, str]:
 
 
 _TABLE = str.maketrans(_compatible() | LOOK_ALIKES)
-_FOREIGN = re.compile("[" + "".join(re.escape(chr(c)) for c in _TABLE) + "]")
+_FOREIGN = frozenset(map(chr, _TABLE))
 _NAMES = "|".join(DIGIT_NAMES)
 # Digits in a row, spelled or written; possessive parts keep every search linear.
 _DIGIT = rf"(?:{_NAMES}|[0-9]++)(?![A-Za-z])"
@@ -149,7 +149,7 @@ class Mapped:
 
 
 def _look_alikes(m: Mapped) -> None:
-    if not m.text.isascii() and _FOREIGN.search(m.text):
+    if not m.text.isascii() and not _FOREIGN.isdisjoint(m.text):
         m.text = m.text.translate(_TABLE)  # one character for one, so places stay
 
 
