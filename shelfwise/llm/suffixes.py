@@ -3,9 +3,9 @@
 Every ``depth``-byte string that also starts in a document with a smaller id is removed. Sorting all
 suffixes of a corpus at once would ship each byte many times over; instead:
 
-1. Cover sample. Positions i with i mod 31 in a perfect difference set of 6 residues are sampled. For
-   any two positions there is a step below 31 that moves both onto sampled ones, so two equal strings
-   of ``depth`` bytes share an equal sampled window of depth - 30 bytes. Each chunk of texts names its
+1. Cover sample. Positions i with i mod 21 in a perfect difference set of 5 residues are sampled. For
+   any two positions there is a step below 21 that moves both onto sampled ones, so two equal strings
+   of ``depth`` bytes share an equal sampled window of depth - 20 bytes. Each chunk of texts names its
    sampled windows (a fingerprint), and the names are sorted one bucket at a time over the corpus. A
    bucket is the names with the same leading bits; its size has a bound, whatever the corpus.
 2. Ties. Only suffixes within reach of a sampled window that stands in two documents can tie over the
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.shared import kept_columns, new_folder, open_store, settle
 
-PERIOD = 31
-COVER = np.array([1, 5, 11, 24, 25, 27])  # every difference 1..30 modulo 31 occurs exactly once
+PERIOD = 21
+COVER = np.array([3, 6, 7, 12, 14])  # every difference 1..20 modulo 21 occurs exactly once
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LAST = (1 << 63) - 1
 
