@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.shared import BLANKS, columns_of, kept_columns, settle
+from shelfwise.llm.shared import BLANKS, columns_of, kept_columns, settle, slices
 
 WORDS = 5
 COUNTERS = 1 << 18
@@ -95,7 +95,7 @@ def weighted_sets(found: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, docs = np.zeros(COUNTERS, dtype=np.int64), 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         found, edges = shingles(*word_hashes(batch.column(0)))
         docs += batch.num_rows
         doc = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(edges))
@@ -180,7 +180,7 @@ def _weights(idf: np.ndarray, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _sketcher(idf, sampler: Sampler):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             hashes, offsets = word_hashes(batch.column(1))
             s, counts, edges = weighted_sets(*shingles(hashes, offsets))
             log_w = np.log(_weights(weights, s, counts))
@@ -210,18 +210,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verifier(idf, threshold: float):
+    def weighted(text: str) -> tuple[int | None, tuple, tuple]:
+        hashes, offsets = word_hashes(pa.array([text], pa.string()))
+        s, counts, _ = weighted_sets(*shingles(hashes, offsets))
+        return _node(hashes), (s, _weights(idf.value, s, counts)), (s, counts)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, offsets = word_hashes(pa.array(rows["text"], pa.string()))
-        s, counts, edges = weighted_sets(*shingles(hashes, offsets))
-        w = _weights(idf.value, s, counts)
-        sets, center = {}, int(rows["center"].iloc[0])
-        for k, node in enumerate(rows["node"]):
-            if _node(hashes[offsets[k]:offsets[k + 1]]) == node:  # an id may name several texts
-                own = slice(edges[k], edges[k + 1])
-                sets[int(node)] = ((s[own], w[own]), (s[own], counts[own]))
-        near = [n for n in sets if n != center and center in sets
-                and any(similarity(a, b) >= threshold for a, b in zip(sets[center], sets[n]))]
-        return pd.DataFrame({"a": pd.Series(near, dtype="int64"), "b": pd.Series([center] * len(near), dtype="int64")})
+        center = int(rows["center"].iloc[0])
+        # an id may name several texts, so each text is held against its node
+        middle = next((x for t in rows.loc[rows["node"] == center, "text"] if (x := weighted(t))[0] == center), None)
+        near = set()
+        for node, text in zip(rows["node"], rows["text"]):
+            if middle is None or node == center or node in near:
+                continue
+            own = weighted(text)
+            if own[0] == node and any(similarity(a, b) >= threshold for a, b in zip(middle[1:], own[1:])):
+                near.add(int(node))
+        return pd.DataFrame({"a": pd.Series(sorted(near), dtype="int64"), "b": pd.Series([center] * len(near), dtype="int64")})
     return run
 
 
