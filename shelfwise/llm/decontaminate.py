@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import kept_columns, settle, sized_parts
+from shelfwise.llm.shared import kept_columns, settle, sized_parts, slices
 
 LEAK = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 K1, B = 1.2, 0.75
@@ -202,7 +202,7 @@ def _searcher(shard: Shard, threshold: float, overlap: float):
                         ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             flat, offsets = tokens(batch.column(1))
             ids = pc.fill_null(pc.index_in(flat, value_set=shard.vocabulary), -1).to_numpy(zero_copy_only=False)
             best: dict[tuple[int, int], tuple] = {}
@@ -239,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
 
 def _keeper(shard: Shard, threshold: float, overlap: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             flat, offsets = tokens(batch.column(at))
             ids = pc.fill_null(pc.index_in(flat, value_set=shard.vocabulary), -1).to_numpy(zero_copy_only=False)
             keep = np.ones(batch.num_rows, dtype=bool)
