@@ -90,11 +90,13 @@ def train(samples: DataFrame) -> list[float] | None:
         counts[secret][pair] = n
     if not counts[True] or not counts[False]:
         return None
-    size, ratio = len(ALPHABET), []
-    for a in range(size):
-        row = {k: [counts[k].get(a * size + b, 0) + 0.5 for b in range(size)] for k in counts}
-        whole = {k: sum(v) for k, v in row.items()}
-        ratio += [math.log(row[True][b] / whole[True]) - math.log(row[False][b] / whole[False]) for b in range(size)]
+    size, logs = len(ALPHABET), {}
+    for k, n in counts.items():
+        alone = [0.5 + sum(n.get(a * size + b, 0) for a in range(size)) for b in range(size)]
+        share = [x / sum(alone) for x in alone]  # pairs that were not seen fall back to how common the character is
+        row = [sum(n.get(a * size + b, 0) for b in range(size)) for a in range(size)]
+        logs[k] = [math.log((n.get(a * size + b, 0) + 2 * share[b]) / (row[a] + 2)) for a in range(size) for b in range(size)]
+    ratio = [x - y for x, y in zip(logs[True], logs[False])]
     return ratio
 
 
