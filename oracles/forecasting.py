@@ -85,7 +85,7 @@ SELECT m.sku_id, round_even({value}, 4)::DOUBLE AS rank_value FROM sku_master m
   SELECT prod_line_pn, sum(gross_profit)::DOUBLE AS gp FROM sales_detail
   WHERE tran_date >= {D} - 90 AND tran_code IN ('SL', 'SL-I') GROUP BY 1 HAVING sum(gross_profit) > 0) g
   ON g.prod_line_pn = m.sku_id
-WHERE m.abc_class = 'A' ORDER BY {value} DESC, m.sku_id LIMIT 500
+WHERE m.abc_class = 'A'
 """
 
 

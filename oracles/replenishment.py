@@ -90,7 +90,7 @@ WHERE days_of_supply < threshold AND shortfall >= 0.01
 VIEWS["basket_items"] = f"""
 SELECT DISTINCT transaction_date, location_id, invoice_number, sku_id FROM (
   SELECT *, count(DISTINCT sku_id) OVER (PARTITION BY transaction_date, location_id, invoice_number) AS n FROM sales
-  WHERE transaction_date BETWEEN {D} - 2500 AND {D} AND invoice_number IS NOT NULL) WHERE n BETWEEN 2 AND 50
+  WHERE transaction_date BETWEEN {D} - 2500 AND {D} AND invoice_number IS NOT NULL) WHERE n > 1
 """
 VIEWS["basket_rules"] = f"""
 SELECT antecedent_sku, consequent_sku, round_even(s, 6)::DOUBLE AS support, round_even(c, 4)::DOUBLE AS confidence,

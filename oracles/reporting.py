@@ -128,12 +128,12 @@ VIEWS["report_critical_actions"] = f"""
 SELECT * FROM (
   SELECT * FROM (SELECT 'alert' AS kind, severity, alert_key, sku_id, location_id, supplier_id, financial_impact FROM alerts_today
     WHERE severity = 'critical' OR alert_type IN ('CHURN_RISK', 'OPSL_GAP')
-    ORDER BY {_RANK}, financial_impact DESC, alert_key LIMIT 20)
+    ORDER BY {_RANK}, financial_impact DESC, alert_key)
   UNION ALL
   SELECT * FROM (SELECT 'overdue_po', 'critical', 'overdue_po|' || po_number || '|' || line_number || '|' || sku_id, sku_id,
       CAST(NULL AS VARCHAR), supplier_id, round_even(qty_ordered * unit_cost::DOUBLE, 2)::DOUBLE AS v
     FROM purchase_orders WHERE status = 'open' AND expected_delivery_date < {D}
-    ORDER BY expected_delivery_date, po_number, line_number, sku_id, v LIMIT 15)
+    ORDER BY expected_delivery_date, po_number, line_number, sku_id, v)
   UNION ALL
   SELECT 'red_supplier', 'warning', 'red_supplier|' || supplier_id, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), supplier_id, 0::DOUBLE
   FROM supplier_scores WHERE risk_flag = 'red' AND supplier_id IN (SELECT supplier_id FROM purchase_orders WHERE status = 'open'))
@@ -161,7 +161,7 @@ VIEWS["report_understocking_locations"] = f"""
 SELECT x.*, coalesce(lname, location_id) AS location_display FROM (
   SELECT location_id, count(*) AS sku_count, round_even(sum(inventory_value_at_risk), 2)::DOUBLE AS total_value_at_risk,
     count(*) FILTER (WHERE double_confirmed) AS double_confirmed_count, count(*) FILTER (WHERE network_flag) AS network_count
-  FROM understocking_report GROUP BY 1) x {_NAMED}
+  FROM chronic_understocking GROUP BY 1) x {_NAMED}
 """
 VIEWS["report_churn_summary"] = """
 SELECT count(*) FILTER (WHERE flag = 'AT_RISK') AS at_risk, count(*) FILTER (WHERE flag = 'CHURNED') AS churned,

@@ -107,7 +107,7 @@ WHERE (sku_id, location_id) NOT IN (SELECT (sku_id, location_id) FROM recs_yeste
 VIEWS["updated_master"] = """
 SELECT m.sku_id, coalesce(s.last_sale_date, m.last_sale_date) AS last_sale_date,
   coalesce(s.avg_weekly_units, m.avg_weekly_units) AS avg_weekly_units, m.abc_class
-FROM sku_master m LEFT JOIN sku_metrics s ON s.sku_id = m.sku_id AND s.avg_weekly_units > 20
+FROM sku_master m LEFT JOIN sku_metrics s ON s.sku_id = m.sku_id
 """
 VIEWS["retained_forecasts"] = f"SELECT * FROM forecasts WHERE NOT (model_type = 'prophet' AND run_date < {D} - 7)"
 VIEWS["latest_snapshots"] = f"SELECT * EXCLUDE (is_stockout) REPLACE (unit_cost AS unit_cost) FROM inventory WHERE snapshot_date = {D}"
@@ -133,7 +133,7 @@ FROM recommendations WHERE recommendation_type = 'transfer' AND recommendation_d
 """
 VIEWS["export_understocking"] = f"""
 SELECT {_text('location_id', 'sku_id', 'sku_description', 'days_observed', 'days_below_reorder', 'network_flag', 'double_confirmed')}
-FROM understocking_report
+FROM chronic_understocking
 """
 VIEWS["export_stocking_gaps"] = f"""
 SELECT {_text('location_id', 'sku_id', 'transfer_from_location', 'transfer_frequency', 'transfer_streak', 'gap_classification', 'trend_direction', 'confidence')}

@@ -102,7 +102,7 @@ SELECT x.sku_id, x.location_id, coalesce(m.description, '') AS sku_description,
   round_even(daily * unit * 21, 2)::DOUBLE AS inventory_value_at_risk, coalesce(transfers, 0) AS transfer_recommended_count,
   round_even(pct * daily * unit, 4)::DOUBLE AS priority_score,
   round_even(pct * coalesce(gp_per_unit, 0) * daily, 2)::DOUBLE AS financial_severity,
-  round_even(least(coalesce(gp_per_unit, 0), 99.9999), 4)::DOUBLE AS avg_gp_pct,
+  round_even(coalesce(gp_per_unit, 0), 4)::DOUBLE AS avg_gp_pct,
   (x.sku_id, x.location_id) IN (SELECT (prod_line_pn, location_id) FROM outside_purchase_flags
     WHERE flag IN ('HIGH', 'MEDIUM')) AS double_confirmed
 FROM (SELECT x.*, m.description, m.avg_weekly_units / 7 AS daily, coalesce(x.cost, m.unit_cost, 0)::DOUBLE AS unit
@@ -136,8 +136,7 @@ SELECT sku_id, 'LOC-025' AS location_id, {D} AS recommendation_date,
 FROM chronic_understocking WHERE network_flag AND stockout_days_pct > 0.5 GROUP BY 1
 """
 VIEWS["transfer_intelligence"] = """
-SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY tier, location_id ORDER BY priority_score DESC, sku_id) AS r
-FROM (SELECT x.sku_id, location_id, coalesce(nullif(sku_description, ''), m.description, '') AS sku_description, tier,
+SELECT * FROM (SELECT x.sku_id, location_id, coalesce(nullif(sku_description, ''), m.description, '') AS sku_description, tier,
     CASE tier WHEN 1 THEN 'CONFIRMED_GAP' WHEN 2 THEN 'TRANSFER_PATTERN_ONLY' ELSE 'UNDERSTOCKED_ONLY' END AS tier_label,
     transfer_frequency, transfer_streak, gap_score, gap_classification, avg_qty_recommended,
     annual_cost_savings AS annual_transfer_savings, stockout_days_pct, days_below_reorder, days_observed,
@@ -159,9 +158,8 @@ FROM (SELECT x.sku_id, location_id, coalesce(nullif(sku_description, ''), m.desc
         CASE WHEN g.sku_id IS NOT NULL AND u.sku_id IS NOT NULL THEN 1 WHEN g.sku_id IS NOT NULL THEN 2 ELSE 3 END::INTEGER AS tier,
         g.* EXCLUDE (sku_id, location_id), u.* EXCLUDE (sku_id, location_id, double_confirmed)
       FROM (SELECT * FROM stocking_gaps_confirmed WHERE gap_classification IN ('CHRONIC', 'RECURRING')) g
-      FULL JOIN understocking_report u ON u.sku_id = g.sku_id AND u.location_id = g.location_id) x
-    LEFT JOIN sku_master m ON m.sku_id = x.sku_id) x LEFT JOIN sku_master m ON m.sku_id = x.sku_id))
-WHERE r <= 20
+      FULL JOIN chronic_understocking u ON u.sku_id = g.sku_id AND u.location_id = g.location_id) x
+    LEFT JOIN sku_master m ON m.sku_id = x.sku_id) x LEFT JOIN sku_master m ON m.sku_id = x.sku_id)
 """
 VIEWS["resolved_unit_costs"] = f"""
 SELECT k.sku_id, coalesce(s.c, m.unit_cost::DOUBLE, p.c)::DOUBLE AS unit_cost
@@ -186,7 +184,7 @@ LEFT JOIN (SELECT sku_id, supplier_id FROM (SELECT *, row_number() OVER (PARTITI
     FROM purchase_orders WHERE status = 'received') WHERE r = 1) v ON v.sku_id = i.sku_id
 LEFT JOIN (SELECT sku_id, arg_min(location_id, p || location_id) AS loc FROM (
     SELECT sku_id, location_id, '0' AS p FROM recommendations WHERE recommendation_date = {D} AND qty_to_order > 0
-    UNION ALL SELECT sku_id, location_id, '1' AS p FROM understocking_report) GROUP BY 1) t ON t.sku_id = i.sku_id
+    UNION ALL SELECT sku_id, location_id, '1' AS p FROM chronic_understocking) GROUP BY 1) t ON t.sku_id = i.sku_id
 LEFT JOIN (SELECT DISTINCT prod_line_pn FROM sales_detail WHERE tran_date >= {D} - 365) d ON d.prod_line_pn = i.sku_id
 WHERE i.snapshot_date = {D} AND i.qty_on_hand > 0
 """

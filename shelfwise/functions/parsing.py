@@ -36,7 +36,7 @@ def yes(c: Column) -> Column:
 
 
 def location_code(c: Column) -> Column:
-    """'25-CPW - DC' -> 'LOC-025'; text without a leading number is kept."""
+    """'25-Main - DC' -> 'LOC-025'; text without a leading number is kept."""
     head = F.trim(F.split_part(c, F.lit("-"), F.lit(1)))
     digits = F.regexp_replace(head, "^0+(?=[0-9])", "")
     padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
@@ -44,7 +44,7 @@ def location_code(c: Column) -> Column:
 
 
 def tran_code(c: Column) -> Column:
-    return F.substring(F.trim(F.split_part(F.coalesce(c, F.lit("")), F.lit(" - "), F.lit(1))), 1, 20)
+    return F.trim(F.split_part(F.coalesce(c, F.lit("")), F.lit(" - "), F.lit(1)))
 
 
 def meaningful(c: Column, tokens: tuple[str, ...] = params.NULLISH_TOKENS) -> Column:

@@ -11,14 +11,13 @@ from shelfwise.operators.common import day
 from shelfwise.session import settle
 
 
-def baskets(sales: DataFrame, as_of: date, lookback: int = 90, largest: int = 50) -> DataFrame:
-    """Distinct (basket, sku) of invoices with 2 to ``largest`` SKUs. Sizes are counted before any
-    group is formed, so an invoice of any length costs one row per SKU and is then left out."""
+def baskets(sales: DataFrame, as_of: date, lookback: int = 90) -> DataFrame:
+    """Distinct (basket, sku) of invoices with two SKUs or more, however long they are."""
     items = settle(sales.filter(F.col("transaction_date").between(day(as_of, -lookback), day(as_of)))
              .filter("sku_id <> '' and invoice_number <> ''")
              .select(F.struct("transaction_date", "location_id", "invoice_number").alias("basket"), "sku_id").distinct())
     fit = (items.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n").between(2, largest)).select("basket"))
+           .filter("n > 1").select("basket"))
     return items.join(fit, "basket", "left_semi")
 
 
@@ -26,9 +25,8 @@ def basket_rules(items: DataFrame, as_of: date, min_support: float = 0.001, min_
                  min_lift: float = 1.5) -> DataFrame:
     """Rules in both directions between two SKUs.
 
-    A pair is frequent only if both SKUs are, so infrequent SKUs leave before pairs are formed, and
-    a basket holds at most as many SKUs as the size limit lets through. Pairs are counted with
-    map-side partial sums; nothing is kept per group."""
+    A pair is frequent only if both SKUs are, so infrequent SKUs leave before pairs are formed; a basket's
+    pairs are bounded by the frequent SKUs in it. Pairs are counted with map-side partial sums."""
     one_row = items.agg(F.countDistinct("basket").alias("total"))
     support = items.groupBy("sku_id").agg(F.count(F.lit(1)).alias("n"))
     frequent = support.crossJoin(F.broadcast(one_row)).filter(F.col("n") / F.col("total") >= min_support)

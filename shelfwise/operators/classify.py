@@ -211,15 +211,14 @@ def recent_gross_profit(detail: DataFrame, as_of: date, months: int = 12) -> Dat
                  total("sales").alias("sales_12m"), F.sum(qty * w).alias("qty_weighted")))
 
 
-def abc_by_gross_profit(profit: DataFrame, master: DataFrame, min_skus: int = 1000, a: float = 0.10,
+def abc_by_gross_profit(profit: DataFrame, master: DataFrame, by_volume: bool = False, a: float = 0.10,
                         b: float = 0.20) -> DataFrame:
-    """Rank over the whole master by weighted profit, or by weighted volume when too few SKUs earn any."""
+    """Rank over the whole master by weighted profit, or by weighted volume where the caller says so."""
     per_sku = profit.groupBy("sku_id").agg(F.sum("gp_weighted").alias("gpw"), F.sum("gp_12m").alias("gp"),
                                            F.sum("qty_weighted").alias("qw"))
-    enough = per_sku.agg((count_if(F.col("gpw") > 0) >= min_skus).alias("use_gp"))  # one row
     pool = (master.filter(~catch_all_sku(F.col("sku_id"))).select("sku_id", F.col("abc_class").alias("old_class"))
-            .join(per_sku, "sku_id", "left").crossJoin(F.broadcast(enough))
-            .withColumn("metric", F.coalesce(F.when(F.col("use_gp"), F.col("gpw")).otherwise(F.col("qw")), F.lit(0.0))))
+            .join(per_sku, "sku_id", "left")
+            .withColumn("metric", F.coalesce("qw" if by_volume else "gpw", F.lit(0.0))))
     ranked = global_rank(pool, [F.desc(F.round("metric", 6)), F.asc("sku_id")])
     return ranked.select("sku_id", share_class(F.col("rank_idx"), F.col("rank_n"), a, b).alias("abc_class"),
                          F.coalesce("old_class", F.lit("C")).alias("old_class"),

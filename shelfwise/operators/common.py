@@ -93,9 +93,8 @@ def _orderable(df: DataFrame, name: str) -> bool:
 
 
 def newest_run(df: DataFrame, col: str) -> DataFrame:
-    """Rows of the newest run only."""
-    top = df.agg(F.max(col).alias("_top"))
-    return df.join(F.broadcast(top), F.col(col) == F.col("_top"), "left_semi")  # one row
+    """Rows of the newest run only; the day is a scalar, so the scan skips all others."""
+    return df.where(F.col(col) == df.agg(F.max(col)).scalar())
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], group: Sequence[str] = ()) -> DataFrame:

@@ -101,22 +101,17 @@ def covered_targets(master: DataFrame, forecasts: DataFrame, as_of: date, fresh_
     return master.filter("abc_class = 'A'").select("sku_id").intersect(fresh.select("sku_id"))
 
 
-def seasonal_targets(master: DataFrame, detail: DataFrame, as_of: date, top_n: int = 500, lookback: int = 90,
-                     min_skus: int = 100) -> DataFrame:
-    """A-class SKUs for the seasonal model: the top by recent profit, or by stock value moved when
-    fewer than ``min_skus`` of them earned profit."""
+def seasonal_targets(master: DataFrame, detail: DataFrame, as_of: date, lookback: int = 90, by_profit: bool = True) -> DataFrame:
+    """All A-class SKUs for the seasonal model with their rank value: recent profit, or stock value moved."""
     a = master.filter("abc_class = 'A'").select("sku_id", "avg_weekly_units", "unit_cost")
     gp = (detail.filter((F.col("tran_date") >= day(as_of, -lookback)) & F.col("tran_code").isin(*params.SALE_CODES))
           .groupBy(F.col("prod_line_pn").alias("sku_id")).agg(F.sum("gross_profit").cast("double").alias("gp"))
           .filter("gp > 0"))
     hits = a.join(gp, "sku_id", "left")
-    enough = hits.agg((F.count("gp") >= min_skus).alias("by_gp"))  # one row
     units, cost = num("avg_weekly_units"), num("unit_cost")
     moved = F.when(cost > 0, units * cost).otherwise(units)
-    return (hits.crossJoin(F.broadcast(enough))
-            .withColumn("rank_value", F.when(F.col("by_gp"), F.coalesce("gp", F.lit(0.0))).otherwise(moved))
-            .orderBy(F.desc("rank_value"), "sku_id").limit(top_n)
-            .select("sku_id", F.bround("rank_value", 4).alias("rank_value")))
+    value = F.coalesce("gp", F.lit(0.0)) if by_profit else moved
+    return hits.select("sku_id", F.bround(value, 4).alias("rank_value"))
 
 
 def flat_fallback(sales: DataFrame, as_of: date, days: int = 28, spread: float = 0.30, horizon: int = 30,

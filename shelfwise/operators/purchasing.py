@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import params
-from shelfwise.operators.common import (count_if, day, longest_streak, most_frequent, newest_run, num, top_per_group,
+from shelfwise.operators.common import (count_if, day, longest_streak, most_frequent, newest_run, num,
                                         total)
 from shelfwise.session import settle
 
@@ -124,8 +124,7 @@ def confirm_gaps(gaps: DataFrame, flags: DataFrame, detail: DataFrame, start: da
             .drop("hot", "actual"))
 
 
-def transfer_intelligence(gaps: DataFrame, understocked: DataFrame, master: DataFrame, cover_days: float = 21.0,
-                          top_n: int = 20) -> DataFrame:
+def transfer_intelligence(gaps: DataFrame, understocked: DataFrame, master: DataFrame, cover_days: float = 21.0) -> DataFrame:
     """Both signals side by side: confirmed by both, transfers only, understocked only."""
     keys = ["sku_id", "location_id"]
     g = (newest_run(gaps, "analysis_date").filter(F.col("gap_classification").isin("CHRONIC", "RECURRING"))
@@ -148,9 +147,9 @@ def transfer_intelligence(gaps: DataFrame, understocked: DataFrame, master: Data
     priority = (F.when(F.col("tier") == 1, num("inventory_value_at_risk") * (1.0 + num("gap_score")))
                 .when(F.col("tier") == 2, F.coalesce("annual_cost_savings", num("gap_score") * num("total_transfer_value")))
                 .otherwise(num("priority_score")))
-    rows = x.select(
-        *keys, F.substring(F.coalesce(F.when(F.col("sku_description") != "", F.col("sku_description")), F.col("description"),
-                                      F.lit("")), 1, 500).alias("sku_description"), "tier",
+    return x.select(
+        *keys, F.coalesce(F.when(F.col("sku_description") != "", F.col("sku_description")), F.col("description"), F.lit(""))
+        .alias("sku_description"), "tier",
         F.when(F.col("tier") == 1, "CONFIRMED_GAP").when(F.col("tier") == 2, "TRANSFER_PATTERN_ONLY").otherwise("UNDERSTOCKED_ONLY").alias("tier_label"),
         "transfer_frequency", "transfer_streak", "gap_score", "gap_classification", "avg_qty_recommended",
         F.bround("annual_cost_savings", 2).alias("annual_transfer_savings"), "stockout_days_pct", "days_below_reorder",
@@ -160,5 +159,3 @@ def transfer_intelligence(gaps: DataFrame, understocked: DataFrame, master: Data
         .alias("suggested_min_qty"),
         F.bround(F.when(in_under, num("min_qty_gap")).otherwise(F.coalesce(increase, F.lit(0.0))), 2).alias("min_qty_gap"),
         F.bround("cost", 2).alias("unit_cost"), F.bround(priority, 4).alias("priority_score"))
-    order = [F.desc("priority_score"), F.asc("sku_id")]
-    return top_per_group(rows, ["tier", "location_id"], order, top_n).drop("rank_in_group")

@@ -86,7 +86,7 @@ def suspicious_names(master: DataFrame) -> DataFrame:
     token = F.upper(F.col("description"))
     reason = F.when(token.isin(*params.SUSPICIOUS_NAMES), "listed word").otherwise("single word")
     return issues(found, "sku_master", "sku_id", "suspicious_sku_name", reason, "description", "warning",
-                  F.substring("description", 1, 200))
+                  F.col("description"))
 
 
 def negative_inventory(snapshots: DataFrame) -> DataFrame:

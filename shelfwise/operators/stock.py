@@ -137,7 +137,7 @@ def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataF
          .filter("daily > 0 and unit > 0 and pct > 0"))
     suggested = F.col("daily") * cover_days
     rows = settle(x.select(
-        "sku_id", "location_id", F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("sku_description"),
+        "sku_id", "location_id", F.coalesce("description", F.lit("")).alias("sku_description"),
         "days_observed", "days_below_reorder", F.bround("pct", 4).alias("stockout_days_pct"),
         F.bround("daily", 4).alias("avg_daily_demand"), F.bround("current_min", 2).alias("current_min_qty"),
         F.bround(suggested, 2).alias("suggested_min_qty"), F.bround(suggested - F.col("current_min"), 2).alias("min_qty_gap"),
@@ -145,7 +145,7 @@ def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataF
         F.coalesce("transfers", F.lit(0)).alias("transfer_recommended_count"),
         F.bround(F.col("pct") * F.col("daily") * F.col("unit"), 4).alias("priority_score"),
         F.bround(F.col("pct") * num("gp_per_unit") * F.col("daily"), 2).alias("financial_severity"),
-        F.bround(F.least(num("gp_per_unit"), F.lit(99.9999)), 4).alias("avg_gp_pct"),
+        F.bround(num("gp_per_unit"), 4).alias("avg_gp_pct"),
         F.coalesce("double", F.lit(False)).alias("double_confirmed")))
     wide = (rows.filter(F.col("stockout_days_pct") > severe_share).groupBy("sku_id")
             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= network_locations)

@@ -66,12 +66,12 @@ def recent_gross_profit(c):
 @query
 def abc_gross_profit(c):
     # The synthetic catalogue is small, so profit ranks it from the first earning SKU on.
-    return classify.abc_by_gross_profit(c["recent_gross_profit"], c["sku_master"], min_skus=1)
+    return classify.abc_by_gross_profit(c["recent_gross_profit"], c["sku_master"])
 
 
 @query
 def abc_weighted_volume(c):
-    return classify.abc_by_gross_profit(c["recent_gross_profit"], c["sku_master"], min_skus=1 << 40)
+    return classify.abc_by_gross_profit(c["recent_gross_profit"], c["sku_master"], by_volume=True)
 
 
 @query

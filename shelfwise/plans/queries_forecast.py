@@ -47,12 +47,12 @@ def rolling_targets_covered(c):
 
 @query
 def seasonal_targets(c):
-    return forecast.seasonal_targets(c["sku_master"], c["sales_detail"], AS_OF, min_skus=1)
+    return forecast.seasonal_targets(c["sku_master"], c["sales_detail"], AS_OF)
 
 
 @query
 def seasonal_targets_by_volume(c):
-    return forecast.seasonal_targets(c["sku_master"], c["sales_detail"], AS_OF, min_skus=1 << 40)
+    return forecast.seasonal_targets(c["sku_master"], c["sales_detail"], AS_OF, by_profit=False)
 
 
 @query

@@ -152,7 +152,7 @@ def report_stocking_gap_rows(c):
 
 @query
 def report_understocking_locations(c):
-    return reports.understocking_locations(c["understocking_report"], c["locations"])
+    return reports.understocking_locations(c["chronic_understocking"], c["locations"])
 
 
 @query

@@ -26,7 +26,7 @@ def cube_rows(c):
     return settle(c["order_lines"].select(
         e("case when l_orderkey % 101 = 7 then 'n/a' when l_orderkey % 5 = 0 then cast(o_date as string)"
           " when l_orderkey % 7 = 0 then date_format(o_date, 'M/d/yyyy') else date_format(o_date, 'MM/dd/yyyy') end as sale_date"),
-        e("case when o_custkey % 53 = 0 then 'HUB' else concat(o_custkey % 9 + 1, ' -CPW - STORE') end as location"),
+        e("case when o_custkey % 53 = 0 then 'HUB' else concat(o_custkey % 9 + 1, ' -CO - STORE') end as location"),
         e("concat(' ', sku_id) as part"),
         e("case when l_orderkey % 59 = 0 then 'none' else concat(qty_int, '0E-1 ') end as qty"),
         e("case when l_orderkey % 37 = 1 then '' else concat(cents div qty_int, 'E-2') end as price"),
@@ -42,7 +42,7 @@ def cube_rows(c):
         e("case when l_returnflag = 'R' then 'SL-I - SALE-INTERCO' when l_returnflag = 'N' and l_linenumber = 2 then 'CR - CREDIT'"
           " else 'SL - SALE' end as tran"),
         e("concat(' C', o_custkey, '-') as ship_to"), e("case when l_linestatus = 'O' then 'n' else 'Y ' end as stock_flag"),
-        e("case when o_custkey % 6 = 0 then '' else concat((o_custkey + l_partkey) % 9 + 1, '-CPW - X') end as ship_location"),
+        e("case when o_custkey % 6 = 0 then '' else concat((o_custkey + l_partkey) % 9 + 1, '-CO - X') end as ship_location"),
         # Load order is unique, so "first" and "last" mean the same to every engine.
         e("struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) as load_order")))
 
@@ -163,7 +163,7 @@ def inserted_recommendations(c):
 def updated_master(c):
     """Last sale and weekly units refreshed in the master; unsold SKUs keep theirs."""
     master = c["sku_master"].select("sku_id", "last_sale_date", "avg_weekly_units", "abc_class")
-    return sinks.update_columns(master, c["sku_metrics"].filter("avg_weekly_units > 20"), ["sku_id"], ["last_sale_date", "avg_weekly_units"])
+    return sinks.update_columns(master, c["sku_metrics"], ["sku_id"], ["last_sale_date", "avg_weekly_units"])
 
 
 @query
@@ -200,7 +200,7 @@ def export_transfers(c):
 
 @query
 def export_understocking(c):
-    return sinks.export_rows(c["understocking_report"], ["location_id", "sku_id", "sku_description", "days_observed", "days_below_reorder",
+    return sinks.export_rows(c["chronic_understocking"], ["location_id", "sku_id", "sku_description", "days_observed", "days_below_reorder",
                                                          "network_flag", "double_confirmed"])
 
 

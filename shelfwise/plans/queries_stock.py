@@ -57,6 +57,7 @@ def chronic_understocking(c):
 
 @query
 def understocking_report(c):
+    """The top 20 of each location, a view that nothing else reads."""
     return stock.understocking_report(c["chronic_understocking"])
 
 
@@ -67,7 +68,7 @@ def network_orders(c):
 
 @query
 def transfer_intelligence(c):
-    return purchasing.transfer_intelligence(c["stocking_gaps_confirmed"], c["understocking_report"], c["sku_master"])
+    return purchasing.transfer_intelligence(c["stocking_gaps_confirmed"], c["chronic_understocking"], c["sku_master"])
 
 
 @query
@@ -78,7 +79,7 @@ def resolved_unit_costs(c):
 @query
 def dead_stock(c):
     return stock.dead_stock(c["inventory"], c["sku_master"], c["purchase_orders"], c["sales"], c["sales_detail"],
-                            c["recommendations"], c["understocking_report"], AS_OF)
+                            c["recommendations"], c["chronic_understocking"], AS_OF)
 
 
 @query

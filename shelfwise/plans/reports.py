@@ -211,16 +211,15 @@ def morning_brief(alerts: DataFrame, recs: DataFrame) -> DataFrame:
     return critical.crossJoin(F.broadcast(work))  # one row each
 
 
-def critical_actions(alerts: DataFrame, orders: DataFrame, scores: DataFrame, as_of: date, alert_k: int = 20,
-                     overdue_k: int = 15, k: int = 30) -> DataFrame:
+def critical_actions(alerts: DataFrame, orders: DataFrame, scores: DataFrame, as_of: date, k: int = 30) -> DataFrame:
     """Critical and commercial alerts, overdue orders and red suppliers with open orders, by impact."""
     wanted = (F.col("severity") == "critical") | F.col("alert_type").isin("CHURN_RISK", "OPSL_GAP")
     null = F.lit(None).cast("string")
-    a = (alerts.filter(wanted).orderBy(severity_rank(F.col("severity")), F.desc("financial_impact"), "alert_key").limit(alert_k)
+    a = (alerts.filter(wanted)
          .select(F.lit("alert").alias("kind"), "severity", "alert_key", "sku_id", "location_id", "supplier_id", "financial_impact"))
     late = orders.filter((F.col("status") == "open") & (F.col("expected_delivery_date") < day(as_of)))
     value = F.bround(num("qty_ordered") * num("unit_cost"), 2)
-    o = (late.withColumn("v", value).orderBy("expected_delivery_date", "po_number", "line_number", "sku_id", "v").limit(overdue_k)
+    o = (late.withColumn("v", value)
          .select(F.lit("overdue_po").alias("kind"), F.lit("critical").alias("severity"),
                  F.concat_ws("|", F.lit("overdue_po"), F.col("po_number").cast("string"), F.col("line_number").cast("string"), "sku_id").alias("alert_key"),
                  "sku_id", null.alias("location_id"), "supplier_id", F.col("v").alias("financial_impact")))

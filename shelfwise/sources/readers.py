@@ -134,8 +134,8 @@ def enrich_products(vendors: DataFrame, lines: DataFrame, texts: DataFrame) -> D
     v = last(keyed(vendors).withColumn("primary_supplier_id", F.nullif(F.trim("vendor"), F.lit(""))), ["primary_supplier_id"])
     line = last(keyed(lines).withColumn("product_line", F.nullif(F.trim("product_line"), F.lit(""))), ["product_line"])
     text = keyed(texts).filter(~F.col("sku_id").isin(*tokens)).withColumns({
-        "description": F.substring(F.coalesce(p.meaningful(F.col("ext_desc"), tokens), p.meaningful(F.col("prod_desc"), tokens)), 1, 500),
-        "unit_of_measure": F.substring(p.meaningful(F.col("uom"), tokens), 1, 16)})
+        "description": F.coalesce(p.meaningful(F.col("ext_desc"), tokens), p.meaningful(F.col("prod_desc"), tokens)),
+        "unit_of_measure": p.meaningful(F.col("uom"), tokens)})
     return (v.join(line, "sku_id", "full").join(last(text, ["description", "unit_of_measure"]), "sku_id", "full")
             .dropna("all", subset=["primary_supplier_id", "product_line", "description", "unit_of_measure"]))
 
@@ -154,14 +154,14 @@ def pricing_tiers(wide: DataFrame, as_of: date, tiers: tuple[str, ...] = PRICE_T
 def merge_customers(attributes: DataFrame) -> DataFrame:
     """(customer, attribute, value) rows to one row per customer; the last meaningful value wins."""
     x = attributes.withColumn("customer_id", p.meaningful(F.col("customer_id"))).filter("customer_id is not null")
-    value = F.substring(p.meaningful(F.col("value")), 1, 50)
+    value = p.meaningful(F.col("value"))
 
     def pick(name: str):
         return F.max_by(value, F.when((F.col("attribute") == name) & value.isNotNull(), F.col("load_order")))
 
     g = x.groupBy("customer_id").agg(*[pick(a).alias(a) for a in ("salesman_id", "customer_type", "customer_status")])
-    return g.select(F.substring("customer_id", 1, 50).alias("customer_id"), "salesman_id", "customer_type",
-                    F.substring("customer_status", 1, 20).alias("customer_status"))
+    return g.select("customer_id", "salesman_id", "customer_type",
+                    "customer_status")
 
 
 def intercompany_transfers(raw: DataFrame) -> DataFrame:

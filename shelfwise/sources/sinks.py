@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.parsing import spreadsheet_safe
-from shelfwise.operators.common import fill_from
+from shelfwise.operators.common import fill_from, latest_row
 from shelfwise.session import settle
 
 
@@ -45,13 +45,24 @@ def replace_days(df: DataFrame, path: str, day_col: str) -> int:
 
 
 def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str], day_col: str) -> int:
-    """Upsert into a table stored by day: only the days of ``new`` are read and rewritten."""
-    new = settle(new.dropDuplicates(list(keys)))
+    """Upsert into a table stored by day; the newest row per key wins.
+
+    Rows are read and rewritten for the days of ``new`` and for the days its keys stood under before,
+    found from the key columns alone. A day left without rows is stored as an empty one."""
+    others = [c for c in new.columns if c not in keys and c != day_col]
+    new = settle(latest_row(new, list(keys), [day_col, *others]).select(*new.columns))
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
         return replace_days(new, path, day_col)
-    old = spark.read.schema(new.schema).parquet(path).join(new.select(day_col).distinct(), day_col, "left_semi")
-    return replace_days(upsert(old.select(*new.columns), new, keys), path, day_col)
+    stored = spark.read.schema(new.schema).parquet(path)
+    moved = stored.select(*keys, day_col).join(new.select(*keys), list(keys), "left_semi").select(day_col)
+    days = [r[0] for r in new.select(day_col).union(moved).distinct().collect()]  # at most the days of the table
+    merged = settle(upsert(stored.where(F.col(day_col).isin(days)).select(*new.columns), new, keys))
+    left = {r[0] for r in merged.select(day_col).distinct().collect()}
+    rows = replace_days(merged, path, day_col)
+    for gone in sorted(set(days) - left):
+        merged.drop(day_col).limit(0).write.mode("overwrite").parquet(f"{path}/{day_col}={gone}")
+    return rows
 
 
 def export_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -47,9 +47,8 @@ def resume_from(stored: DataFrame, col: str, first: date, overlap_days: int = 30
 
 def rows_to_load(source: DataFrame, stored: DataFrame, source_col: str, stored_col: str, first: date,
                  overlap_days: int = 30) -> DataFrame:
-    """Source rows from the resume point on; the point is a one-row broadcast."""
-    start = resume_from(stored, stored_col, first, overlap_days)
-    return source.join(F.broadcast(start), F.col(source_col) >= F.col("load_from"), "left_semi")
+    """Source rows from the resume point on; the point is a scalar, so the scan skips what was loaded."""
+    return source.where(F.col(source_col) >= resume_from(stored, stored_col, first, overlap_days).scalar())
 
 
 def one_day(source: DataFrame, col: str, day: date) -> DataFrame:

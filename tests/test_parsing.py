@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelfwise import schemas
 from shelfwise.functions import parsing as p
 from shelfwise.operators import quality
+from shelfwise.operators import common
 from shelfwise.sources import readers, sinks
 
 
@@ -24,7 +25,7 @@ def test_iso_date(make):
 
 
 def test_location_code(make):
-    assert _map(make, ["25-CPW - DC", "1 -CPW - BROOKPARK", "007-X", "1234-Z", "HUB", None], p.location_code) == [
+    assert _map(make, ["25-Main - DC", "1 -Main - NORTH", "007-X", "1234-Z", "HUB", None], p.location_code) == [
         "LOC-025", "LOC-001", "LOC-007", "LOC-1234", "HUB", None]
 
 
@@ -112,6 +113,27 @@ def test_replace_days_touches_only_its_days(spark, make, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "c", "x"]
 
 
+def test_a_key_that_changes_its_day_moves(spark, make, tmp_path):
+    path = str(tmp_path / "moved")
+    d1, d2, d3 = (date(2026, 1, k) for k in (1, 2, 3))
+    rows = "k string, v int, d date"
+    sinks.upsert_days(spark, make(rows, [("a", 1, d1), ("b", 1, d1), ("c", 1, d3)]), path, ["k"], "d")
+    sinks.upsert_days(spark, make(rows, [("a", 2, d2), ("c", 2, d2), ("c", 3, d2)]), path, ["k"], "d")
+    got = lambda: sorted((r.k, r.v, r.d) for r in spark.read.schema(rows).parquet(path).collect())
+    assert got() == [("a", 2, d2), ("b", 1, d1), ("c", 3, d2)]
+    sinks.upsert_days(spark, make(rows, [("c", 4, d2)]), path, ["k"], "d")
+    assert got() == [("a", 2, d2), ("b", 1, d1), ("c", 4, d2)]
+
+
+def test_newest_run_prunes_the_scan(spark, make, tmp_path):
+    path = str(tmp_path / "runs")
+    make("k string, d date", [(str(k), date(2026, 1, 1 + k)) for k in range(5)]).write.partitionBy("d").parquet(path)
+    newest = common.newest_run(spark.read.parquet(path), "d")
+    assert [r.k for r in newest.collect()] == ["4"]
+    scan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(d" in scan and "subquery" in scan.lower().split("partitionfilters")[1].split("pushed")[0]
+
+
 def test_export_writes_guarded_cells(spark, make, tmp_path):
     path = str(tmp_path / "csv")
     sinks.export_csv(make("k string, v int", [("=x", 1), ("y", 2)]), ["k", "v"], [F.asc("k")], path)
