@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("told", "label")).alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         new = settle(least.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
-        moved = new.where("label <> next").limit(1).count()
+        moved = new.where("label <> next").limit(1).collect()
         labels = new.select("node", F.col("next").alias("label"))
         if not moved:
             return labels

@@ -7,7 +7,7 @@
    t = floor(ln w / r + beta) and ln a = ln c - r (t + 1 - beta); the sample is the (s, t) of least a.
    Two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Texts with equal words are one node. Nodes that share a band meet in a bucket. A bucket of n members
-   gives n - 1 pairs with its busiest node, then one pair with a random node for each member that did
+   gives n - 1 pairs with its busiest node, then pairs with eight random nodes for each member that did
    not join that node's component, and so on until a round adds no link. Pairs are verified on whole
    texts by exact weighted Jaccard similarity (a pair whose plain counts already reach the threshold
    is a link too, so that no weight hides a copy).
@@ -44,6 +44,7 @@ COUNTERS = 1 << 18
 _RANGES = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _LAST = (1 << 63) - 1
+_DRAWS = 8       # random nodes of a bucket that an unlinked member is tested against in one round
 _BLOCK = 24_000  # shingles handled at once, so that work arrays stay in the cache
 
 
@@ -253,7 +254,7 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     """(node, label) of the nodes that have a verified link, or nothing.
 
     The first round tests every member of a bucket against its busiest node. In later rounds those
-    that are not in that node's component are tested against another random node of each of their
+    that are not in that node's component are tested against a few random nodes of each of their
     buckets, until a round adds no link."""
     first = settle(_busiest(members))
     tested = labels = None
@@ -265,8 +266,9 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
             named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
             middle = first.join(labels.withColumnRenamed("node", "center"), "center", "left").select("key", F.coalesce("label", "center").alias("main"))
             apart = named.join(middle, "key").where("label <> main").select("key", "node", "label")
-            mask = int(_mix(np.array([turn], dtype=np.uint64))[0] >> np.uint64(1))
-            drawn = named.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask)).alias("center"))
+            masks = [int(m) for m in _mix(np.arange(_DRAWS * turn, _DRAWS * (turn + 1), dtype=np.uint64) + np.uint64(1)) >> np.uint64(1)]
+            least = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in masks]
+            drawn = named.groupBy("key").agg(F.array(*least).alias("centers")).select("key", F.explode("centers").alias("center"))
             other = labels.select(F.col("node").alias("center"), F.col("label").alias("theirs"))
             pairs = (apart.join(drawn, "key").join(other, "center", "left").where("label <> coalesce(theirs, center)").select("node", "center"))
         pairs = pairs.where("node <> center").distinct()
