@@ -2,9 +2,10 @@
 
 1. Document frequencies of all shingles of all documents, in 2**18 hashed counters (a fixed megabyte).
 2. Per document: shingles of five lower-cased words, weight = count * (1 + ln((1 + N) / (1 + df)) / ln(2 + N)),
-   so a rare shingle counts at most twice as much as one that every document has, and ``bands * rows`` improved consistent weighted samples (Ioffe's scheme): for shingle s and
-   sample k, with r, c ~ Gamma(2, 1) and beta ~ U(0, 1) drawn from a hash of (s, k),
-   t = floor(ln w / r + beta) and ln a = ln c - r (t + 1 - beta); the sample is the (s, t) of least a.
+   so a rare shingle counts at most twice as much as one that every document has, and ``bands * rows``
+   improved consistent weighted samples (Ioffe's scheme): for shingle s and sample k, with r, c ~
+   Gamma(2, 1) and beta ~ U(0, 1) drawn from a hash of (s, k), t = floor(ln w / r + beta) and
+   ln a = ln c - r (t + 1 - beta); the sample is the (s, t) of least a.
    Two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Texts with equal words are one node. Nodes that share a band meet in a bucket. A bucket of n members
    gives n - 1 pairs with its busiest node, then pairs with eight random nodes for each member that did
@@ -145,16 +146,27 @@ class Sampler:
         """(documents, samples) codes; every document must have a shingle."""
         starts, sizes = edges[:-1], np.diff(edges)
         out = np.empty((len(starts), len(self.seeds)), dtype=np.uint64)
-        scale = np.float32(1 / 65536)
+        scale, half = np.float32(1 / 65536), np.float32(0.5)
+        shifted = np.empty_like(s)
         for k, seed in enumerate(self.seeds):
-            h = _mix(_mix(s ^ seed) * np.uint64(0xC2B2AE3D27D4EB4F))
+            h = s ^ seed
+            for odd, down in ((_ODD[1], np.uint64(32)), (_ODD[3], np.uint64(29))):  # shingles are mixed already
+                h *= odd
+                h ^= np.right_shift(h, down, out=shifted)
             bits = h.view(np.uint16).reshape(-1, 4)
             r = self.r[bits[:, 0]]
-            u = log_w / r + bits[:, 1] * scale
+            u = log_w / r
+            u += bits[:, 1] * scale
             t = np.floor(u)
-            # c is the sum of two exponentials, so -ln c comes from the product of two uniforms
-            c = -np.log((bits[:, 2].astype(np.float32) + np.float32(0.5)) * scale) - np.log((bits[:, 3].astype(np.float32) + np.float32(0.5)) * scale)
-            a = np.log(c) - log_w - r * (np.float32(1) - (u - t))
+            # c is the sum of two exponentials, so it is -ln of the product of two uniforms
+            c = (bits[:, 2] + half) * (scale * scale)
+            c *= bits[:, 3] + half
+            a = np.log(-np.log(c))
+            a -= log_w
+            u -= t
+            u -= np.float32(1)
+            u *= r
+            a += u
             least = np.minimum.reduceat(a, starts)
             hits = np.flatnonzero(a == np.repeat(least, sizes))
             first = hits[np.searchsorted(hits, starts)]  # shingles are sorted, so ties fall alike everywhere
