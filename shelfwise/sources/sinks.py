@@ -58,7 +58,7 @@ def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[s
     moved = stored.select(*keys, day_col).join(new.select(*keys), list(keys), "left_semi").select(day_col)
     days = [r[0] for r in new.select(day_col).union(moved).distinct().collect()]  # at most the days of the table
     merged = settle(upsert(stored.where(F.col(day_col).isin(days)).select(*new.columns), new, keys))
-    left = {r[0] for r in merged.select(day_col).distinct().collect()}
+    left = {r[0] for r in merged.select(day_col).distinct().collect()}  # at most those days
     rows = replace_days(merged, path, day_col)
     for gone in sorted(set(days) - left):
         merged.drop(day_col).limit(0).write.mode("overwrite").parquet(f"{path}/{day_col}={gone}")
