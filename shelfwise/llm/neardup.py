@@ -9,9 +9,10 @@
    Two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Texts with equal words are one node. Nodes that share a band meet in a bucket. A bucket of n members
    gives n - 1 pairs with its busiest node, then pairs with eight random nodes for each member that did
-   not join that node's component, and so on until a round adds no link. Pairs are verified on whole
-   texts by exact weighted Jaccard similarity (a pair whose plain counts already reach the threshold
-   is a link too, so that no weight hides a copy).
+   not join that node's component, for a few rounds. Of the nodes whose buckets are still split, all pairs
+   that a prefix filter over their rarest shingles leaves follow, so none in a crowded bucket is missed.
+   Pairs are verified on whole texts by exact weighted Jaccard similarity (a pair whose plain counts
+   already reach the threshold is a link too, so that no weight hides a copy).
 4. Components of the verified pairs are the classes.
 
 A bucket's members are dealt to many tasks when their texts are compared, with the one text all of
@@ -46,6 +47,7 @@ _RANGES = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _LAST = (1 << 63) - 1
 _DRAWS = 8       # random nodes of a bucket that an unlinked member is tested against in one round
+_ROUNDS = 2      # rounds of such draws, before all pairs that are still apart are tested
 _BLOCK = 24_000  # shingles handled at once, so that work arrays stay in the cache
 
 
@@ -262,20 +264,87 @@ def _busiest(members: DataFrame) -> DataFrame:
     return ranked.join(most, ["key", "mates"]).groupBy("key").agg(F.min("node").alias("center"))
 
 
+def _labels_of(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``nodes`` with the label of each, its own name where it has no link."""
+    if labels is None:
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _shingled(idf):
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("n", pa.float64()), ("w", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = idf.value
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            hashes, offsets = word_hashes(batch.column(1))
+            s, counts, edges = weighted_sets(*shingles(hashes, offsets))
+            # an id may name several texts: only the node's own text counts
+            own = np.array([_node(hashes[a:b]) == n for a, b, n in zip(offsets[:-1], offsets[1:], batch.column(0).to_pylist())], dtype=bool)
+            keep = np.repeat(own, np.diff(edges))
+            node = np.repeat(batch.column(0).to_numpy(), np.diff(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(s.view(np.int64)[keep]), pa.array(counts[keep].astype(np.float64)),
+                                              pa.array(_weights(weights, s, counts)[keep].astype(np.float64))], schema=schema)
+    return run
+
+
+def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame, idf, threshold: float, deal: int = 500) -> DataFrame:
+    """(node, center): every pair of different labels among nodes of crowded buckets that can reach the threshold.
+
+    Similar texts share at least ``threshold`` of the weight of each. In one order of all shingles, the
+    rarest first, the first shingle they share is therefore one from which on that much of either text
+    is left, so only those shingles are joined. What no other node has cannot be shared, which bounds
+    the similarity of a pair from above. A shingle's pairs are dealt to tasks on both sides."""
+    named = _labels_of(members, labels)
+    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    nodes = named.join(open_keys.where("low <> high and size > 2").select("key"), "key").select("node", "label").distinct()
+    held = settle(texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(_shingled(idf), "node long, shingle long, n double, w double"))
+    least = threshold * (1 - 1e-4)  # weights are summed in single precision when a pair is verified
+    whole = held.groupBy("node").agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    df = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    after = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("node")
+    left = (held.join(df, "shingle").join(whole, "node")
+            .withColumns({"left_n": F.sum("n").over(after), "left_w": F.sum("w").over(after),
+                          "common_n": F.sum("n").over(every), "common_w": F.sum("w").over(every)})
+            .where((F.col("left_n") >= least * F.col("all_n")) | (F.col("left_w") >= least * F.col("all_w")))
+            .select("node", "shingle", "all_n", "all_w", "common_n", "common_w"))
+    postings = settle(left.join(nodes, "node"))
+    kinds = postings.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+    parts = kinds.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"),
+                                         F.max("size").alias("most")).where("size > most")
+    parts = parts.select("shingle", "main", F.ceil((F.col("size") - F.col("most")) / deal).alias("rows"), F.ceil(F.col("size") / deal).alias("columns"))
+    dealt = postings.join(parts, "shingle")
+    part = lambda n: F.pmod(F.xxhash64("node"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    facts = ["node", "label", "all_n", "all_w", "common_n", "common_w"]
+    one = (dealt.where("label <> main").withColumns({"row": part("rows"), "column": each("columns")})
+           .select("shingle", "row", "column", *[F.col(c).alias(f"a_{c}") for c in facts]))
+    two = (dealt.withColumns({"column": part("columns"), "row": each("rows")})
+           .select("shingle", "row", "column", "main", *[F.col(c).alias(f"b_{c}") for c in facts]))
+    reach = " or ".join(f"least(a_common_{k}, b_common_{k}) >= {least} * (a_all_{k} + b_all_{k} - least(a_common_{k}, b_common_{k}))" for k in "nw")
+    return (one.join(two, ["shingle", "row", "column"])
+            .where(f"a_label <> b_label and (b_label = main or a_node < b_node) and ({reach})")
+            .select(F.col("b_node").alias("node"), F.col("a_node").alias("center")).distinct())
+
+
 def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame | None:
     """(node, label) of the nodes that have a verified link, or nothing.
 
-    The first round tests every member of a bucket against its busiest node. In later rounds those
-    that are not in that node's component are tested against a few random nodes of each of their
-    buckets, until a round adds no link."""
+    The first round tests every member of a bucket against its busiest node. In up to ``_ROUNDS``
+    further ones, while links are found, those that are not in that node's component are tested
+    against a few random nodes of each of their buckets. These rounds only join what is joined
+    easily: at last every pair that is still apart and can be similar is tested."""
     first = settle(_busiest(members))
     tested = labels = None
-    turn = 0
-    while True:
-        if labels is None:
+    for turn in range(_ROUNDS + 2):
+        last = turn > _ROUNDS or (turn and not found)
+        if not turn:
             pairs = members.join(first, "key").select("node", "center")
+        elif last:
+            pairs = _left_apart(members, labels, texts, idf, threshold)
         else:
-            named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            named = _labels_of(members, labels).select("key", "node", "label")
             middle = first.join(labels.withColumnRenamed("node", "center"), "center", "left").select("key", F.coalesce("label", "center").alias("main"))
             apart = named.join(middle, "key").where("label <> main").select("key", "node", "label")
             masks = [int(m) for m in _mix(np.arange(_DRAWS * turn, _DRAWS * (turn + 1), dtype=np.uint64) + np.uint64(1)) >> np.uint64(1)]
@@ -284,14 +353,18 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
             other = labels.select(F.col("node").alias("center"), F.col("label").alias("theirs"))
             pairs = (apart.join(drawn, "key").join(other, "center", "left").where("label <> coalesce(theirs, center)").select("node", "center"))
         pairs = pairs.where("node <> center").distinct()
-        pairs = settle(pairs if tested is None else pairs.join(tested, ["node", "center"], "left_anti"))
+        if tested is not None:
+            both = tested.unionByName(tested.select(F.col("center").alias("node"), F.col("node").alias("center"))) if last else tested
+            pairs = pairs.join(both, ["node", "center"], "left_anti")
+        pairs = settle(pairs)
         near = settle(_verified(pairs, texts, idf, threshold))
-        if not near.limit(1).count():
+        found = near.limit(1).count() > 0
+        if found:
+            known = near if labels is None else near.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = components(known)
+        if last:
             return labels
-        known = near if labels is None else near.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(known)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
 
 
 def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:

@@ -79,6 +79,25 @@ def test_a_large_group_of_edits_and_a_common_passage(docs):
     assert kept == {g[0] for g in got}
 
 
+def test_a_pair_inside_a_crowded_bucket_is_found_without_a_draw(spark, docs):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage + [word() for _ in range(90)])) for i in range(60)]
+    for i in (7, 23):  # two copies with an edit, in one bucket with 60 texts that have little in common
+        copy = rows[i][1].split()
+        copy[100] = word()
+        rows.append((100 + i, " ".join(copy)))
+    node = {i: neardup._node(neardup.word_hashes(pa.array([t], pa.string()))[0]) for i, t in rows}
+    members = spark.createDataFrame([(n, 1) for n in node.values()], "node long, key long")
+    texts = spark.createDataFrame([(node[i], t) for i, t in rows], "node long, text string")
+    idf = spark.sparkContext.broadcast(neardup.inverse_frequencies(docs(rows)))
+    groups = {}
+    for r in neardup._linked(members, texts, idf, 0.8).collect():
+        groups.setdefault(r.label, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted((node[i], node[100 + i])) for i in (7, 23))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
