@@ -1,14 +1,14 @@
 """License scans by conditional compression.
 
-A block of text is compressed alone and once with each license template as a raw zstandard dictionary.
-The template that saves the largest share of the block explains it best. The winners are confirmed by
-the exact differences in wording: the template's words must be there in order, with few words missing
-or put in between, and no differing number (another version is another license). A winner that
-fails gives way to the next in rank.
+Each template's wording is looked for in windows of words a little longer than it, over the whole text,
+whatever its lines and sentences are. A window with too few of the template's words is passed over;
+the others are held against it by the exact differences in wording: the template's words must be there
+in order, with few words missing or put in between, and no differing number (another version is another
+license). What is found is compressed alone and once with the template as a raw zstandard dictionary,
+and must be explained by it, that is, a large share of its own size must be saved. Of wordings that
+overlap the longest is kept, then the one with the fewest differences, then the largest share.
 
-Blocks: every line with a license word (a longer line is taken sentence by sentence), and from such a
-line on, as many whole lines as a longer template needs. Documents without a license word are left
-out in the scan itself.
+Documents without a license word are left out in the scan itself.
 
 Cases: null and empty texts give no rows. Rows of documents that repeat are each scanned. Texts of any
 length are scanned whole. Ties in rank fall to the template named first. An empty table gives no rows.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -69,13 +70,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|free software"
+CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|free\W+software"
 
 FOUND = ("doc_id long, license string, start long, end long, reduction double, n_differences long, differences string")
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _CUE = re.compile(CUE[4:], re.I)
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?=\s|$)|[.!?](?!\s|$)[^.!?]*)*\s*")
-_LONG_LINE = 400
+_LINE_START = re.compile(r"\s*\n\W*|\s+")
 
 
 def _words(text: str) -> list[tuple[str, int, int]]:
@@ -92,47 +92,15 @@ class Template:
 _PLAIN = zstandard.ZstdCompressor(level=9, write_content_size=False)
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of the lines, a long line as its sentences."""
-    at = 0
-    for line in text.split("\n"):
-        if len(line) <= _LONG_LINE:
-            yield at, at + len(line)
-        else:
-            for m in _SENTENCE.finditer(line):
-                if m[0]:
-                    yield at + m.start(), at + m.end()
-        at += len(line) + 1
-
-
-def _blocks(text: str, sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Candidate spans: pieces with a license word, and runs of pieces from there as long as a template."""
-    spans = list(_pieces(text))
-    for k, (start, end) in enumerate(spans):
-        if not _CUE.search(text, start, end):
-            continue
-        seen = set()
-        for size in [0, *sizes]:
-            last = k
-            while last + 1 < len(spans) and spans[last][1] - start < size and spans[last + 1][1] - start <= 1.5 * size:
-                last += 1
-            if last not in seen:
-                seen.add(last)
-                yield start, spans[last][1]
-
-
-def reductions(block: str, templates: list[Template]) -> list[tuple[float, Template]]:
-    """Share of the block's compressed size that each template saves, the best first."""
-    data = block.encode("utf-8", "surrogatepass")
-    alone = len(_PLAIN.compress(data))
-    ranked = [(1 - len(t.packer.compress(data)) / alone, -k, t) for k, t in enumerate(templates)]
-    return [(share, t) for share, _, t in sorted(ranked, key=lambda r: r[:2], reverse=True)]
-
-
-def wording(block: str, template: Template) -> tuple[int, int, list[str]] | None:
-    """(start, end, differences) of the template's wording in the block, or nothing if a number differs."""
-    words = _words(block)
-    matcher = SequenceMatcher(None, template.words, [w for w, _, _ in words], autojunk=False)
+def reduction(found: str, template: Template) -> float:
+    """Share of the compressed size of a found wording, without marks at line starts, that its template saves."""
+    data = _LINE_START.sub(" ", found).encode("utf-8", "surrogatepass")
+    return 1 - len(template.packer.compress(data)) / len(_PLAIN.compress(data))
+
+
+def wording(words: list[str], template: Template) -> tuple[int, int, list[str]] | None:
+    """(first, end, differences) of the template's wording among the words, or nothing if a number differs."""
+    matcher = SequenceMatcher(None, template.words, words, autojunk=False)
     same = [m for m in matcher.get_matching_blocks() if m.size]
     if not same:
         return None
@@ -141,33 +109,53 @@ def wording(block: str, template: Template) -> tuple[int, int, list[str]] | None
     for op, a, b, c, d in matcher.get_opcodes():
         if op == "equal":
             continue
-        gone, new = template.words[a:b], [w for w, _, _ in words[max(c, first):min(d, last)]]
+        gone, new = template.words[a:b], words[max(c, first):min(d, last)]
         if any(x.isdigit() or x.replace(".", "").isdigit() for x in gone):
             return None
         out += [f"-{w}" for w in gone] + [f"+{w}" for w in new]
-    return words[first][1], words[last - 1][2], out
+    return first, last, out
+
+
+def _wordings(words: list[str], template: Template, differing: float) -> Iterator[tuple[int, int, list[str]]]:
+    """Every place of the template's wording, in order: a window starts at every few words and holds any wording that begins there."""
+    own, most = set(template.words), differing * len(template.words)
+    step = max(1, int(0.4 * len(template.words)))
+    width = step + int(len(template.words) + most) + 1
+    shared = [0, *accumulate(w in own for w in words)]
+    at = 0
+    while at < len(words):
+        end = min(at + width, len(words))
+        told = wording(words[at:end], template) if shared[end] - shared[at] >= len(template.words) - most else None
+        if not told or len(told[2]) > most:
+            at += step
+            continue
+        start = at + told[0]
+        again = wording(words[start:start + width], template)  # the window may have ended inside the wording
+        if again and len(again[2]) <= len(told[2]):
+            told, at = again, start
+        yield at + told[0], at + told[1], told[2]
+        at += told[1]
 
 
 def scan(text: str | None, templates: list[Template], least: float, differing: float) -> list[tuple]:
-    """(license, start, end, reduction, differences) of every confirmed block, in order, none inside another."""
+    """(license, start, end, reduction, differences) of every confirmed wording, in order, none inside another."""
     found = []
     if not text or not _CUE.search(text):
         return found
-    for start, end in _blocks(text, sorted({len(t.text) for t in templates})):
-        block = text[start:end]
-        for share, template in reductions(block, templates):
-            if share < least:
-                break
-            told = wording(block, template)
-            if told and len(told[2]) <= differing * len(template.words):
-                found.append((template.license, start + told[0], start + told[1], share, told[2], len(template.words)))
-                break
-    found.sort(key=lambda f: (-(f[2] - f[1]), len(f[4]), f[1]))  # the longest wording explains what lies within it
+    placed = _words(text)
+    words = [w for w, _, _ in placed]
+    for template in templates:
+        for first, last, differences in _wordings(words, template, differing):
+            start, end = placed[first][1], placed[last - 1][2]
+            share = reduction(text[start:end], template)
+            if share >= least:
+                found.append((template.license, start, end, share, differences))
+    found.sort(key=lambda f: (-(f[2] - f[1]), len(f[4]), f[1], -f[3]))  # the longest wording explains what lies within it
     kept: list[tuple] = []
     for f in found:
         if not any(f[1] < k[2] and k[1] < f[2] for k in kept):
             kept.append(f)
-    return sorted((f[:5] for f in kept), key=lambda f: f[1])
+    return sorted(kept, key=lambda f: f[1])
 
 
 def _scanner(templates: dict[str, tuple[str, ...]], least: float, differing: float):

@@ -1,4 +1,5 @@
 import gzip
+import textwrap
 
 import pytest
 
@@ -66,6 +67,26 @@ def test_wordings(text, names):
     assert [f[0] for f in licenses.scan(text, READY, 0.4, 0.1)] == names
 
 
+NOTICE = "Copyright (c) 2020 Jane Doe, Example Corp. All rights reserved. Released under the MIT License."
+
+
+@pytest.mark.parametrize("text, names", [
+    (NOTICE, ["MIT"]), ("some words of " * 5 + NOTICE, ["MIT"]), ("many words without an end " * 40 + NOTICE, ["MIT"]),
+    ("# " + licenses.TEMPLATES["MPL-2.0"][0].replace("Mozilla Public License", "Mozilla Public\n# License"), ["MPL-2.0"]),
+    ("Code is released under the MIT License, its texts are licensed under CC BY 4.0", ["MIT", "CC-BY-4.0"]),
+    (licenses.TEMPLATES["GPL-3.0"][1] + " " + licenses.TEMPLATES["GPL-2.0"][0], ["GPL-3.0", "GPL-2.0"])])
+def test_notices_are_found_wherever_lines_and_sentences_end(text, names):
+    assert [f[0] for f in licenses.scan(text, READY, 0.4, 0.1)] == names
+
+
+@pytest.mark.parametrize("width", range(20, 100, 7))
+def test_every_template_is_found_at_any_line_width(width):
+    for t in READY:
+        lines = "\n * ".join(textwrap.wrap(t.text, width, break_long_words=False, break_on_hyphens=False))
+        found = licenses.scan(f"/*\n * {lines}\n */\ncode()", READY, 0.4, 0.1)
+        assert [(f[0], f[4]) for f in found] == [(t.license, [])]
+
+
 def test_an_edited_wording_tells_its_differences():
     text = licenses.TEMPLATES["ISC"][0].replace("any purpose", "any lawful purpose")
     found = licenses.scan(text, READY, 0.4, 0.1)
