@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, licenses, lm, neardup, packing, pii, quality, secrets, suffixes, warc
+from shelfwise.llm import decontaminate, licenses, lm, merkle, neardup, packing, pii, quality, secrets, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,3 +86,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-probability under the base counts and under the trained model."""
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its subroot, the root and its proof; a third of the texts are tampered with and checked."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower)
+    return merkle.verified(merkle.manifest(docs, tampered)).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")

@@ -36,3 +36,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 2 * n_dup_lines > n_lines) AS kept
 FROM f
 """
+
+
+def _merkle(levels: int) -> str:
+    """Level tables of eight-fold trees: a group's rows become their parents while it has more than one."""
+    def tree(name: str, leaves: str) -> str:
+        parts = [f"{name}0 AS ({leaves})"]
+        for k in range(levels):
+            parts.append(f"""{name}p{k} AS (SELECT g, i // 8 AS i, n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h
+  FROM {name}{k} GROUP BY g, i // 8, n)""")
+            parts.append(f"{name}{k + 1} AS (SELECT g, i, count(*) OVER (PARTITION BY g) AS n, h FROM {name}p{k})")
+        return ",\n".join(parts)
+
+    def sides(name: str, row: str) -> str:
+        """Left and right siblings of every node of every level."""
+        return ",\n".join(f"""{name}s{k} AS (SELECT g, i, n,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r
+  FROM {name}{k} WINDOW w AS (PARTITION BY g, i // 8 ORDER BY i))""" for k in range(levels))
+
+    folds, last = [], "f0"
+    for name, key, at in (("a", "g", "i"), ("b", "''", "j")):
+        for k in range(levels):
+            step = 8 ** k
+            new = f"{name}f{k}"
+            folds.append(f"""{new} AS (SELECT f.* EXCLUDE (h, proof), CASE WHEN s.n > 1 THEN sha256(s.l || f.h || s.r) ELSE f.h END AS h, f.proof || s.l || s.r AS proof
+  FROM {last} f JOIN {name}s{k} s ON s.g = {'f.g' if name == 'a' else key} AND s.i = f.{at} // {step})""")
+            last = new
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    return f"""
+WITH table256 AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) r(b)),
+d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+      xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, table256),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf,
+           CASE WHEN crc % 3 = 0 AND text IS NOT NULL THEN {leaf('lower_text')} END AS changed FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{tree('a', 'SELECT g, i, n, leaf AS h FROM ranked')},
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS n FROM a{levels}),
+{tree('b', "SELECT '' AS g, j AS i, n, subroot AS h FROM subroots")},
+{sides('a', 'i')},
+{sides('b', 'j')},
+f0 AS (SELECT r.doc_id, r.leaf, r.g, r.i, s.j, s.subroot, coalesce(r.changed, r.leaf) AS h, '' AS proof FROM ranked r JOIN subroots s USING (g)),
+{", ".join(folds)}
+SELECT f.doc_id, f.leaf, f.subroot, b.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = b.h AS verified
+FROM {last} f, b{levels} b
+"""
+
+
+ORACLE["op13_merkle"] = _merkle(8)
