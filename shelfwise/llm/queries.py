@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, licenses, lm, merkle, neardup, packing, pii, quality, secrets, suffixes, warc
+from shelfwise.llm import anchors, decontaminate, licenses, lm, merkle, neardup, packing, pii, quality, secrets, suffixes, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -96,3 +96,17 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower)
     return merkle.verified(merkle.manifest(docs, tampered)).select(
         "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 20-word sequences that start earlier."""
+    return anchors.repeated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 16 leading components, whitened, with its exact deviation from the mean."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))

@@ -86,3 +86,14 @@ FROM {last} f, b{levels} b
 
 
 ORACLE["op13_merkle"] = _merkle(8)
+
+ORACLE["op12_repeated_passages"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n FROM d),
+s AS (SELECT *, CASE WHEN p + 20 <= n THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS s FROM w),
+f AS (SELECT *, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM s),
+c AS (SELECT *, coalesce(max(CASE WHEN again THEN p END) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone FROM f),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
