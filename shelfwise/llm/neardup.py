@@ -11,6 +11,8 @@
    gives n - 1 pairs with its busiest node, then pairs with eight random nodes for each member that did
    not join that node's component, for a few rounds. Of the nodes whose buckets are still split, all pairs
    that a prefix filter over their rarest shingles leaves follow, so none in a crowded bucket is missed.
+   A pair is looked at only if its facts allow it: each node has 1024 parity bits of its shingles, and two
+   sets differ in at least as many shingles as their bits do, and by at least the difference of their sums.
    Pairs are verified on whole texts by exact weighted Jaccard similarity (a pair whose plain counts
    already reach the threshold is a link too, so that no weight hides a copy).
 4. Components of the verified pairs are the classes.
@@ -18,7 +20,7 @@
 A bucket's members are dealt to many tasks when their texts are compared, with the one text all of
 them are compared to. Only counters of fixed size reach the driver.
 
-With 20 bands of 4 a pair of similarity 0.8 shares no band with probability 3e-5. A node is 64 bits of
+With 12 bands of 4 a pair of similarity 0.8 shares no band with probability 0.002. A node is 64 bits of
 a hash of the words; n different texts share one with probability n**2 / 2**65.
 
 Cases: documents without words (null, empty, blanks) each form a class of their own. Texts of fewer
@@ -48,6 +50,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _LAST = (1 << 63) - 1
 _DRAWS = 8       # random nodes of a bucket that an unlinked member is tested against in one round
 _ROUNDS = 2      # rounds of such draws, before all pairs that are still apart are tested
+_BITS = 1024     # parity bits of a node
 _BLOCK = 24_000  # shingles handled at once, so that work arrays stay in the cache
 
 
@@ -224,6 +227,58 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / whole if whole else 0.0
 
 
+def parities(s: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(documents, _BITS / 64) words of parity bits; a shingle's n-th occurrence is an element of its own."""
+    turn = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    bit = _mix(np.repeat(s, counts) ^ (turn.astype(np.uint64) * _ODD[2])) % np.uint64(_BITS)
+    doc = np.repeat(np.repeat(np.arange(len(edges) - 1), np.diff(edges)), counts)
+    cells, times = np.unique(doc * _BITS + bit.astype(np.int64), return_counts=True)
+    cells = cells[times % 2 == 1]
+    out = np.zeros((len(edges) - 1) * _BITS // 64, dtype=np.uint64)
+    np.bitwise_or.at(out, cells // 64, np.uint64(1) << (cells % 64).astype(np.uint64))
+    return out.reshape(len(edges) - 1, -1)
+
+
+_PARITIES = [f"b{k}" for k in range(_BITS // 64)]
+FACTS = ", ".join(["node long, all_n double, all_w double", *[f"{b} long" for b in _PARITIES]])
+
+
+def _facts(idf):
+    """Sums of counts and of weights, and the parity bits of every node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = idf.value
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            hashes, offsets = word_hashes(batch.column(1))
+            s, counts, edges = weighted_sets(*shingles(hashes, offsets))
+            # an id may name several texts: only the node's own text counts
+            own = np.array([_node(hashes[a:b]) == n for a, b, n in zip(offsets[:-1], offsets[1:], batch.column(0).to_pylist())], dtype=bool)
+            sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[edges])
+            bits = parities(s, counts, edges).view(np.int64)[own]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[own]), pa.array(sums(counts)[own]), pa.array(sums(_weights(weights, s, counts))[own]),
+                                              *[pa.array(np.ascontiguousarray(b)) for b in bits.T]], ["node", "all_n", "all_w", *_PARITIES])
+    return run
+
+
+def _can_reach(threshold: float) -> str:
+    """Whether the sets of facts ``a_`` and ``b_`` can reach the threshold, by counts or by weights.
+
+    Sets are similar if they differ in at most (1 - t) / (1 + t) of their sums; weights are 1 at least. The
+    slack covers weights summed in single precision when a pair is verified."""
+    share = (1 - threshold) / (1 + threshold) * (1 + 1e-3)
+    bits = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in _PARITIES)
+    return " or ".join(f"greatest({bits}, abs(a_all_{k} - b_all_{k})) <= {share} * (a_all_{k} + b_all_{k})" for k in "nw")
+
+
+def _prefixed(facts: DataFrame, side: str, key: str) -> DataFrame:
+    return facts.select(F.col("node").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in facts.columns if c != "node"])
+
+
+def _possible(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (node, center) that their facts don't rule out."""
+    both = pairs.join(_prefixed(facts, "a", "node"), "node").join(_prefixed(facts, "b", "center"), "center")
+    return both.where(_can_reach(threshold)).select("node", "center")
+
+
 def _verifier(idf, threshold: float):
     def weighted(text: str) -> tuple[int | None, tuple, tuple]:
         hashes, offsets = word_hashes(pa.array([text], pa.string()))
@@ -288,28 +343,28 @@ def _shingled(idf):
     return run
 
 
-def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame, idf, threshold: float, deal: int = 500) -> DataFrame:
+def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame, known: DataFrame, idf, threshold: float, deal: int = 500) -> DataFrame:
     """(node, center): every pair of different labels among nodes of crowded buckets that can reach the threshold.
 
     Similar texts share at least ``threshold`` of the weight of each. In one order of all shingles, the
     rarest first, the first shingle they share is therefore one from which on that much of either text
     is left, so only those shingles are joined. What no other node has cannot be shared, which bounds
-    the similarity of a pair from above. A shingle's pairs are dealt to tasks on both sides."""
+    the similarity of a pair from above, and so do the facts of both. A shingle's pairs are dealt to tasks
+    on both sides."""
     named = _labels_of(members, labels)
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     nodes = named.join(open_keys.where("low <> high and size > 2").select("key"), "key").select("node", "label").distinct()
     held = settle(texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(_shingled(idf), "node long, shingle long, n double, w double"))
     least = threshold * (1 - 1e-4)  # weights are summed in single precision when a pair is verified
-    whole = held.groupBy("node").agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     df = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     after = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("node")
-    left = (held.join(df, "shingle").join(whole, "node")
+    left = (held.join(df, "shingle").join(known.select("node", "all_n", "all_w"), "node")
             .withColumns({"left_n": F.sum("n").over(after), "left_w": F.sum("w").over(after),
                           "common_n": F.sum("n").over(every), "common_w": F.sum("w").over(every)})
             .where((F.col("left_n") >= least * F.col("all_n")) | (F.col("left_w") >= least * F.col("all_w")))
-            .select("node", "shingle", "all_n", "all_w", "common_n", "common_w"))
-    postings = settle(left.join(nodes, "node"))
+            .select("node", "shingle", "common_n", "common_w"))
+    postings = settle(left.join(nodes, "node").join(known, "node"))
     kinds = postings.groupBy("shingle", "label").agg(F.count("*").alias("size"))
     parts = kinds.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"),
                                          F.max("size").alias("most")).where("size > most")
@@ -317,14 +372,14 @@ def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
     dealt = postings.join(parts, "shingle")
     part = lambda n: F.pmod(F.xxhash64("node"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    facts = ["node", "label", "all_n", "all_w", "common_n", "common_w"]
+    facts = ["node", "label", "all_n", "all_w", "common_n", "common_w", *_PARITIES]
     one = (dealt.where("label <> main").withColumns({"row": part("rows"), "column": each("columns")})
            .select("shingle", "row", "column", *[F.col(c).alias(f"a_{c}") for c in facts]))
     two = (dealt.withColumns({"column": part("columns"), "row": each("rows")})
            .select("shingle", "row", "column", "main", *[F.col(c).alias(f"b_{c}") for c in facts]))
     reach = " or ".join(f"least(a_common_{k}, b_common_{k}) >= {least} * (a_all_{k} + b_all_{k} - least(a_common_{k}, b_common_{k}))" for k in "nw")
     return (one.join(two, ["shingle", "row", "column"])
-            .where(f"a_label <> b_label and (b_label = main or a_node < b_node) and ({reach})")
+            .where(f"a_label <> b_label and (b_label = main or a_node < b_node) and ({reach}) and ({_can_reach(threshold)})")
             .select(F.col("b_node").alias("node"), F.col("a_node").alias("center")).distinct())
 
 
@@ -336,13 +391,14 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     against a few random nodes of each of their buckets. These rounds only join what is joined
     easily: at last every pair that is still apart and can be similar is tested."""
     first = settle(_busiest(members))
+    facts = settle(texts.select("node", "text").mapInArrow(_facts(idf), FACTS))
     tested = labels = None
     for turn in range(_ROUNDS + 2):
         last = turn > _ROUNDS or (turn and not found)
         if not turn:
             pairs = members.join(first, "key").select("node", "center")
         elif last:
-            pairs = _left_apart(members, labels, texts, idf, threshold)
+            pairs = _left_apart(members, labels, texts, facts, idf, threshold)
         else:
             named = _labels_of(members, labels).select("key", "node", "label")
             middle = first.join(labels.withColumnRenamed("node", "center"), "center", "left").select("key", F.coalesce("label", "center").alias("main"))
@@ -356,7 +412,7 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
         if tested is not None:
             both = tested.unionByName(tested.select(F.col("center").alias("node"), F.col("node").alias("center"))) if last else tested
             pairs = pairs.join(both, ["node", "center"], "left_anti")
-        pairs = settle(pairs)
+        pairs = settle(_possible(pairs, facts, threshold))
         near = settle(_verified(pairs, texts, idf, threshold))
         found = near.limit(1).count() > 0
         if found:
@@ -367,7 +423,7 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
         tested = pairs if tested is None else tested.unionByName(pairs)
 
 
-def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
     """(doc_id, text_key, label): every row and the component of its text, null for a text without words."""
     docs = kept_columns(docs, "doc_id", "text")
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))  # 2**18 floats
@@ -387,7 +443,7 @@ def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int
     return named.join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
     """(doc_id, class_id, class_rows): every row and the least doc_id among its near duplicates."""
     named = settle(labelled(docs, threshold, bands, rows))
     of_class = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
@@ -396,7 +452,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int
         F.coalesce("class_rows", F.lit(1).cast("long")).alias("class_rows"))
 
 
-def representatives(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
     """One row of each class, that of the least doc_id (null counts as largest), and all rows without words; own columns."""
     named = settle(labelled(docs, threshold, bands, rows).where("label is not null").withColumn("__id", F.coalesce("doc_id", F.lit(_LAST))))
     least = named.groupBy("label").agg(F.min("__id").alias("__id"))

@@ -61,6 +61,30 @@ def test_samples_agree_as_often_as_sets_are_similar():
     assert abs((codes[0] == codes[1]).mean() - want) < 4 * (want * (1 - want) / codes.shape[1]) ** 0.5
 
 
+def test_facts_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    pool = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(40):
+        base = list(rng.choice(pool, rng.integers(5, 300)))
+        for edits in (0, 1, 2, 5):
+            new = list(base)
+            for k in rng.integers(0, len(base), edits):
+                new[k] = str(rng.choice(pool))
+            texts.append(" ".join(new + base[:20] * int(rng.integers(0, 2))))
+    s, counts, edges = neardup.weighted_sets(*neardup.shingles(*neardup.word_hashes(pa.array(texts, pa.string()))))
+    bits, found = neardup.parities(s, counts, edges), 0
+    sets = [(s[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            low = np.minimum(*[x[1][np.searchsorted(x[0], m := np.intersect1d(a[0], b[0]))] for x in (a, b)]).sum()
+            differ = a[1].sum() + b[1].sum() - 2 * low
+            lower = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert lower <= differ
+            found += lower > differ / 4
+    assert found > 1000  # and they rule out much
+
+
 def test_a_large_group_of_edits_and_a_common_passage(docs):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
