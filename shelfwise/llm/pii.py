@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,13 +110,19 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _is_byte(digits: str) -> bool:
+    """At most 255, however many digits there are."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every identifier in a plain text; failing matches are dropped, not retried."""
     found = []
     if "@" in text:
         found += [("email", *span) for span in emails(text)]
     if text.count(".") > 2:
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(_is_byte(x) for x in m[0].split("."))]
     if LONG_DIGITS.search(text):
         found += [("card", *m.span()) for m in CARD.finditer(text)
                   if 12 <= len(d := NOT_DIGITS.sub("", m[0])) <= 19 and passes_luhn(d)]
@@ -194,13 +201,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         step(m)
     if m.text is text or m.text == text:
         return base, []
-    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for kind, a, b in base:
-        taken[kind].append((a, b))
+    starts: dict[str, list[int]] = {k: [a for kind, a, _ in base if kind == k] for k in KINDS}
+    ends: dict[str, list[int]] = {k: [b for kind, _, b in base if kind == k] for k in KINDS}
     added = []
     for kind, a, b in detect(m.text):
         s, e = m.source(a, b)
-        if not any(x < e and s < y for x, y in taken[kind]):
+        before = bisect_left(starts[kind], e) - 1  # spans of a kind are disjoint and in order
+        if before < 0 or ends[kind][before] <= s:
             added.append((kind, s, e))
     return base, added
 
@@ -232,9 +239,11 @@ def _masker(at: int):
             texts = []
             for text in batch.column(at).to_pylist():
                 base, added = find(text)
+                pieces, at_char = [], 0
                 for kind, a, b in _merged(base + added):
-                    text = f"{text[:a]}<{kind}>{text[b:]}"
-                texts.append(text)
+                    pieces += [text[at_char:a], f"<{kind}>"]
+                    at_char = b
+                texts.append("".join([*pieces, text[at_char:]]) if pieces else text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -242,14 +251,14 @@ def _masker(at: int):
 
 
 def _merged(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Overlapping spans as one, last first; the earliest span names the kind."""
+    """Overlapping spans as one, in order; the earliest span names the kind."""
     out: list[tuple[str, int, int]] = []
     for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
         if out and a < out[-1][2]:
             out[-1] = (out[-1][0], out[-1][1], max(b, out[-1][2]))
         else:
             out.append((kind, a, b))
-    return out[::-1]
+    return out
 
 
 def masked(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -25,7 +26,7 @@ def pii_base(t):
     digits = lambda m: re.sub(r"[^0-9]", "", m[0])
     luhn = lambda d: sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
     s = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
-    s += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    s += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
     s += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
     s += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
     return [(pii.KINDS[k], a, b) for a, k, b in sorted(s)]
@@ -107,3 +108,15 @@ def test_odd_rows(odd, none):
     masked = pii.masked(odd)
     assert masked.columns == odd.columns and {r.text[-7:] for r in masked.where("doc_id in (5, 6)").collect()} == {"<email>"}
     assert masked.where("text is null").count() == 2 and pii.masked(none).count() == 0
+
+
+def test_long_numbers_and_many_spans_take_linear_time(docs):
+    digits = "1" * 5000 + ".1.1.1 and " + "0" * 5000 + "7.1.1.1"
+    assert [(k, digits[a:b][-7:]) for k, a, b in pii.find(digits)[0]] == [("ip", "7.1.1.1")]
+    many = " ".join(f"u{k}@example.com" for k in range(40_000)) + " jane at example dot com"
+    began = time.process_time()
+    base, added = pii.find(many)
+    assert len(base) == 40_000 and [many[a:b] for _, a, b in added] == ["jane at example dot com"]
+    assert time.process_time() - began < 5
+    masked = pii.masked(docs([(1, many), (2, digits), (3, "nothing here"), (4, None)])).collect()
+    assert {r.doc_id: r.text for r in masked} == {1: " ".join(["<email>"] * 40_001), 2: "1" * 5000 + ".1.1.1 and <ip>", 3: "nothing here", 4: None}
