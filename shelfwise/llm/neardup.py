@@ -259,14 +259,14 @@ def _facts(idf):
     return run
 
 
-def _can_reach(threshold: float) -> str:
-    """Whether the sets of facts ``a_`` and ``b_`` can reach the threshold, by counts or by weights.
+def _can_reach(threshold: float, by: str) -> str:
+    """Whether the sets of facts ``a_`` and ``b_`` can reach the threshold, by counts (``n``) or by weights (``w``).
 
     Sets are similar if they differ in at most (1 - t) / (1 + t) of their sums; weights are 1 at least. The
     slack covers weights summed in single precision when a pair is verified."""
     share = (1 - threshold) / (1 + threshold) * (1 + 1e-3)
     bits = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in _PARITIES)
-    return " or ".join(f"greatest({bits}, abs(a_all_{k} - b_all_{k})) <= {share} * (a_all_{k} + b_all_{k})" for k in "nw")
+    return f"greatest({bits}, abs(a_all_{by} - b_all_{by})) <= {share} * (a_all_{by} + b_all_{by})"
 
 
 def _prefixed(facts: DataFrame, side: str, key: str) -> DataFrame:
@@ -276,7 +276,7 @@ def _prefixed(facts: DataFrame, side: str, key: str) -> DataFrame:
 def _possible(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (node, center) that their facts don't rule out."""
     both = pairs.join(_prefixed(facts, "a", "node"), "node").join(_prefixed(facts, "b", "center"), "center")
-    return both.where(_can_reach(threshold)).select("node", "center")
+    return both.where(" or ".join(_can_reach(threshold, k) for k in "nw")).select("node", "center")
 
 
 def _verifier(idf, threshold: float):
@@ -348,8 +348,9 @@ def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
 
     Similar texts share at least ``threshold`` of the weight of each. In one order of all shingles, the
     rarest first, the first shingle they share is therefore one from which on that much of either text
-    is left, so only those shingles are joined. What no other node has cannot be shared, which bounds
-    the similarity of a pair from above, and so do the facts of both. A shingle's pairs are dealt to tasks
+    is left, so only those shingles are joined, and at that shingle both must have the overlap left that
+    the sum of the two asks for. What no other node has cannot be shared, which bounds the similarity of a
+    pair from above, and so do the facts of both. A shingle's pairs are dealt to tasks
     on both sides."""
     named = _labels_of(members, labels)
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
@@ -363,7 +364,7 @@ def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
             .withColumns({"left_n": F.sum("n").over(after), "left_w": F.sum("w").over(after),
                           "common_n": F.sum("n").over(every), "common_w": F.sum("w").over(every)})
             .where((F.col("left_n") >= least * F.col("all_n")) | (F.col("left_w") >= least * F.col("all_w")))
-            .select("node", "shingle", "common_n", "common_w"))
+            .select("node", "shingle", "left_n", "left_w", "common_n", "common_w"))
     postings = settle(left.join(nodes, "node").join(known, "node"))
     kinds = postings.groupBy("shingle", "label").agg(F.count("*").alias("size"))
     parts = kinds.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"),
@@ -372,14 +373,15 @@ def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
     dealt = postings.join(parts, "shingle")
     part = lambda n: F.pmod(F.xxhash64("node"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    facts = ["node", "label", "all_n", "all_w", "common_n", "common_w", *_PARITIES]
+    facts = ["node", "label", "all_n", "all_w", "left_n", "left_w", "common_n", "common_w", *_PARITIES]
     one = (dealt.where("label <> main").withColumns({"row": part("rows"), "column": each("columns")})
            .select("shingle", "row", "column", *[F.col(c).alias(f"a_{c}") for c in facts]))
     two = (dealt.withColumns({"column": part("columns"), "row": each("rows")})
            .select("shingle", "row", "column", "main", *[F.col(c).alias(f"b_{c}") for c in facts]))
-    reach = " or ".join(f"least(a_common_{k}, b_common_{k}) >= {least} * (a_all_{k} + b_all_{k} - least(a_common_{k}, b_common_{k}))" for k in "nw")
+    reach = " or ".join(f"(least(a_common_{k}, b_common_{k}, a_left_{k}, b_left_{k}) >= {least / (1 + least)} * (a_all_{k} + b_all_{k}) and {_can_reach(threshold, k)})"
+                        for k in "nw")
     return (one.join(two, ["shingle", "row", "column"])
-            .where(f"a_label <> b_label and (b_label = main or a_node < b_node) and ({reach}) and ({_can_reach(threshold)})")
+            .where(f"a_label <> b_label and (b_label = main or a_node < b_node) and ({reach})")
             .select(F.col("b_node").alias("node"), F.col("a_node").alias("center")).distinct())
 
 
