@@ -98,7 +98,7 @@ SELECT sku_id, location_id, {D} + CAST(unnest(range(0, 30)) AS INTEGER) AS forec
   round_even(m, 4)::DOUBLE AS predicted_qty, round_even(m * (1 - 0.3::DOUBLE), 4)::DOUBLE AS lower_bound,
   round_even(m * (1 + 0.3::DOUBLE), 4)::DOUBLE AS upper_bound, 0.95::DOUBLE AS confidence_pct, {D} AS run_date
 FROM (SELECT sku_id, location_id, greatest(0, coalesce(avg(demand) FILTER (WHERE day >= {D} - 28), avg(demand))) AS m
-  FROM daily_demand WHERE day >= {D} - 365 AND day < {D} GROUP BY 1, 2)
+  FROM daily_demand WHERE day < {D} GROUP BY 1, 2)
 """
 
 VIEWS["weather_streaks"] = """

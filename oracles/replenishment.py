@@ -57,7 +57,7 @@ SELECT *, greatest(0, target - qty_on_hand - qty_on_order)::DOUBLE AS shortfall
   FROM (SELECT i.sku_id, i.location_id, i.qty_on_hand, i.qty_on_order, i.buyer_min, m.abc_class, m.xyz_class, v.supplier_id,
       s.risk_flag, coalesce(nullif(s.avg_lead_time_days, 0), 7)::DOUBLE AS lead_days, f.avg_daily, f.model_used,
       coalesce(nullif(s.avg_lead_time_days, 0), 7)::DOUBLE + 7 AS threshold,
-      CASE WHEN f.avg_daily > 0 THEN i.qty_on_hand / f.avg_daily ELSE 9999.99 END::DOUBLE AS days_of_supply
+      CASE WHEN f.avg_daily > 0 THEN i.qty_on_hand / f.avg_daily END::DOUBLE AS days_of_supply
     FROM latest_stock i JOIN active_skus m ON m.sku_id = i.sku_id
     JOIN selected_forecasts f ON f.sku_id = i.sku_id AND f.location_id = i.location_id
     JOIN (SELECT m.sku_id, coalesce(nullif(m.primary_supplier_id, ''), b.supplier_id) AS supplier_id FROM active_skus m
@@ -74,7 +74,7 @@ SELECT n.sku_id, n.location_id, {D} AS recommendation_date,
     FROM chronic_gap_pairs) THEN 1.5 ELSE 1 END::DOUBLE, 0) AS BIGINT))::BIGINT AS qty_to_order,
   CASE WHEN src IS NULL THEN supplier_id END AS supplier_id, CASE WHEN src IS NULL THEN 'po' ELSE 'transfer' END
     AS recommendation_type, src AS transfer_from_location,
-  CASE WHEN days_of_supply < 9999.99 THEN round_even(days_of_supply, 2) ELSE 9999.99 END::DOUBLE AS days_of_supply_remaining,
+  round_even(days_of_supply, 2)::DOUBLE AS days_of_supply_remaining,
   CASE WHEN days_of_supply < 3 THEN 'critical' WHEN days_of_supply < 7 THEN 'warning' ELSE 'normal' END AS urgency,
   model_used AS forecast_model_used, CASE WHEN src IS NULL THEN risk_flag END AS supplier_risk_flag
 FROM stock_positions n LEFT JOIN (

@@ -154,3 +154,11 @@ WHERE tran_date >= (SELECT max(transaction_date) FROM sales WHERE transaction_da
 """
 VIEWS["daily_load"] = f"SELECT transaction_id, tran_date, prod_line_pn, qty_ship FROM sales_detail WHERE tran_date = {D}"
 VIEWS["extended_streaks"] = f"SELECT * FROM weather_rows WHERE log_date >= {D} - 40"
+
+VIEWS["reloaded_orders"] = """
+WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, date_trunc('month', o_orderdate)::DATE AS month FROM orders)
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN (month + INTERVAL 3 MONTH)::DATE ELSE month END AS month,
+       CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS seq, count(*)::BIGINT AS orders,
+       sum(CASE WHEN o_orderkey % 5 = 0 THEN cents + 1 ELSE cents END)::BIGINT AS cents
+FROM o GROUP BY 1, 2
+"""

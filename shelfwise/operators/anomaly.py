@@ -21,12 +21,13 @@ def daily_profile(sales: DataFrame, as_of: date, lookback: int = 365) -> DataFra
                  F.count(F.lit(1)).alias("sales")))
 
 
-def isolation_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) -> np.ndarray:
-    """Isolation-forest score of each row (higher is more unusual); all trees grow level by level."""
+def isolation_scores(x: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """Isolation-forest score of each row (higher is more unusual); each tree sees all rows, and all
+    trees grow level by level."""
     rng = np.random.default_rng(seed)
     n, f = x.shape
-    size = min(sample, n)
-    picks = np.argsort(rng.random((trees, n)), axis=1)[:, :size]
+    size = n
+    picks = np.tile(np.arange(n), (trees, 1))
     node_s = np.zeros((trees, size), dtype=np.int64)
     node_x = np.zeros((trees, n), dtype=np.int64)
     depth = np.zeros((trees, n))

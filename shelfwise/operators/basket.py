@@ -21,20 +21,29 @@ def baskets(sales: DataFrame, as_of: date, lookback: int = 90) -> DataFrame:
     return items.join(fit, "basket", "left_semi")
 
 
+def _pairs(items: DataFrame, block: int) -> DataFrame:
+    """(a, b, together): how many baskets hold both SKUs, a before b.
+
+    An invoice of n SKUs is cut into n / block parts by a hash of the SKU, and each two parts meet in a
+    task of their own as plain rows, so no list is copied and an invoice has no longest size. A row is sent
+    once for each part it meets; pairs are counted with map-side partial sums."""
+    parts = items.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    dealt = items.join(parts, "basket").withColumn("own", F.pmod(F.xxhash64("sku_id"), "parts"))
+    one = dealt.select("basket", F.col("sku_id").alias("one"), F.col("own").alias("p"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("q"))
+    two = dealt.select("basket", F.col("sku_id").alias("two"), F.col("own").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("p"))
+    met = one.join(two, ["basket", "p", "q"]).where("p < q or one < two")
+    return met.groupBy(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).agg(F.count(F.lit(1)).alias("together"))
+
+
 def basket_rules(items: DataFrame, as_of: date, min_support: float = 0.001, min_confidence: float = 0.3,
-                 min_lift: float = 1.5) -> DataFrame:
+                 min_lift: float = 1.5, block: int = 256) -> DataFrame:
     """Rules in both directions between two SKUs.
 
-    A pair is frequent only if both SKUs are, so infrequent SKUs leave before pairs are formed; a basket's
-    pairs are bounded by the frequent SKUs in it. Pairs are counted with map-side partial sums."""
-    one_row = items.agg(F.countDistinct("basket").alias("total"))
+    A pair is frequent only if both SKUs are, so infrequent SKUs leave before pairs are formed."""
+    one_row = items.select("basket").distinct().agg(F.count(F.lit(1)).alias("total"))
     support = items.groupBy("sku_id").agg(F.count(F.lit(1)).alias("n"))
     frequent = support.crossJoin(F.broadcast(one_row)).filter(F.col("n") / F.col("total") >= min_support)
-    kept = items.join(frequent.select("sku_id"), "sku_id", "left_semi")
-    listed = kept.groupBy("basket").agg(F.array_sort(F.collect_list("sku_id")).alias("skus")).filter(F.size("skus") > 1)
-    first = listed.select("skus", F.posexplode("skus").alias("i", "a"))
-    pairs = (first.select("a", F.explode(F.slice("skus", F.col("i") + 2, F.size("skus"))).alias("b"))
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")))
+    pairs = _pairs(items.join(frequent.select("sku_id"), "sku_id", "left_semi"), block)
     both = pairs.select("a", "b", "together").union(pairs.select("b", "a", "together"))
     x = (both.join(frequent.select(F.col("sku_id").alias("a"), F.col("n").alias("n_a"), "total"), "a")
          .join(frequent.select(F.col("sku_id").alias("b"), F.col("n").alias("n_b")), "b"))

@@ -127,16 +127,37 @@ def flat_fallback(sales: DataFrame, as_of: date, days: int = 28, spread: float =
     return _over_horizon(rows, as_of, horizon, "prophet", 0.95)
 
 
-def freeze_features(weather: DataFrame) -> DataFrame:
-    """Freeze-thaw flag and running streak of freezing days; a missing minimum ends the streak."""
-    cold = F.coalesce(F.col("temp_min_f") < 32, F.lit(False))
-    by_day = Window.orderBy("log_date")  # one row per calendar day of one station
-    w = weather.withColumn("_cold", cold.cast("int")).withColumn(
-        "_island", F.sum(1 - F.col("_cold")).over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("_island").orderBy("log_date").rowsBetween(Window.unboundedPreceding, 0)
-    return (w.withColumn("consecutive_freeze_days", F.sum("_cold").over(run).cast("int"))
+def freeze_features(weather: DataFrame, station: str | None = None, before: DataFrame | None = None, block_days: int = 1024) -> DataFrame:
+    """Freeze-thaw flag and running streak of freezing days of each station; a missing minimum ends the streak.
+
+    A segmented scan in two levels: a station's days are cut into blocks, each counted by itself and
+    summed up in one row (does it hold a warm day, and how many cold ones follow its last); the rows of a
+    station's blocks, in order, give the streak that reaches into each block. So a station is many tasks.
+    ``before`` (station, streak) is the streak that each station brings along: one more block."""
+    days = ["_station", "_block"]
+    cold = F.coalesce(F.col("temp_min_f") < 32, F.lit(False)).cast("int")
+    number = F.floor(F.datediff(F.col("log_date"), F.lit(date(1970, 1, 1))) / block_days)
+    w = weather.withColumns({"_station": F.lit("") if station is None else F.col(station).cast("string"), "_cold": cold,
+                             "_block": F.coalesce(number, F.lit(-(1 << 40)))})
+    so_far = Window.partitionBy(*days).orderBy("log_date").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*days, "_warm").orderBy("log_date").rowsBetween(Window.unboundedPreceding, 0)
+    w = w.withColumn("_warm", F.sum(1 - F.col("_cold")).over(so_far)).withColumn("_run", F.sum("_cold").over(run))
+    blocks = (w.groupBy(*days, "_warm").agg(F.sum("_cold").alias("_tail")).groupBy(*days)
+              .agg(F.max_by("_tail", "_warm").alias("_tail"), F.max("_warm").alias("_warm")))
+    if before is not None:
+        name = F.lit("") if station is None else F.col(station).cast("string")
+        blocks = blocks.unionByName(before.select(name.alias("_station"), F.lit(-(1 << 41)).alias("_block"),
+                                                  F.col("streak").cast("long").alias("_tail"), F.lit(1).cast("long").alias("_warm")))
+    order = Window.partitionBy("_station").orderBy("_block")
+    blocks = blocks.withColumn("_part", F.sum((F.col("_warm") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("_station", "_part").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    carried = (blocks.withColumn("_reach", F.sum("_tail").over(within))
+               .select(F.col("_station").alias("_s"), F.col("_block").alias("_b"), F.lag("_reach", 1, 0).over(order).alias("_carry")))
+    joined = w.join(carried, F.col("_station").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+    streak = F.col("_run") + F.when(F.col("_warm") == 0, F.col("_carry")).otherwise(0)
+    return (joined.withColumn("consecutive_freeze_days", streak.cast("int"))
             .withColumn("freeze_thaw_cycle", F.coalesce((F.col("temp_min_f") < 32) & (F.col("temp_max_f") >= 32), F.lit(False)))
-            .drop("_cold", "_island"))
+            .drop("_station", "_cold", "_block", "_warm", "_run", "_s", "_b", "_carry"))
 
 
 WEATHER_FEATURES = ("temp_min_f", "freeze_thaw_cycle", "snowfall_in", "consecutive_freeze_days")

@@ -106,7 +106,7 @@ def stock_positions(stock: DataFrame, skus: DataFrame, at_risk: DataFrame, score
     x = select_forecast(stock.join(info, "sku_id"), means, shares, p)
     demand = F.when(F.col("avg_daily") > 0, F.col("avg_daily"))
     return (x.withColumn("threshold", F.col("lead_days") + p.safety_days)
-            .withColumn("days_of_supply", F.coalesce(F.col("qty_on_hand") / demand, F.lit(p.supply_cap)))
+            .withColumn("days_of_supply", F.col("qty_on_hand") / demand)  # null: it never ends
             .withColumn("target", F.col("avg_daily") * F.col("threshold") * safety_multiplier(F.col("xyz_class")))
             .withColumn("shortfall", F.greatest(F.lit(0.0), F.col("target") - F.col("qty_on_hand") - F.col("qty_on_order"))))
 
@@ -159,7 +159,7 @@ def recommend(positions: DataFrame, chronic: DataFrame, as_of: date, p: params.R
         whole_units(F.col("shortfall") * F.coalesce("boost", F.lit(1.0))).alias("qty_to_order"),
         F.when(~moved, F.col("supplier_id")).alias("supplier_id"),
         F.when(moved, "transfer").otherwise("po").alias("recommendation_type"), "transfer_from_location",
-        F.when(days < p.supply_cap, F.bround(days, 2)).otherwise(F.lit(p.supply_cap)).alias("days_of_supply_remaining"),
+        F.bround(days, 2).alias("days_of_supply_remaining"),
         urgency(days, p).alias("urgency"), F.col("model_used").alias("forecast_model_used"),
         F.when(~moved, F.col("risk_flag")).alias("supplier_risk_flag"))
 

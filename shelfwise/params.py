@@ -38,7 +38,6 @@ class Reorder:
     safety_days: float = 7.0
     default_lead_days: float = 7.0
     min_order_qty: float = 0.01
-    supply_cap: float = 9999.99
     critical_days: float = 3.0
     warning_days: float = 7.0
     coverage_days: float = 60.0

@@ -77,7 +77,7 @@ def margin_drops(c):
 @frame
 def seasonal_features(c):
     a = c["sku_master"].filter("abc_class = 'A'").select("sku_id")
-    return settle(forecast.feature_frame(c["sales"], a, c["weather"], c["demand_quality"], c["sku_master"], AS_OF))
+    return settle(forecast.feature_frame(c["sales"], a, c["weather"], c["demand_quality"], c["sku_master"], AS_OF, training_days=730))
 
 
 @query

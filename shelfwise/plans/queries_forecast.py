@@ -57,7 +57,7 @@ def seasonal_targets_by_volume(c):
 
 @query
 def flat_forecast(c):
-    return forecast.flat_fallback(c["sales"], AS_OF, history=365)
+    return forecast.flat_fallback(c["sales"], AS_OF)
 
 
 @frame

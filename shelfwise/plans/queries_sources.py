@@ -14,7 +14,7 @@ from shelfwise.operators.common import latest_row
 from shelfwise.plans import reports
 from shelfwise.plans.catalog import AS_OF, frame, query
 from shelfwise.session import settle, shared_folder
-from shelfwise.sources import readers, sinks
+from shelfwise.sources import readers, sinks, versions
 from shelfwise.streaming import incremental
 
 
@@ -88,8 +88,8 @@ def snapshot_costs(c):
 def enriched_products(c):
     part = c.raw("part").withColumn("sku_id", F.expr("concat('P', p_partkey div 4, ' ')"))
     order = F.col("p_partkey").alias("load_order")
-    vendors = part.filter("p_size <> 3").select("sku_id", F.expr("case when p_size % 4 = 0 then '' else concat(' V', p_size) end as vendor"), order)
-    lines = part.filter("p_size > 5").select("sku_id", F.expr("case when p_size % 3 = 0 then ' ' else p_type end as product_line"), order)
+    vendors = part.select("sku_id", F.expr("case when p_size = 3 then null when p_size % 4 = 0 then '' else concat(' V', p_size) end as vendor"), order)
+    lines = part.select("sku_id", F.expr("case when p_size <= 5 then null when p_size % 3 = 0 then ' ' else p_type end as product_line"), order)
     texts = part.select("sku_id", F.expr("case when p_size % 5 = 0 then '---' when p_size % 7 = 0 then null else upper(p_name) end as ext_desc"),
                         F.expr("case when p_size % 2 = 0 then '~' else p_name end as prod_desc"),
                         F.expr("case when p_size % 6 = 0 then 'UNKNOWN' else 'EACH' end as uom"), order)
@@ -218,6 +218,9 @@ def guarded_cells(c):
     return sinks.export_rows(rows, ["part", "cell"])
 
 
+STORED_ORDER = "o_orderkey bigint, location_id string, cents bigint, year date, order_date date, seq bigint"
+
+
 @query
 def streamed_orders(c):
     """Orders loaded by a file stream into a table by day, then loaded again: the second run finds
@@ -231,12 +234,29 @@ def streamed_orders(c):
                             F.col("o_orderdate").cast("date").alias("order_date"))
 
     for _ in range(2):
-        incremental.load_available(incremental.file_stream(c.spark, c.folder, schema, "orders.parquet"), f"{base}/table",
-                                   f"{base}/checkpoint", ["o_orderkey"], "year", shape)
-    table = c.spark.read.parquet(f"{base}/table")
+        versions.load_available(incremental.file_stream(c.spark, c.folder, schema, "orders.parquet"), f"{base}/table",
+                                f"{base}/checkpoint", ["o_orderkey"], "year", "seq", lambda batch: shape(batch).withColumn("seq", F.lit(1).cast("long")))
+    table = versions.read(c.spark, f"{base}/table", StructType.fromDDL(STORED_ORDER), "year")
     return table.groupBy("location_id", "order_date").agg(F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("cents"))
 
 
+@query
+def reloaded_orders(c):
+    """Orders stored by month, then corrected: every fifth is moved to another month with a new amount, and
+    every seventh lands again late, in the state before the first load, and loses."""
+    base = f"{shared_folder(c.spark)}/orders-{uuid4().hex}"
+    seq = lambda df, n: df.withColumn("seq", F.lit(n).cast("long"))
+    orders = (c.raw("orders").select("o_orderkey", F.expr("concat('LOC-00', o_custkey % 9 + 1) as location_id"),
+                                     F.expr("cast(round(o_totalprice * 100) as bigint) as cents"), F.col("o_orderdate").cast("date").alias("order_date"))
+              .withColumn("month", F.trunc("order_date", "month")))
+    moved = orders.where("o_orderkey % 5 = 0").withColumns({"cents": F.col("cents") + 1, "month": F.add_months("month", 3)})
+    late = orders.where("o_orderkey % 7 = 0").withColumns({"cents": F.lit(0).cast("long"), "month": F.add_months("month", -2)})
+    for rows in (seq(orders, 2), seq(moved, 3), seq(late, 1)):
+        versions.upsert(c.spark, rows, f"{base}/table", ["o_orderkey"], "month", "seq")
+    table = versions.read(c.spark, f"{base}/table", seq(orders, 1).schema, "month")
+    return table.groupBy("month", "seq").agg(F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("cents"))
+
+
 @query
 def unique_events(c):
     """The events streamed with a bounded state of seen ids; counted per type."""

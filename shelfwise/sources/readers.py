@@ -103,7 +103,7 @@ def cube_detail(raw: DataFrame) -> DataFrame:
     rows = x.select(p.detail_id(F.col("d"), F.col("loc"), F.col("code"), ship, part).alias("transaction_id"),
                     F.col("d").alias("tran_date"), F.col("loc").alias("location_id"), F.col("code").alias("tran_code"),
                     F.nullif(ship, F.lit("")).alias("ship_to"), F.nullif(part, F.lit("")).alias("prod_line_pn"),
-                    F.nullif(F.substring(F.upper(F.trim("stock_flag")), 1, 1), F.lit("")).alias("stock_flag"),
+                    F.nullif(F.upper(F.trim("stock_flag")), F.lit("")).alias("stock_flag"),
                     F.bround(p.number(F.col("qty")), 4).alias("qty_ship"), F.bround(p.number(F.col("revenue")), 4).alias("sales"),
                     "load_order")
     return first_row(rows, ["transaction_id"], ["load_order"]).drop("load_order")

@@ -7,7 +7,6 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.types import StructType
 
 from shelfwise.operators.alerts import advance
@@ -56,20 +55,13 @@ def one_day(source: DataFrame, col: str, day: date) -> DataFrame:
     return source.filter((F.col(col) >= F.lit(day)) & (F.col(col) < F.lit(day + timedelta(days=1))))
 
 
-def extend_streaks(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Freeze streaks of newly landed days, continued from the newest stored day before them.
-    The frames hold one row per calendar day of a station."""
-    fresh = freeze_features(new)
-    start = new.agg(F.min("log_date").alias("start"))
-    last = (stored.crossJoin(F.broadcast(start)).filter("log_date < start")  # one row
-            .agg(F.max_by("consecutive_freeze_days", "log_date").alias("seed")))
-    cold = F.col("consecutive_freeze_days") > 0
-    so_far = Window.orderBy("log_date").rowsBetween(Window.unboundedPreceding, 0)
-    unbroken = F.min(cold.cast("int")).over(so_far) == 1
-    return (fresh.withColumn("_first", unbroken).crossJoin(F.broadcast(last))
-            .withColumn("consecutive_freeze_days", F.when(F.col("_first"), F.col("consecutive_freeze_days") + F.coalesce("seed", F.lit(0)))
-                        .otherwise(F.col("consecutive_freeze_days")).cast("int"))
-            .drop("_first", "seed"))
+def extend_streaks(stored: DataFrame, new: DataFrame, station: str | None = None) -> DataFrame:
+    """Freeze streaks of newly landed days, continued from the newest stored day of the station before them."""
+    keys = [station] if station else []
+    start = new.groupBy(*keys).agg(F.min("log_date").alias("_start"))
+    earlier = stored.join(start, station) if station else stored.join(F.broadcast(start), F.lit(True))  # one row
+    last = earlier.where("log_date < _start").groupBy(*keys).agg(F.max_by("consecutive_freeze_days", "log_date").alias("streak"))
+    return freeze_features(new, station, last.where("streak is not null"))
 
 
 def advance_stored(spark: SparkSession, folder: str, version: int, current: DataFrame, as_of: date) -> int:

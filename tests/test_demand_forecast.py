@@ -135,3 +135,24 @@ def test_stale_series(make):
     sales = make(SALES, [sale(1, day=3), sale(2, loc="L2", day=9), sale(3, loc="L3", day=1)])
     trained = make("sku_id string, location_id string, trained_on date", [("A", "L1", AS_OF - timedelta(days=5)), ("A", "L2", AS_OF - timedelta(days=5))])
     assert {r.location_id for r in models.stale_series(sales, trained).collect()} == {"L1", "L3"}
+
+
+@pytest.mark.parametrize("tile", [128, 7])
+def test_imputation_in_tiles_equals_a_plain_scan(make, tile):
+    rng = random.Random(9)
+    rows = [(f"t{k}", rng.choice("ab"), rng.choice(["L1", "L2", "L3", None]), AS_OF - timedelta(rng.randrange(300)), float(rng.randrange(9)), rng.random() < 0.2)
+            for k in range(700)]
+    sales = make("transaction_id string, sku_id string, location_id string, transaction_date date, qty_sold double, is_stockout boolean", rows)
+
+    def want(first=None, last=None):
+        out = {}
+        for t, sku, loc, d, _, short in rows:
+            if short and (first is None or d >= first) and (last is None or d <= last):
+                near = [q for _, s, other, e, q, gone in rows if s == sku and not gone and other != loc and abs((e - d).days) <= 30]
+                out[t] = sum(near) / len(near) if near else 0.0
+        return out
+
+    first, last = AS_OF - timedelta(200), AS_OF - timedelta(110)
+    for bounds in ({}, {"first": first, "last": last}):
+        got = {r.transaction_id: r.lost_sales_imputation for r in demand.lost_sales_imputation(sales, tile_days=tile, **bounds).collect()}
+        assert got.keys() == want(**bounds).keys() and all(abs(got[t] - v) < 0.005 + 1e-9 for t, v in want(**bounds).items())

@@ -1,6 +1,7 @@
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise import params
 from shelfwise.operators import basket, reorder
@@ -15,7 +16,7 @@ def positions(make, rows):
     from pyspark.sql import functions as F
     demand = F.when(F.col("avg_daily") > 0, F.col("avg_daily"))
     return (df.withColumn("threshold", F.col("lead_days") + 7.0)
-            .withColumn("days_of_supply", F.coalesce(F.col("qty_on_hand") / demand, F.lit(9999.99)))
+            .withColumn("days_of_supply", F.col("qty_on_hand") / demand)
             .withColumn("target", F.col("avg_daily") * F.col("threshold") * reorder.safety_multiplier(F.col("xyz_class")))
             .withColumn("shortfall", F.greatest(F.lit(0.0), F.col("target") - F.col("qty_on_hand") - F.col("qty_on_order"))))
 
@@ -129,10 +130,22 @@ def test_basket_rules_on_ten_invoices(make):
     add("single", "a"), add(None, "a", "b"), add("huge", *[f"h{i}" for i in range(51)])
     sales = make("transaction_date date, location_id string, invoice_number string, sku_id string", rows)
     items = basket.baskets(sales, AS_OF)
-    assert items.select("basket").distinct().count() == 10
-    got = {(r.antecedent_sku, r.consequent_sku): (r.support, r.confidence, r.lift) for r in basket.basket_rules(items, AS_OF, min_lift=1.2).collect()}
-    assert got == {("a", "b"): (0.6, 0.75, 1.25), ("b", "a"): (0.6, 1.0, 1.25), ("c", "a"): (0.2, 1.0, 1.25),
-                   ("d", "e"): (0.2, 1.0, 5.0), ("e", "d"): (0.2, 1.0, 5.0)}
+    assert items.select("basket").distinct().count() == 11  # an invoice of 51 SKUs is a basket like any other
+    small = {("a", "b"): (0.545455, 0.75, 1.375), ("b", "a"): (0.545455, 1.0, 1.375), ("c", "a"): (0.181818, 1.0, 1.375),
+             ("d", "e"): (0.181818, 1.0, 5.5), ("e", "d"): (0.181818, 1.0, 5.5)}
+    huge = {(f"h{i}", f"h{j}"): (0.090909, 1.0, 11.0) for i in range(51) for j in range(51) if i != j}
+    for block in (256, 7):  # whole, and in parts
+        got = basket.basket_rules(items, AS_OF, min_lift=1.2, block=block).collect()
+        assert len(got) == len(small) + len(huge)
+        assert {(r.antecedent_sku, r.consequent_sku): (r.support, r.confidence, r.lift) for r in got} == small | huge
+
+
+def test_pairs_of_a_very_large_invoice(spark):
+    items = spark.range(5000).selectExpr("'big' as basket", "concat('s', id) as sku_id")
+    pairs = basket._pairs(items.unionByName(spark.createDataFrame([("x", "s1"), ("x", "s2")], "basket string, sku_id string")), 256)
+    got = pairs.agg(F.count("*").alias("n"), F.sum("together").alias("together")).first()
+    assert (got.n, got.together) == (5000 * 4999 // 2, 5000 * 4999 // 2 + 1)
+    assert pairs.where("together = 2").select("a", "b").collect() == [("s1", "s2")]
 
 
 def test_params_hold_the_published_defaults():

@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 import pytest
@@ -162,3 +163,26 @@ def test_stored_alert_versions(spark, make, tmp_path):
     assert incremental.advance_stored(spark, folder, 0, _alerts(make, 1, ("LOW_SUPPLY", "a")), d(1)) == 1
     assert incremental.advance_stored(spark, folder, 1, _alerts(make, 0, ("LOW_SUPPLY", "a")), d(0)) == 2
     assert [r.days_active for r in spark.read.parquet(f"{folder}/version=2").collect()] == [2]
+
+
+def test_streaks_by_station_over_many_blocks(spark, make):
+    """Blocks of five days: all cold ones, warm ones and gaps, with a seed from the days before."""
+    rng = random.Random(6)
+    rows = []
+    for name, share in (("n", 0.97), ("s", 0.5), ("w", 1.0)):
+        for i in range(120):
+            if rng.random() < 0.9:
+                rows.append((name, AS_OF + timedelta(i - 60), 10.0 if rng.random() < share else (40.0 if rng.random() < 0.8 else None), 40.0))
+    want, streak = {}, {}
+    for name, d, low, _ in sorted(rows):
+        streak[name] = streak.get(name, 0) + 1 if low is not None and low < 32 else 0
+        want[name, d] = streak[name]
+    ddl = "station string, log_date date, temp_min_f double, temp_max_f double"
+    whole = forecast.freeze_features(make(ddl, rows), "station", block_days=5)
+    assert {(r.station, r.log_date): r.consecutive_freeze_days for r in whole.collect()} == want
+    cut = AS_OF + timedelta(13)
+    stored, new = whole.where(f"log_date < date'{cut}'"), make(ddl, [r for r in rows if r[1] >= cut])
+    got = incremental.extend_streaks(stored, new, "station").collect()
+    assert {(r.station, r.log_date): r.consecutive_freeze_days for r in got} == {k: v for k, v in want.items() if k[1] >= cut}
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and all("_station" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window"))
