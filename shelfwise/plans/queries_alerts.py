@@ -82,7 +82,7 @@ def seasonal_features(c):
 
 @query
 def boosted_forecast(c):
-    return models.boosted_forecast(c["model_features"], c["locations"], c["demand_quality"], AS_OF, trees=8, depth=4)
+    return models.boosted_forecast(c["model_features"], c["locations"], c["demand_quality"], AS_OF)
 
 
 @query
@@ -92,7 +92,7 @@ def seasonal_forecast(c):
 
 @query
 def ensemble_forecast(c):
-    boosted = models.boosted_forecast(c["seasonal_features"], c["locations"], c["demand_quality"], AS_OF, trees=8, depth=4)
+    boosted = models.boosted_forecast(c["seasonal_features"], c["locations"], c["demand_quality"], AS_OF)
     flat = c["flat_forecast"].join(c["sku_master"].filter("abc_class = 'A'").select("sku_id"), "sku_id", "left_semi")
     means = c["seasonal_features"].groupBy("sku_id", "location_id").agg(F.max("active_mean").alias("mean"))
     lean = forecast.with_regional(means, c["locations"], c["demand_quality"])
