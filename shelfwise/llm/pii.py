@@ -240,7 +240,7 @@ def _masker(at: int):
             for text in batch.column(at).to_pylist():
                 base, added = find(text)
                 pieces, at_char = [], 0
-                for kind, a, b in _merged(base + added):
+                for kind, a, b in reversed(_merged(base + added)):
                     pieces += [text[at_char:a], f"<{kind}>"]
                     at_char = b
                 texts.append("".join([*pieces, text[at_char:]]) if pieces else text)
@@ -251,14 +251,14 @@ def _masker(at: int):
 
 
 def _merged(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Overlapping spans as one, in order; the earliest span names the kind."""
+    """Overlapping spans as one, last first; the earliest span names the kind."""
     out: list[tuple[str, int, int]] = []
     for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
         if out and a < out[-1][2]:
             out[-1] = (out[-1][0], out[-1][1], max(b, out[-1][2]))
         else:
             out.append((kind, a, b))
-    return out
+    return out[::-1]
 
 
 def masked(docs: DataFrame) -> DataFrame:
