@@ -12,6 +12,12 @@ SELECT *, CASE WHEN o_custkey % 53 = 0 THEN 'HUB' ELSE location_id END AS loc,
   CASE WHEN l_orderkey % 13 = 0 THEN 'T0' || (o_custkey % 9 + 1) || '0' || ((o_custkey + 4) % 9 + 1)
     WHEN l_orderkey % 43 = 2 THEN NULL ELSE CAST(l_orderkey AS VARCHAR) END AS inv,
   CASE WHEN o_custkey % 47 = 3 OR (o_custkey + l_linenumber) % 11 = 0 THEN NULL ELSE 'C' || o_custkey END AS cust,
+  CASE WHEN o_custkey % 31 <> 0 AND (o_custkey + l_linenumber) % 7 <> 0 THEN 'T' || (o_custkey % 5) END AS ctype,
+  CASE WHEN l_linenumber % 4 <> 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 'Hold' ELSE 'Active' END END AS cstatus,
+  CASE WHEN (l_partkey + l_linenumber) % 6 <> 0 THEN 'S' || ((o_custkey + l_linenumber) % 23) END AS cman,
+  CASE WHEN l_orderkey % 29 <> 4 THEN CAST((cents // 4 - l_linenumber * 100) || 'E-2' AS DOUBLE) END AS gp,
+  CASE WHEN l_linenumber % 3 = 0 THEN qty_int // 2 END::DOUBLE AS back,
+  CASE WHEN l_suppkey % 8 <> 1 THEN 'K' || (l_suppkey % 40) END AS man,
   CASE WHEN l_returnflag = 'R' THEN 'SL-I' WHEN l_returnflag = 'N' AND l_linenumber = 2 THEN 'CR' ELSE 'SL' END AS code,
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) AS ord
 FROM order_lines WHERE l_orderkey % 101 <> 7
@@ -20,7 +26,7 @@ VIEWS["cube_sales"] = """
 SELECT 'AC-' || o_date || '-' || sku_id || '-' || loc || coalesce('-INV' || inv, '') AS transaction_id, sku_id, loc AS location_id,
   o_date AS transaction_date, q AS qty_sold, price AS unit_price, rev AS total_revenue, l_orderkey % 4 IN (0, 1) AS is_warranty,
   l_linenumber % 3 = 0 AS is_backorder, l_returnflag = 'R' AS is_core_return, disc >= 0.09 AS is_price_override,
-  inv AS invoice_number, cust AS customer_id
+  inv AS invoice_number, cust AS customer_id, ctype AS customer_type, cstatus AS customer_status, cman AS customer_salesman
 FROM cube_base
 """
 VIEWS["cube_sales_ordered"] = VIEWS["cube_sales"].replace("cust AS customer_id", "cust AS customer_id, ord")
@@ -30,16 +36,24 @@ SELECT transaction_id, any_value(sku_id) AS sku_id, any_value(location_id) AS lo
   sum(coalesce(qty_sold, 0)) AS qty_sold, round(sum(coalesce(total_revenue, 0)), 4) AS total_revenue,
   arg_max(unit_price, ord) AS unit_price, bool_or(is_warranty) AS is_warranty, bool_or(is_backorder) AS is_backorder,
   bool_or(is_core_return) AS is_core_return, bool_or(is_price_override) AS is_price_override,
-  arg_min(customer_id, ord) AS customer_id, count(*) AS lines
+  arg_min(customer_id, ord) AS customer_id, arg_min(customer_type, ord) AS customer_type,
+  arg_min(customer_status, ord) AS customer_status, arg_min(customer_salesman, ord) AS customer_salesman, count(*) AS lines,
+  ((count(DISTINCT customer_id) > 1)::INTEGER + (count(DISTINCT customer_type) > 1)::INTEGER
+    + (count(DISTINCT customer_status) > 1)::INTEGER + (count(DISTINCT customer_salesman) > 1)::INTEGER)::INTEGER AS conflicts
 FROM cube_sales_ordered GROUP BY 1
 """
 VIEWS["cube_detail"] = """
 SELECT 'SDT-' || substr(sha1(o_date || '|' || loc || '|' || code || '|C' || o_custkey || '-|' || sku_id), 1, 20) AS transaction_id,
   o_date AS tran_date, loc AS location_id, code AS tran_code, 'C' || o_custkey || '-' AS ship_to, sku_id AS prod_line_pn,
-  CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'Y' END AS stock_flag, q AS qty_ship, rev AS sales
+  CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'Y' END AS stock_flag, q AS qty_ship, rev AS sales,
+  gp AS gross_profit, back AS backorder_qty, man AS salesman_id
 FROM (SELECT *, row_number() OVER (PARTITION BY o_date, loc, code, o_custkey, sku_id ORDER BY ord) AS r FROM cube_base
   WHERE code IN ('SL', 'SL-I')) WHERE r = 1
 """
+VIEWS["landed_margins"] = f"""
+SELECT location_id, round_even(sum(CAST(coalesce(gross_profit, 0) AS DECIMAL(18,2)))::DOUBLE / sum(CAST(sales AS DECIMAL(18,2)))::DOUBLE, 6)::DOUBLE
+  AS avg_gp_pct FROM cube_detail WHERE tran_date >= {D} - 365 AND sales > 0 GROUP BY 1
+"""
 VIEWS["intercompany_transfers"] = """
 SELECT o_date AS transfer_date, sku_id, loc AS from_location_id,
   CASE WHEN o_custkey % 6 = 0 THEN loc ELSE 'LOC-00' || ((o_custkey + l_partkey) % 9 + 1) END AS to_location_id, code AS tran_code,
@@ -55,7 +69,8 @@ VIEWS["snapshot_costs"] = f"""
 SELECT 'P' || s AS sku_id, 'LOC-00' || l AS location_id, {D} AS snapshot_date, on_hand AS qty_on_hand,
   CASE WHEN l % 2 = 0 THEN s % 9 ELSE 0 END::DOUBLE AS qty_on_order,
   round_even(CASE WHEN own > 0 THEN own WHEN listed > 0 THEN listed WHEN ext <> 0 AND on_hand > 0 THEN round_even(ext / on_hand, 4)
-    ELSE own END, 4)::DOUBLE AS unit_cost
+    ELSE own END, 4)::DOUBLE AS unit_cost,
+  CASE WHEN (s + l) % 7 <> 2 THEN s % 6 END::DOUBLE AS reorder_point, CASE WHEN (s + l) % 9 <> 4 THEN s % 6 + l END::DOUBLE AS reorder_qty
 FROM (SELECT s, l, CASE WHEN (s + l) % 8 = 0 THEN 0 ELSE (s * 7 + l) % 12 END::DOUBLE AS on_hand,
     CASE (s + l) % 3 WHEN 0 THEN s % 50 + 1.25 WHEN 1 THEN 0 END::DOUBLE AS own,
     CASE WHEN (s + l) % 4 = 0 THEN s % 30 + 0.5 END::DOUBLE AS listed,

@@ -21,8 +21,9 @@ def trend(last: Column, prior: Column, up: float, down: float) -> Column:
 
 def stocking_gaps(recommendations: DataFrame, master: DataFrame, snapshots: DataFrame, as_of: date,
                   p: params.StockingGap = params.StockingGap(),
-                  excluded: tuple[str, ...] = params.EXCLUDED_LOCATIONS) -> DataFrame:
-    """Repeated transfers of a SKU to a location, scored as a stocking gap."""
+                  excluded: tuple[str, ...] = params.NOT_BRANCHES) -> DataFrame:
+    """Repeated transfers of a SKU to a branch, scored as a stocking gap. The distribution center stocks
+    for others, so what it receives is no gap."""
     keys = ["sku_id", "location_id"]
     moved = recommendations.filter((F.col("recommendation_type") == "transfer")
                                    & (F.col("recommendation_date") >= day(as_of, -p.lookback_days))

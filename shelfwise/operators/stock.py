@@ -112,8 +112,8 @@ def profit_per_unit(detail: DataFrame, as_of: date, lookback: int = 90) -> DataF
 def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataFrame, recommendations: DataFrame,
                           outside_flags: DataFrame, as_of: date, lookback: int = 90, min_share: float = 0.30,
                           cover_days: float = 21.0, network_locations: int = 5, severe_share: float = 0.50,
-                          excluded: tuple[str, ...] = params.EXCLUDED_LOCATIONS) -> DataFrame:
-    """Positions below their reorder point on at least ``min_share`` of the observed days."""
+                          excluded: tuple[str, ...] = params.NOT_BRANCHES) -> DataFrame:
+    """Branch positions below their reorder point on at least ``min_share`` of the observed days."""
     seen = snapshots.filter((F.col("snapshot_date") >= day(as_of, -lookback)) & (F.col("reorder_point") > 0)
                             & ~F.col("location_id").isin(*excluded))
     costed = F.when(F.col("unit_cost").isNotNull(), F.struct("snapshot_date", F.col("unit_cost").cast("double").alias("c")))
@@ -158,7 +158,7 @@ def understocking_report(rows: DataFrame, top_n: int = 20) -> DataFrame:
     return top_per_group(rows, ["location_id"], order, top_n).drop("rank_in_group")
 
 
-def network_orders(rows: DataFrame, as_of: date, hub: str = "LOC-025", severe_share: float = 0.50,
+def network_orders(rows: DataFrame, as_of: date, hub: str = params.DISTRIBUTION_CENTER, severe_share: float = 0.50,
                    buffer: float = 1.5) -> DataFrame:
     """One order to the hub per SKU short across the network. The list of locations is as long as
     the number of locations, never as the number of rows."""

@@ -22,6 +22,8 @@ DEFAULT_MODELS = ("lightgbm", "rolling_avg")
 NETWORK = "ALL"
 NETWORK_MODEL = "rolling_avg_network"
 EXCLUDED_LOCATIONS = ("LOC-021", "LOC-014", "LOC-019", "LOC-022", "LOC-023", "LOC-030", "LOC-031")
+DISTRIBUTION_CENTER = "LOC-025"
+NOT_BRANCHES = (*EXCLUDED_LOCATIONS, DISTRIBUTION_CENTER)
 SALE_CODES = ("SL", "SL-I")
 FREEZE_CATEGORIES = ("electrical", "cooling")
 ACTION_RETURN = "Return to vendor"

@@ -10,6 +10,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfwise.operators import purchasing
 from shelfwise.operators.common import latest_row
 from shelfwise.plans import reports
 from shelfwise.plans.catalog import AS_OF, frame, query
@@ -39,6 +40,12 @@ def cube_rows(c):
           " when l_orderkey % 43 = 2 then '' else cast(l_orderkey as string) end as invoice"),
         e("case when o_custkey % 47 = 3 then '---' when (o_custkey + l_linenumber) % 11 = 0 then null"
           " else concat('C', o_custkey) end as customer"),
+        e("case when o_custkey % 31 = 0 then '~' when (o_custkey + l_linenumber) % 7 = 0 then '' else concat('T', o_custkey % 5, ' ') end as customer_type"),
+        e("case when l_linenumber % 4 = 0 then ' ' when o_custkey % 3 = 0 then 'Hold' else ' Active' end as customer_status"),
+        e("case when (l_partkey + l_linenumber) % 6 = 0 then 'UNKNOWN' else concat('S', (o_custkey + l_linenumber) % 23) end as customer_salesman"),
+        e("case when l_orderkey % 29 = 4 then '-' else concat(cents div 4 - l_linenumber * 100, 'E-2') end as gross_profit"),
+        e("case when l_linenumber % 3 = 0 then cast(qty_int div 2 as string) end as backorder_qty"),
+        e("case when l_suppkey % 8 = 1 then ' ' else concat('K', l_suppkey % 40, ' ') end as counterman"),
         e("case when l_returnflag = 'R' then 'SL-I - SALE-INTERCO' when l_returnflag = 'N' and l_linenumber = 2 then 'CR - CREDIT'"
           " else 'SL - SALE' end as tran"),
         e("concat(' C', o_custkey, '-') as ship_to"), e("case when l_linestatus = 'O' then 'n' else 'Y ' end as stock_flag"),
@@ -62,6 +69,14 @@ def cube_detail(c):
     return readers.cube_detail(c["cube_rows"])
 
 
+@query
+def landed_margins(c):
+    """The profit baselines of the locations, straight from parsed detail rows."""
+    detail = readers.cube_detail(c["cube_rows"])
+    base = purchasing.margin_baselines(detail, AS_OF - timedelta(days=365))
+    return base.select("location_id", F.bround("avg_gp_pct", 6).alias("avg_gp_pct"))
+
+
 @query
 def intercompany_transfers(c):
     return readers.intercompany_transfers(c["cube_rows"])
@@ -80,7 +95,9 @@ def snapshot_costs(c):
         F.expr("case when l % 2 = 0 then concat(s % 9, 'E0') end as on_order"),
         F.expr("case when (s + l) % 3 = 0 then concat(s % 50 + 1, '.25') when (s + l) % 3 = 1 then '0' end as unit_cost_on_hand"),
         F.expr("case when (s + l) % 4 = 0 then concat(s % 30, '.5') end as catalog_cost"),
-        F.expr("case when (s + l) % 5 < 3 then concat((s * 3) % 90, '.75') end as ext_cost"))
+        F.expr("case when (s + l) % 5 < 3 then concat((s * 3) % 90, '.75') end as ext_cost"),
+        F.expr("case when (s + l) % 7 = 2 then 'n/a' else concat(s % 6, 'E0') end as min_qty"),
+        F.expr("case when (s + l) % 9 = 4 then '' else concat(' ', s % 6 + l) end as max_qty"))
     return readers.snapshot_costs(raw, AS_OF)
 
 

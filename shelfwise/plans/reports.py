@@ -243,7 +243,7 @@ def freshness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def stocking_gap_locations(gaps: DataFrame, locations: DataFrame, hub: str = "LOC-025") -> DataFrame:
+def stocking_gap_locations(gaps: DataFrame, locations: DataFrame, hub: str = params.DISTRIBUTION_CENTER) -> DataFrame:
     chronic = F.col("gap_classification") == "CHRONIC"
     g = (newest_run(gaps, "analysis_date").filter((F.col("location_id") != hub) & ~F.col("location_id").isin(*params.EXCLUDED_LOCATIONS))
          .groupBy("location_id").agg(count_if(chronic).alias("chronic_count"), F.count(F.lit(1)).alias("gap_count"),
@@ -251,7 +251,7 @@ def stocking_gap_locations(gaps: DataFrame, locations: DataFrame, hub: str = "LO
     return with_names(g, locations)
 
 
-def stocking_gap_rows(gaps: DataFrame, k: int = 20, hub: str = "LOC-025") -> DataFrame:
+def stocking_gap_rows(gaps: DataFrame, k: int = 20, hub: str = params.DISTRIBUTION_CENTER) -> DataFrame:
     rank = F.when(F.col("gap_classification") == "CHRONIC", 0).when(F.col("gap_classification") == "RECURRING", 1).otherwise(2)
     rows = newest_run(gaps, "analysis_date").filter((F.col("location_id") != hub) & ~F.col("location_id").isin(*params.EXCLUDED_LOCATIONS))
     order = [F.desc("double_confirmed"), rank.asc(), F.desc(num("annual_cost_savings")), F.desc("transfer_frequency"), F.asc("sku_id")]

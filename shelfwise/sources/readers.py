@@ -12,6 +12,7 @@ from shelfwise import params, schemas
 from shelfwise.functions import parsing as p
 from shelfwise.operators.common import first_row, num
 
+CUSTOMER_FIELDS = ("customer_id", "customer_type", "customer_status", "customer_salesman")
 PRICE_TIERS = ("1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "A", "B", "C", "S", "ST")
 
 
@@ -74,28 +75,32 @@ def cube_sales(raw: DataFrame) -> DataFrame:
                     F.col("d").alias("transaction_date"), p.number(F.col("qty")).alias("qty_sold"),
                     p.number(F.col("price")).alias("unit_price"), p.number(F.col("revenue")).alias("total_revenue"),
                     *[v.alias(k) for k, v in flags.items()], F.nullif(inv, F.lit("")).alias("invoice_number"),
-                    p.meaningful(F.col("customer")).alias("customer_id"), "load_order")
+                    p.meaningful(F.col("customer")).alias("customer_id"),
+                    *[p.meaningful(F.col(c)).alias(c) for c in CUSTOMER_FIELDS[1:]], "load_order")
 
 
 def merge_sales(rows: DataFrame) -> DataFrame:
-    """One row per transaction id: sums, the last known price, any-true flags, the first known customer."""
+    """One row per transaction id: sums, the last known price, any-true flags, and each customer field
+    from the first row that knows it. ``conflicts`` counts the fields on which rows of the id disagree."""
     flags = [c for c in rows.columns if c.startswith("is_")]
     order = F.col("load_order")
     priced = F.when(F.col("unit_price").isNotNull(), F.struct(order, "unit_price"))
-    known = F.when(F.col("customer_id").isNotNull(), F.struct(order, "customer_id"))
+    fields = [c for c in CUSTOMER_FIELDS if c in rows.columns]
+    disagree = sum((F.coalesce(F.min(c) != F.max(c), F.lit(False)).cast("int") for c in fields), F.lit(0))
     return (rows.groupBy("transaction_id")
             .agg(F.first("sku_id").alias("sku_id"), F.first("location_id").alias("location_id"),
                  F.first("transaction_date").alias("transaction_date"), F.first("invoice_number").alias("invoice_number"),
                  F.sum(num("qty_sold")).alias("qty_sold"), F.bround(F.sum(num("total_revenue")), 4).alias("total_revenue"),
-                 F.max(priced).alias("p"), *[F.bool_or(f).alias(f) for f in flags], F.min(known).alias("c"),
-                 F.count(F.lit(1)).alias("lines"))
+                 F.max(priced).alias("p"), *[F.bool_or(f).alias(f) for f in flags], F.count(F.lit(1)).alias("lines"),
+                 *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fields], disagree.alias("conflicts"))
             .select("transaction_id", "sku_id", "location_id", "transaction_date", "invoice_number", "qty_sold",
                     "total_revenue", F.col("p.unit_price").alias("unit_price"), *flags,
-                    F.col("c.customer_id").alias("customer_id"), "lines"))
+                    *fields, "lines", "conflicts"))
 
 
 def cube_detail(raw: DataFrame) -> DataFrame:
-    """Detail rows of the sale codes with a date and a location; the first of equal ids is kept."""
+    """Detail rows of the sale codes with a date and a location; the first of equal ids is kept. Flags keep
+    their whole text."""
     x = (raw.withColumn("code", p.tran_code(F.col("tran"))).filter(F.col("code").isin(*params.SALE_CODES))
          .withColumn("d", p.iso_date(F.col("sale_date"))).withColumn("loc", p.location_code(F.col("location")))
          .filter("d is not null and loc <> ''"))
@@ -105,7 +110,9 @@ def cube_detail(raw: DataFrame) -> DataFrame:
                     F.nullif(ship, F.lit("")).alias("ship_to"), F.nullif(part, F.lit("")).alias("prod_line_pn"),
                     F.nullif(F.upper(F.trim("stock_flag")), F.lit("")).alias("stock_flag"),
                     F.bround(p.number(F.col("qty")), 4).alias("qty_ship"), F.bround(p.number(F.col("revenue")), 4).alias("sales"),
-                    "load_order")
+                    F.bround(p.number(F.col("gross_profit")), 4).alias("gross_profit"),
+                    F.bround(p.number(F.col("backorder_qty")), 4).alias("backorder_qty"),
+                    F.nullif(F.trim("counterman"), F.lit("")).alias("salesman_id"), "load_order")
     return first_row(rows, ["transaction_id"], ["load_order"]).drop("load_order")
 
 
@@ -117,7 +124,8 @@ def snapshot_costs(raw: DataFrame, as_of: date) -> DataFrame:
             .when((ext != 0) & (on_hand > 0), F.bround(ext / F.when(on_hand > 0, on_hand), 4)).otherwise(own))
     return raw.filter(F.trim("part") != "").select(
         F.trim("part").alias("sku_id"), "location_id", F.lit(as_of).alias("snapshot_date"), on_hand.alias("qty_on_hand"),
-        F.coalesce(p.number(F.col("on_order")), F.lit(0.0)).alias("qty_on_order"), F.bround(cost, 4).alias("unit_cost"))
+        F.coalesce(p.number(F.col("on_order")), F.lit(0.0)).alias("qty_on_order"), F.bround(cost, 4).alias("unit_cost"),
+        p.number(F.col("min_qty")).alias("reorder_point"), p.number(F.col("max_qty")).alias("reorder_qty"))
 
 
 def enrich_products(vendors: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:

@@ -138,3 +138,36 @@ def test_export_writes_guarded_cells(spark, make, tmp_path):
     path = str(tmp_path / "csv")
     sinks.export_csv(make("k string, v int", [("=x", 1), ("y", 2)]), ["k", "v"], [F.asc("k")], path)
     assert sorted(r.k for r in spark.read.option("header", True).csv(path).collect()) == ["'=x", "y"]
+
+
+def test_merged_rows_take_each_customer_field_from_the_first_that_knows_it(make):
+    ddl = ("sale_date string, location string, part string, qty string, price string, revenue string, warranty string, backorder string,"
+           " core_return string, price_override string, invoice string, customer string, customer_type string, customer_status string,"
+           " customer_salesman string, load_order bigint")
+    line = lambda n, part, cust, kind, status, man: (
+        "3/4/2026", "1 - A", part, "2", "5", "10", "N", "", None, "Y", "77", cust, kind, status, man, n)
+    raw = make(ddl, [line(3, "p", "C1", "Retail", "Hold", "S2"), line(1, "p", None, " ", "Active", "S1"), line(2, "p", "C1", "Trade", "UNKNOWN", None),
+                     line(4, "q", "---", None, "", "~")])
+    got = {r.sku_id: r for r in readers.merge_sales(readers.cube_sales(raw)).collect()}
+    p, q = got["p"], got["q"]
+    assert (p.customer_id, p.customer_type, p.customer_status, p.customer_salesman) == ("C1", "Trade", "Active", "S1")
+    assert (p.qty_sold, p.total_revenue, p.lines, p.conflicts) == (6.0, 30.0, 3, 3)
+    assert (q.customer_id, q.customer_type, q.customer_status, q.customer_salesman, q.conflicts) == (None, None, None, None, 0)
+    assert readers.merge_sales(readers.cube_sales(raw.limit(0))).count() == 0
+
+
+def test_detail_rows_carry_profit_backorder_and_salesman(make):
+    ddl = ("sale_date string, location string, part string, qty string, revenue string, tran string, ship_to string, stock_flag string,"
+           " gross_profit string, backorder_qty string, counterman string, load_order bigint")
+    rows = [("2026-03-04", "2 - B", "p", "1", "10", "SL - SALE", "C1-1", "n", " 2.5 ", "1E0", " K7 ", 1),
+            ("2026-03-04", "2 - B", "q", "1", "10", "SL-I - INTERCO", "", None, "n/a", "", " ", 1)]
+    got = {r.prod_line_pn: (r.gross_profit, r.backorder_qty, r.salesman_id) for r in readers.cube_detail(make(ddl, rows)).collect()}
+    assert got == {"p": (2.5, 1.0, "K7"), "q": (None, None, None)}
+
+
+def test_snapshots_keep_their_order_thresholds(make):
+    ddl = ("part string, location_id string, on_hand string, on_order string, unit_cost_on_hand string, catalog_cost string, ext_cost string,"
+           " min_qty string, max_qty string")
+    rows = [("p", "LOC-001", "3", "", "1", None, None, " 2E0 ", "9"), ("q", "LOC-001", "", None, None, None, None, "", "n/a")]
+    got = {r.sku_id: (r.reorder_point, r.reorder_qty) for r in readers.snapshot_costs(make(ddl, rows), date(2026, 3, 24)).collect()}
+    assert got == {"p": (2.0, 9.0), "q": (None, None)}

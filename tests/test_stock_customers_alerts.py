@@ -44,6 +44,7 @@ def test_stocking_gap_classes(make):
     for sku, days in (("f4", [1, 3, 5, 7]), ("f5", [1, 3, 5, 7, 9]), ("s5", [20, 21, 22, 23, 24]), ("f9", list(range(1, 60, 7))), ("f10", list(range(1, 80, 8))), ("old", [91])):
         rows += [(sku, "L1", d(n), "transfer", 4.0, "L2" if i else "L3") for i, n in enumerate(days)]
     rows += [("f4", "L1", d(60), "po", 4.0, None), ("f4", "LOC-021", d(1), "transfer", 1.0, "L2")]
+    rows += [("center", "LOC-025", d(n), "transfer", 4.0, "L2") for n in range(1, 80, 8)]
     master = make("sku_id string, unit_cost double", [("f5", 2.0)])
     snaps = make("sku_id string, location_id string, snapshot_date date, reorder_point double", [("f10", "L1", AS_OF, 3.0)])
     got = {r.sku_id: r for r in purchasing.stocking_gaps(_recs(make, rows), master, snaps, AS_OF).collect()}
