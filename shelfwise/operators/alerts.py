@@ -95,6 +95,12 @@ def dead_stock_by_flag(master: DataFrame, as_of: date, dead_days: int = 180) ->
     return alert(x, as_of, "DEAD_STOCK", "info", ["sku_id"], F.concat("sku_id", F.lit(" is flagged dead stock")), sku_id="sku_id")
 
 
+def dead_stock_chain(scored: DataFrame, master: DataFrame, as_of: date) -> DataFrame:
+    """Alerts of the report, or of the flags in the master while the report has no rows."""
+    unreported = scored.limit(1).agg(F.count(F.lit(1))).scalar() == 0
+    return dead_stock_alerts(scored, as_of).unionByName(dead_stock_by_flag(master, as_of).where(unreported))
+
+
 def transfer_opportunity(recommendations: DataFrame, as_of: date) -> DataFrame:
     """One summary of all transfers waiting for approval."""
     g = (recommendations.filter((F.col("recommendation_date") == day(as_of)) & (F.col("recommendation_type") == "transfer")
@@ -139,12 +145,36 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).otherwise(2)
 
 
-STATE_COLUMNS = (*ALERT_COLUMNS, "first_seen_date", "days_active", "resolved", "resolved_date")
+MARKS = {"is_acknowledged": "boolean", "acknowledged_by": "string", "acknowledged_at": "date"}
+STATE_COLUMNS = (*ALERT_COLUMNS, "first_seen_date", "days_active", "resolved", "resolved_date", *MARKS)
 
 
 def empty_state(alerts: DataFrame) -> DataFrame:
     return (alerts.withColumn("first_seen_date", F.lit(None).cast("date")).withColumn("days_active", F.lit(None).cast("int"))
-            .withColumn("resolved", F.lit(None).cast("boolean")).withColumn("resolved_date", F.lit(None).cast("date")).limit(0))
+            .withColumn("resolved", F.lit(None).cast("boolean")).withColumn("resolved_date", F.lit(None).cast("date"))
+            .withColumns({c: F.lit(None).cast(t) for c, t in MARKS.items()}).limit(0))
+
+
+def acknowledge(state: DataFrame, marks: DataFrame) -> DataFrame:
+    """The alert table after readers have acknowledged rows, given by (alert_key, alert_date) with who and
+    when. The earliest of several marks counts, and a row that is acknowledged keeps its mark."""
+    keys = ["alert_key", "alert_date"]
+    first = (marks.where("acknowledged_at is not null").groupBy(*keys)
+             .agg(F.min(F.struct("acknowledged_at", "acknowledged_by")).alias("_mark")))
+    new = F.col("_mark").isNotNull() & ~F.coalesce(F.col("is_acknowledged"), F.lit(False))
+    return (state.join(first, keys, "left")
+            .withColumn("_new", new)
+            .withColumns({"is_acknowledged": F.col("_new") | F.coalesce("is_acknowledged", F.lit(False)),
+                          **{c: F.when(F.col("_new"), F.col(f"_mark.{c}")).otherwise(F.col(c))
+                             for c in ("acknowledged_by", "acknowledged_at")}})
+            .select(*STATE_COLUMNS))
+
+
+def waiting(alerts: DataFrame) -> DataFrame:
+    """Alerts that nobody has acknowledged; fresh alert rows have no mark yet."""
+    if "is_acknowledged" not in alerts.columns:
+        return alerts
+    return alerts.where(~F.coalesce("is_acknowledged", F.lit(False)))
 
 
 def advance(state: DataFrame, current: DataFrame, as_of: date, lookback: int = 30,
@@ -152,7 +182,7 @@ def advance(state: DataFrame, current: DataFrame, as_of: date, lookback: int = 3
     """The alert table after one more run.
 
     Per key, the newest row of the look-back decides: written today already, leave it; open, move it
-    to today with one more active day and fresh text; resolved or absent, start a new row. Open rows
+    to today with one more active day and fresh text, acknowledged or not as it was; resolved or absent, start a new row. Open rows
     of the auto-resolved types whose key no longer occurs are closed. Returns the whole new table,
     to be written as a new version."""
     cutoff = day(as_of, -lookback)
@@ -173,11 +203,12 @@ def advance(state: DataFrame, current: DataFrame, as_of: date, lookback: int = 3
         *[F.when(moved, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in fresh], "first_seen_date",
         F.when(moved, F.coalesce("days_active", F.lit(1)) + 1).otherwise(F.col("days_active")).alias("days_active"),
         (F.col("resolved") | closed).alias("resolved"),
-        F.when(closed, day(as_of)).otherwise(F.col("resolved_date")).alias("resolved_date"))
+        F.when(closed, day(as_of)).otherwise(F.col("resolved_date")).alias("resolved_date"), *MARKS)
     # A key gets a new row unless its newest row in reach is open or was written today.
     settled = (state.join(newest, "alert_key").filter(F.col("alert_date") == F.col("_newest"))
                .filter(~F.col("resolved") | (F.col("alert_date") == day(as_of))).select("alert_key"))
     added = (now.join(settled, "alert_key", "left_anti")
              .select(day(as_of).alias("alert_date"), "alert_key", *fresh, day(as_of).alias("first_seen_date"),
-                     F.lit(1).alias("days_active"), F.lit(False).alias("resolved"), F.lit(None).cast("date").alias("resolved_date")))
+                     F.lit(1).alias("days_active"), F.lit(False).alias("resolved"), F.lit(None).cast("date").alias("resolved_date"),
+                     *[F.lit(False if t == "boolean" else None).cast(t).alias(c) for c, t in MARKS.items()]))
     return kept.unionByName(added).select(*STATE_COLUMNS)

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from shelfwise.operators import accuracy, alerts, anomaly, forecast, models, purchasing, quality
+from shelfwise.plans import reports
 from shelfwise.plans.catalog import AS_OF, frame, query
 from shelfwise.session import settle
 
@@ -138,6 +139,15 @@ def alerts_dead_stock_by_flag(c):
     return alerts.dead_stock_by_flag(c["sku_master"], AS_OF)
 
 
+@query
+def alerts_dead_stock_chained(c):
+    """By report where it has rows; the flags of the master where it has none, as at the first run of a site."""
+    scored = settle(c["dead_stock"].withColumn("data_conflict", F.col("sale_frequency") > 6))
+    unscored = scored.where("location_id is null")
+    return (alerts.dead_stock_chain(scored, c["sku_master"], AS_OF).withColumn("scored", F.lit(True))
+            .unionByName(alerts.dead_stock_chain(unscored, c["sku_master"], AS_OF).withColumn("scored", F.lit(False))))
+
+
 @query
 def alerts_transfer_opportunity(c):
     return alerts.transfer_opportunity(c["recommendations"], AS_OF)
@@ -176,9 +186,20 @@ def alert_list(c):
 
 @query
 def alert_lifecycle(c):
-    """Three runs over consecutive days: keys appear, stay, vanish and return."""
+    """Three runs over consecutive days: keys appear, stay, vanish and return. After the second, one
+    location acknowledges what is open there."""
     runs = [alerts.low_supply(c["recommendations"], c["sku_master"], AS_OF - timedelta(days=d)) for d in (2, 1, 0)]
     state = alerts.empty_state(runs[0])
     for back, current in zip((2, 1, 0), runs):
         state = settle(alerts.advance(state, current, AS_OF - timedelta(days=back)))
+        if back == 1:
+            seen = state.where("location_id = 'LOC-003' and not resolved").select(
+                "alert_key", "alert_date", F.lit("buyer").alias("acknowledged_by"), F.col("alert_date").alias("acknowledged_at"))
+            state = settle(alerts.acknowledge(state, seen))
     return state
+
+
+@query
+def report_waiting_alerts(c):
+    """Today's open alerts that nobody has acknowledged, by severity."""
+    return reports.alert_counts(c["alert_lifecycle"].where((F.col("alert_date") == F.lit(AS_OF)) & ~F.col("resolved")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import params
-from shelfwise.operators.alerts import severity_rank
+from shelfwise.operators.alerts import severity_rank, waiting
 from shelfwise.operators.common import (count_if, day, latest_row, newest_run, num, ratio, top_per_group, total, total_if)
 
 
@@ -20,13 +20,13 @@ def with_names(df: DataFrame, locations: DataFrame, key: str = "location_id", ou
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:
-    return alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("alerts"),
+    return waiting(alerts).groupBy("severity").agg(F.count(F.lit(1)).alias("alerts"),
                                           F.bround(total("financial_impact"), 2).alias("financial_impact"))
 
 
 def alert_items(alerts: DataFrame, locations: DataFrame) -> DataFrame:
-    """Every alert with its place name; readers sort by (severity_rank, impact)."""
-    rows = alerts.select("alert_type", "severity", "sku_id", "location_id", "alert_key", "financial_impact",
+    """Every alert not acknowledged, with its place name; readers sort by (severity_rank, impact)."""
+    rows = waiting(alerts).select("alert_type", "severity", "sku_id", "location_id", "alert_key", "financial_impact",
                          severity_rank(F.col("severity")).alias("severity_rank"))
     return with_names(rows, locations)
 
@@ -204,7 +204,7 @@ def open_orders(orders: DataFrame, k: int = 6) -> DataFrame:
 
 
 def morning_brief(alerts: DataFrame, recs: DataFrame) -> DataFrame:
-    critical = alerts.agg(count_if(F.col("severity") == "critical").alias("critical_alerts"))
+    critical = waiting(alerts).agg(count_if(F.col("severity") == "critical").alias("critical_alerts"))
     waiting = ~F.coalesce(F.col("is_approved"), F.lit(False)) & F.col("urgency").isin("critical", "warning", "high")
     work = latest_recommendations(recs).agg(count_if(waiting).alias("urgent_reorders"),
                                             count_if(F.col("recommendation_type") == "transfer").alias("transfer_ops"))
@@ -215,7 +215,7 @@ def critical_actions(alerts: DataFrame, orders: DataFrame, scores: DataFrame, as
     """Critical and commercial alerts, overdue orders and red suppliers with open orders, by impact."""
     wanted = (F.col("severity") == "critical") | F.col("alert_type").isin("CHURN_RISK", "OPSL_GAP")
     null = F.lit(None).cast("string")
-    a = (alerts.filter(wanted)
+    a = (waiting(alerts).filter(wanted)
          .select(F.lit("alert").alias("kind"), "severity", "alert_key", "sku_id", "location_id", "supplier_id", "financial_impact"))
     late = orders.filter((F.col("status") == "open") & (F.col("expected_delivery_date") < day(as_of)))
     value = F.bround(num("qty_ordered") * num("unit_cost"), 2)

@@ -117,6 +117,23 @@ def test_alert_lifecycle_over_four_runs(make):
     assert snaps[0][("LOW_SUPPLY|a", d(0))].days_active == 1 and len(snaps[0]) == 3
 
 
+def test_an_acknowledged_alert_stays_so_while_it_is_open(make):
+    low = ("LOW_SUPPLY", "a"), ("LOW_SUPPLY", "b")
+    state = alerts.advance(alerts.empty_state(_alerts(make, 3, *low)), _alerts(make, 3, *low), d(3))
+    marks = make("alert_key string, alert_date date, acknowledged_by string, acknowledged_at date",
+                 [("LOW_SUPPLY|a", d(3), "late", d(1)), ("LOW_SUPPLY|a", d(3), "first", d(3)), ("LOW_SUPPLY|b", d(4), "wrong day", d(3)),
+                  ("LOW_SUPPLY|b", d(3), "no time", None), ("unknown", d(3), "x", d(3))])
+    state = alerts.acknowledge(alerts.acknowledge(state, marks), marks.filter("acknowledged_by = 'late'"))
+    assert state.columns == list(alerts.STATE_COLUMNS)
+    state = alerts.advance(state, _alerts(make, 2, *low), d(2))
+    got = {r.sku_id: (r.alert_date, r.is_acknowledged, r.acknowledged_by, r.acknowledged_at) for r in state.collect()}
+    assert got == {"a": (d(2), True, "first", d(3)), "b": (d(2), False, None, None)}
+    assert [r.sku_id for r in alerts.waiting(state).collect()] == ["b"]
+    # Resolved, then back: a new row that is not acknowledged.
+    back = alerts.advance(alerts.advance(state, _alerts(make, 1, low[1]), d(1)), _alerts(make, 0, *low), d(0))
+    assert {(r.sku_id, r.alert_date, r.is_acknowledged) for r in back.collect()} == {("a", d(2), True), ("a", d(0), False), ("b", d(0), False)}
+
+
 def test_freeze_alert_needs_a_cold_day_within_a_week(make):
     master = make("sku_id string, is_active boolean, part_category string, sub_category string",
                   [("a", True, "Electrical", ""), ("b", True, "body", "Batteries"), ("c", False, "cooling", ""), ("d", True, "body", "")])
