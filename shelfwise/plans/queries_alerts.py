@@ -131,7 +131,7 @@ def alerts_supplier_risk(c):
 @query
 def alerts_dead_stock(c):
     # Every synthetic SKU sells, so the report of the previous scoring keeps its conflicts aside.
-    return alerts.dead_stock_alerts(c["dead_stock"].withColumn("data_conflict", F.col("sale_frequency") > 6), AS_OF)
+    return alerts.dead_stock_alerts(c["scored_dead_stock"], AS_OF)
 
 
 @query
@@ -139,12 +139,21 @@ def alerts_dead_stock_by_flag(c):
     return alerts.dead_stock_by_flag(c["sku_master"], AS_OF)
 
 
+@frame
+def scored_dead_stock(c):
+    return settle(c["dead_stock"].withColumn("data_conflict", F.col("sale_frequency") > 6))
+
+
+@frame
+def alerts_dead_stock_or_flag(c):
+    return alerts.dead_stock_chain(c["scored_dead_stock"], c["sku_master"], AS_OF)
+
+
 @query
 def alerts_dead_stock_chained(c):
     """By report where it has rows; the flags of the master where it has none, as at the first run of a site."""
-    scored = settle(c["dead_stock"].withColumn("data_conflict", F.col("sale_frequency") > 6))
-    unscored = scored.where("location_id is null")
-    return (alerts.dead_stock_chain(scored, c["sku_master"], AS_OF).withColumn("scored", F.lit(True))
+    unscored = c["scored_dead_stock"].where("location_id is null")
+    return (c["alerts_dead_stock_or_flag"].withColumn("scored", F.lit(True))
             .unionByName(alerts.dead_stock_chain(unscored, c["sku_master"], AS_OF).withColumn("scored", F.lit(False))))
 
 
@@ -169,7 +178,7 @@ def alerts_outside_gap(c):
     return alerts.outside_gap(flags, AS_OF)
 
 
-GENERATORS = ("alerts_critical_stockout", "alerts_low_supply", "alerts_freeze", "alerts_supplier_risk", "alerts_dead_stock",
+GENERATORS = ("alerts_critical_stockout", "alerts_low_supply", "alerts_freeze", "alerts_supplier_risk", "alerts_dead_stock_or_flag",
               "alerts_transfer_opportunity", "alerts_accuracy_drop", "alerts_churn_risk", "alerts_outside_gap")
 
 
