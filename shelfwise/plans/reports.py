@@ -205,8 +205,8 @@ def open_orders(orders: DataFrame, k: int = 6) -> DataFrame:
 
 def morning_brief(alerts: DataFrame, recs: DataFrame) -> DataFrame:
     critical = waiting(alerts).agg(count_if(F.col("severity") == "critical").alias("critical_alerts"))
-    waiting = ~F.coalesce(F.col("is_approved"), F.lit(False)) & F.col("urgency").isin("critical", "warning", "high")
-    work = latest_recommendations(recs).agg(count_if(waiting).alias("urgent_reorders"),
+    pending = ~F.coalesce(F.col("is_approved"), F.lit(False)) & F.col("urgency").isin("critical", "warning", "high")
+    work = latest_recommendations(recs).agg(count_if(pending).alias("urgent_reorders"),
                                             count_if(F.col("recommendation_type") == "transfer").alias("transfer_ops"))
     return critical.crossJoin(F.broadcast(work))  # one row each
 
