@@ -160,6 +160,7 @@ SELECT max(alert_date) AS alert_date, arg_max(alert_type, alert_date) AS alert_t
   CASE WHEN bool_or(location_id = 'LOC-003' AND alert_date = {D} - 1) THEN {D} - 1 END AS acknowledged_at
 FROM low_supply_runs GROUP BY alert_key, island
 """
+VIEWS["streamed_alerts"] = "SELECT * FROM alert_lifecycle"
 VIEWS["report_waiting_alerts"] = f"""
 SELECT severity, count(*) AS alerts, round_even(sum(financial_impact), 2)::DOUBLE AS financial_impact FROM alert_lifecycle
 WHERE alert_date = {D} AND NOT resolved AND NOT is_acknowledged GROUP BY 1

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from shelfwise.operators import accuracy, alerts, anomaly, forecast, models, purchasing, quality
 from shelfwise.plans import reports
 from shelfwise.plans.catalog import AS_OF, frame, query
-from shelfwise.session import settle
+from shelfwise.session import settle, shared_folder
+from shelfwise.streaming import alert_stream
 
 
 @frame
@@ -208,6 +210,24 @@ def alert_lifecycle(c):
     return state
 
 
+@query
+def streamed_alerts(c):
+    """The three runs of ``alert_lifecycle`` as a stream that is stopped after each: every load goes on from the
+    checkpoint, and keys that vanish are closed by their timers."""
+    base = f"{shared_folder(c.spark)}/alerts-{uuid4().hex}"
+    landed, log, checkpoint = f"{base}/landed", f"{base}/log", f"{base}/checkpoint"
+    for back in (2, 1, 0):
+        today = AS_OF - timedelta(days=back)
+        alert_stream.land_run(alerts.low_supply(c["recommendations"], c["sku_master"], today), landed, today)
+        alert_stream.load(c.spark, landed, log, checkpoint)
+        if back == 1:
+            seen = alert_stream.table(c.spark, log).where("location_id = 'LOC-003' and not resolved").select(
+                "alert_key", "alert_date", F.lit("buyer").alias("acknowledged_by"), F.col("alert_date").alias("acknowledged_at"))
+            alert_stream.land_marks(seen, landed, today)
+            alert_stream.load(c.spark, landed, log, checkpoint)
+    return alert_stream.table(c.spark, log)
+
+
 @query
 def report_waiting_alerts(c):
     """Today's open alerts that nobody has acknowledged, by severity."""
