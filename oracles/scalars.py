@@ -105,6 +105,24 @@ VIEWS["parsed_weather"] = """
 SELECT log_date, temp_max_f, temp_min_f, precipitation_in, round_even(snowfall_in * 2.54::DOUBLE * 0.393701::DOUBLE, 4)::DOUBLE
   AS snowfall_in, is_forecast FROM weather
 """
+VIEWS["weather_faults"] = """
+SELECT w.*, CASE WHEN place % 5 = 0 THEN 'unreadable' WHEN place % 13 = 1 THEN 'missing array' WHEN place % 7 = 3 THEN 'unequal arrays'
+  WHEN place % 11 = 2 THEN 'unreadable day' END AS reason
+FROM (SELECT *, year(log_date) * 12 + month(log_date) AS place FROM parsed_weather) w
+"""
+VIEWS["landed_weather"] = """
+SELECT log_date, temp_max_f, temp_min_f, precipitation_in, snowfall_in, is_forecast FROM weather_faults WHERE reason IS NULL
+"""
+VIEWS["quarantined_weather"] = """
+SELECT reason, count(*) AS documents, count(*) AS with_file, count(*) AS with_text
+FROM (SELECT DISTINCT reason, place, is_forecast FROM weather_faults WHERE reason IS NOT NULL) GROUP BY 1
+"""
+VIEWS["loaded_snapshots"] = """
+SELECT sku_id, location_id, CASE WHEN n % 3 = 0 OR n % 23 <> 5 THEN snapshot_date END AS snapshot_date,
+  CASE WHEN n % 17 <> 2 THEN qty_on_hand END AS qty_on_hand, qty_on_order, reorder_point,
+  CASE WHEN n % 17 <> 2 THEN qty_on_hand <= 0 END AS is_stockout
+FROM (SELECT *, CAST(substr(sku_id, 2) AS BIGINT) + day(snapshot_date) AS n FROM inventory)
+"""
 VIEWS["observed_weather"] = "SELECT log_date, is_forecast, temp_min_f, temp_max_f, precipitation_in, snowfall_in FROM weather"
 VIEWS["unregistered_skus"] = """
 SELECT DISTINCT sku_id, TRUE AS is_active FROM sales WHERE sku_id NOT IN (SELECT sku_id FROM sku_master WHERE is_active)

@@ -136,16 +136,79 @@ def merged_customers(c):
     return readers.merge_customers(rows)
 
 
-@query
-def parsed_weather(c):
-    """Daily arrays of one document per month, back to rows."""
+@frame
+def weather_documents(c):
+    """The weather as one document of parallel arrays per month."""
     days = c["weather"].withColumn("r", F.struct(
         "log_date", F.col("temp_max_f"), F.col("temp_min_f"), "precipitation_in", (F.col("snowfall_in") * 2.54).alias("cm")))
-    docs = (days.groupBy("is_forecast", F.trunc("log_date", "MM").alias("m")).agg(F.array_sort(F.collect_list("r")).alias("a"))
-            .select("is_forecast", F.expr("transform(a, x -> cast(x.log_date as string)) as time"),
+    return (days.groupBy("is_forecast", F.trunc("log_date", "MM").alias("m")).agg(F.array_sort(F.collect_list("r")).alias("a"))
+            .select("m", "is_forecast", F.expr("transform(a, x -> cast(x.log_date as string)) as time"),
                     F.expr("transform(a, x -> x.temp_max_f) as temp_max"), F.expr("transform(a, x -> x.temp_min_f) as temp_min"),
                     F.expr("transform(a, x -> x.precipitation_in) as precipitation"), F.expr("transform(a, x -> x.cm) as snowfall_cm")))
-    return readers.weather_rows(docs)
+
+
+@query
+def parsed_weather(c):
+    """Daily arrays of one document per month, back to rows."""
+    return readers.weather_rows(c["weather_documents"].drop("m"))
+
+
+@frame
+def landed_weather_documents(c):
+    """The documents as JSON files, some of them cut off, short of a value, without an array or with a day that is none."""
+    place = F.year("m") * 12 + F.month("m")
+    docs = c["weather_documents"].withColumns({
+        "precipitation": F.when(place % 7 != 3, F.col("precipitation")).when(F.size("precipitation") > 1, F.slice("precipitation", 1, F.size("precipitation") - 1))
+        .otherwise(F.array().cast("array<double>")),
+        "snowfall_cm": F.when(place % 13 != 1, F.col("snowfall_cm")),
+        "time": F.when(place % 11 != 2, F.col("time")).otherwise(F.concat(F.array(F.lit("31.02.")), F.slice("time", 2, F.greatest(F.size("time") - 1, F.lit(0))))),
+        "place": place})
+    text = F.to_json(F.struct(F.struct(*readers.DAILY).alias("daily"), "is_forecast"))
+    folder = f"{shared_folder(c.spark)}/weather-{uuid4().hex}"
+    cut = F.when(F.col("place") % 5 == 0, F.expr("left(j, cast(length(j) / 2 as int))")).otherwise(F.col("j"))
+    docs.withColumn("j", text).select(cut.alias("value")).write.text(folder)
+    return readers.checked_weather(readers.landed_documents(c.spark, folder))
+
+
+@query
+def landed_weather(c):
+    """Rows of the landed documents that can be used."""
+    return readers.accepted_weather(c["landed_weather_documents"])
+
+
+@query
+def quarantined_weather(c):
+    """The other documents: why each was set aside, and that its text is kept."""
+    return (readers.quarantined(c["landed_weather_documents"])
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("documents"), F.count("file").alias("with_file"),
+                                   F.sum(F.col("document").contains("time").cast("long")).alias("with_text")))
+
+
+def snapshot_export(c) -> str:
+    """Snapshots as the CSV export of another system: its column names, blanks around cells, cells that do not parse,
+    lines of blanks, a column that nothing maps. Gives its folder."""
+    e = F.expr
+    folder = f"{shared_folder(c.spark)}/csv-{uuid4().hex}"
+    n = "cast(substr(sku_id, 2) as bigint) + day(snapshot_date)"
+    (c["inventory"].select(
+        e("concat(' ', sku_id, ' ') as PartNumber"), e("location_id as StoreID"),
+        e(f"case when ({n}) % 3 = 0 then date_format(snapshot_date, 'M/d/yyyy') when ({n}) % 23 = 5 then 'n/a'"
+          " else cast(snapshot_date as string) end as SnapshotDate"),
+        e(f"case when ({n}) % 17 = 2 then '-' else concat(' ', cast(qty_on_hand as bigint), '.0') end as QtyOnHand"),
+        e("cast(cast(qty_on_order as bigint) as string) as QtyOnOrder"), e("cast(reorder_point as string) as ReorderPoint"),
+        e("'x' as Comment"))
+     .unionByName(c["inventory"].where("snapshot_date = date'2001-08-01'").select(*[F.lit(" ").alias(x) for x in (
+         "PartNumber", "StoreID", "SnapshotDate", "QtyOnHand", "QtyOnOrder", "ReorderPoint", "Comment")]))
+     .write.option("header", True).csv(f"{folder}/inventory_snapshots.csv"))
+    return folder
+
+
+@query
+def loaded_snapshots(c):
+    """The landed CSV as stored rows: mapped, typed, with the stockout flag computed afresh."""
+    rows = readers.load(c.spark, snapshot_export(c), "inventory_snapshots")
+    return rows.select("sku_id", "location_id", "snapshot_date", *[F.col(x).cast("double").alias(x) for x in (
+        "qty_on_hand", "qty_on_order", "reorder_point")], "is_stockout")
 
 
 @query

@@ -37,6 +37,20 @@ def read_source(spark: SparkSession, fmt: str, location: str, dataset: str, **op
     return spark.read.format(fmt).options(**options).load(f"{location.rstrip('/')}/{dataset}")
 
 
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, parts: int, quote: str = '"', **options: str) -> DataFrame:
+    """A database table read in ``parts`` ranges of a number, date or timestamp column, each by a connection of its
+    own. The database gives the bounds; filters and column choices on the result are sent to it. Rows without a
+    value are in the first range; a table without any value is one range. ``quote`` is the database's mark around names."""
+    source = spark.read.format("jdbc").options(url=url, **options)
+    named = f"{quote}{column}{quote}"
+    ends = f"(select min({named}) as lo, max({named}) as hi from {table}) ends"
+    (lo, hi), = source.option("dbtable", ends).load().collect()  # at most one row
+    source = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if lo is not None and lo != hi:
+        source = source.options(partitionColumn=column, lowerBound=str(lo), upperBound=str(hi), numPartitions=parts)
+    return source.load()
+
+
 def map_columns(df: DataFrame, dataset: str, mapping: dict[str, str] | None = None) -> DataFrame:
     """Source names to stored names; unmapped columns go, missing ones are left out."""
     mapping = mapping or schemas.COLUMN_MAPS[dataset]
@@ -194,9 +208,48 @@ def invoice_routes(sales: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("qty")))
 
 
+DAILY = ("time", "temp_max", "temp_min", "precipitation", "snowfall_cm")
+WEATHER_DOCUMENT = ("is_forecast boolean, daily struct<time: array<string>, temp_max: array<double>, temp_min: array<double>,"
+                    " precipitation: array<double>, snowfall_cm: array<double>>")
+
+
+def landed_documents(spark: SparkSession, folder: str, schema: str = WEATHER_DOCUMENT, whole_files: bool = False) -> DataFrame:
+    """JSON documents, one a line or one a file, as columns of ``schema`` beside their ``_text``, their ``_file`` and,
+    where the text is not such a document, ``_unreadable``. Blank lines are no documents."""
+    lines = spark.read.text(folder, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("_file"))
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return (lines.where(F.trim("value") != "").select(F.col("value").alias("_text"), "_file", parsed.alias("d"))
+            .select("d.*", "_text", "_file").withColumn("_unreadable", F.col("_broken").isNotNull()).drop("_broken"))
+
+
+def checked_weather(documents: DataFrame) -> DataFrame:
+    """``reason`` says why a landed weather document cannot be used; null where it can. A document is used whole or
+    not at all, so a day is never made of values of different days."""
+    sizes = [F.col(f"daily.{n}") for n in DAILY]
+    unequal = F.lit(False)
+    for a in sizes[1:]:
+        unequal = unequal | ~F.size(a).eqNullSafe(F.size(sizes[0]))
+    missing = F.lit(False)
+    for a in sizes:
+        missing = missing | a.isNull()
+    bad_day = F.exists(sizes[0], lambda t: t.try_cast("date").isNull())
+    return documents.withColumn("reason", F.when(F.col("_unreadable"), "unreadable").when(missing, "missing array")
+                                .when(unequal, "unequal arrays").when(bad_day, "unreadable day"))
+
+
+def accepted_weather(checked: DataFrame) -> DataFrame:
+    return weather_rows(checked.where("reason is null").select("is_forecast", "daily.*"))
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    """Refused documents with their reason, file and whole text, to be stored and landed again once mended."""
+    return checked.where("reason is not null").select("reason", F.col("_file").alias("file"), F.col("_text").alias("document"))
+
+
 def weather_rows(documents: DataFrame) -> DataFrame:
-    """Documents of parallel daily arrays to one row per day. Arrays of unequal length fail the job."""
-    names = ("time", "temp_max", "temp_min", "precipitation", "snowfall_cm")
+    """Documents of parallel daily arrays to one row per day. Arrays of unequal length fail the job:
+    ``checked_weather`` sets such documents aside first."""
+    names = DAILY
     same = F.lit(True)
     for n in names[1:]:
         same = same & (F.size(n) == F.size("time"))
