@@ -123,6 +123,12 @@ SELECT sku_id, location_id, CASE WHEN n % 3 = 0 OR n % 23 <> 5 THEN snapshot_dat
   CASE WHEN n % 17 <> 2 THEN qty_on_hand <= 0 END AS is_stockout
 FROM (SELECT *, CAST(substr(sku_id, 2) AS BIGINT) + day(snapshot_date) AS n FROM inventory)
 """
+VIEWS["late_events"] = """
+SELECT e.event_id % 3 AS part, event_type, count(*) AS events,
+  coalesce(sum(CASE WHEN ts < r.reached - INTERVAL 30 DAY THEN 1 ELSE 0 END), 0)::BIGINT AS late
+FROM events e LEFT JOIN (SELECT p, (SELECT max(ts) FROM events WHERE event_id % 3 < p) AS reached FROM (VALUES (0), (1), (2)) t(p)) r
+  ON r.p = e.event_id % 3 GROUP BY ALL
+"""
 VIEWS["observed_weather"] = "SELECT log_date, is_forecast, temp_min_f, temp_max_f, precipitation_in, snowfall_in FROM weather"
 VIEWS["unregistered_skus"] = """
 SELECT DISTINCT sku_id, TRUE AS is_active FROM sales WHERE sku_id NOT IN (SELECT sku_id FROM sku_master WHERE is_active)

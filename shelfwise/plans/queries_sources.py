@@ -350,6 +350,20 @@ def unique_events(c):
             .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids")))
 
 
+@query
+def late_events(c):
+    """The events landed in three parts, each over the whole time: from the second on, what lies more than thirty days
+    before the newest event seen is late. Counted per part and type; none is lost."""
+    schema = StructType.fromDDL("event_id bigint, ts timestamp, event_type string, part bigint")
+    base = f"{shared_folder(c.spark)}/late-{uuid4().hex}"
+    events = c.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("event_id") % 3).alias("part"))
+    for part in range(3):
+        events.where(F.col("part") == part).write.mode("append").parquet(f"{base}/landed")
+        incremental.load_with_late(incremental.file_stream(c.spark, f"{base}/landed", schema), base, f"{base}/checkpoint", "ts", timedelta(days=30))
+    return (incremental.loaded_rows(c.spark, base).groupBy("part", "event_type")
+            .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("late").cast("long")).alias("late")))
+
+
 @query
 def rows_to_load(c):
     stored = c["sales"].filter(F.col("transaction_date") <= F.lit(AS_OF - timedelta(days=60)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,6 +38,39 @@ def load_available(stream: DataFrame, path: str, checkpoint: str, keys: Sequence
     query.awaitTermination()
 
 
+def load_with_late(stream: DataFrame, base: str, checkpoint: str, time_col: str, delay: timedelta) -> None:
+    """Load everything that has landed; rows that a watermark would drop are stored beside the others, marked ``late``.
+
+    A row is late if its time lies more than ``delay`` before the newest time of all earlier batches; one without a time
+    never is. Rows are stored per batch, so a batch that runs again after a failure replaces its own rows only. Each batch
+    also leaves one line of counts and the time it reached, taken while the rows are written."""
+    rows, lines = f"{base}/rows", f"{base}/loads"
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark, t = batch.sparkSession, F.col(time_col)
+        reached = None
+        if number > 0:
+            (reached,), = spark.read.parquet(lines).where(F.col("batch") < number).agg(F.max("reached")).collect()  # at most one row
+        late = F.lit(False) if reached is None else F.coalesce(t < F.lit(reached - delay), F.lit(False))
+        seen = Observation()
+        (batch.withColumns({"late": late, "batch": F.lit(number).cast("long")})
+         .observe(seen, F.max(t).alias("newest"), F.count(F.lit(1)).alias("rows"), F.sum(late.cast("long")).alias("late"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "late").parquet(rows))
+        got = seen.get
+        newest = max((x for x in (got["newest"], reached) if x is not None), default=None)
+        line = spark.range(1).select(F.lit(newest).cast("timestamp").alias("reached"), F.lit(got["rows"]).cast("long").alias("rows"),
+                                     F.lit(got["late"] or 0).cast("long").alias("late"), F.lit(number).cast("long").alias("batch"))
+        line.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(lines)
+
+    (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+     .start().awaitTermination())
+
+
+def loaded_rows(spark: SparkSession, base: str) -> DataFrame:
+    """What ``load_with_late`` has stored, ``late`` as a truth value again: folder names are text."""
+    return spark.read.parquet(f"{base}/rows").withColumn("late", F.col("late").cast("boolean"))
+
+
 def resume_from(stored: DataFrame, col: str, first: date, overlap_days: int = 30) -> DataFrame:
     """One row: where the next load starts, one chunk before the newest stored day."""
     top = F.date_sub(F.max(col), overlap_days)
