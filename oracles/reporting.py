@@ -36,6 +36,11 @@ VIEWS["report_dead_stock_top"] = """
 SELECT sku_id, location_id, action, action_type, data_conflict, total_inv_value, qty_on_hand, days_since_sale, sale_frequency,
   abc_class, supplier_id FROM dead_stock WHERE classification = 'LIQUIDATE' ORDER BY total_inv_value DESC, sku_id, location_id LIMIT 10
 """
+VIEWS["report_dead_stock_listed"] = """
+SELECT CAST(row_number() OVER (ORDER BY total_inv_value DESC, sku_id, location_id) - 1 AS INTEGER) AS place, sku_id, location_id, action,
+  CAST(total_inv_value AS DOUBLE) AS total_inv_value
+FROM dead_stock WHERE classification = 'LIQUIDATE' QUALIFY place < 20
+"""
 VIEWS["report_action_breakdown"] = """
 SELECT action, count(*) AS positions, round_even(sum(total_inv_value), 2)::DOUBLE AS value FROM dead_stock
 WHERE classification = 'LIQUIDATE' GROUP BY 1

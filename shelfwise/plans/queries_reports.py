@@ -48,7 +48,15 @@ def report_dead_stock_top(c):
 @query
 def report_dead_stock_document(c):
     order = [-F.col("total_inv_value"), F.col("sku_id"), F.col("location_id")]
-    return reports.as_document(c["dead_stock_summary"], c["report_dead_stock_top"], order)
+    return reports.as_document(c["dead_stock_summary"], reports.dead_stock_top(c["dead_stock"], 20), order)
+
+
+@query
+def report_dead_stock_listed(c):
+    """The rows of the document, read back from its JSON in their order."""
+    row = "array<struct<sku_id: string, location_id: string, action: string, total_inv_value: double>>"
+    rows = F.from_json("document", f"rows {row}")["rows"]
+    return c["report_dead_stock_document"].select(F.posexplode(rows).alias("place", "r")).select("place", "r.*")
 
 
 @query
