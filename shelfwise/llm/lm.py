@@ -8,7 +8,7 @@ by their last two characters.
 
 Gathered from all training texts: the count of every word (a shuffle that grows with the vocabulary),
 and the counts of class triples (at most classes**3 rows). Training runs in Spark tasks on shards of
-the triples; each round returns the parameters of every task, which are averaged. Scores multiply all
+the triples, every one weighted by its count; each round returns the parameters of every task, which are averaged. Scores multiply all
 context pairs with the output matrix at once, which gives exactly normalised class log-probabilities.
 
 Counts reach the texts in two ways: the ``known_words`` most frequent words travel to the tasks (a
@@ -146,35 +146,34 @@ def initial(size: int, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def train_on(p: dict[str, np.ndarray], codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, seed: int, steps: int,
-             batch: int = 2048, samples: int = 48, rate: float = 0.15) -> dict[str, np.ndarray]:
-    """Adagrad steps of noise-contrastive estimation on triples drawn by their counts."""
+             blocks: int = 8, samples: int = 48, rate: float = 0.15) -> dict[str, np.ndarray]:
+    """Adagrad steps of noise-contrastive estimation on all triples, each with its count as weight.
+
+    A pass deals the contexts into blocks, one step each; ``steps`` are filled up to whole passes. The ``samples``
+    noise tokens of a true one enter by their expectation over all classes, so nothing is drawn."""
     rng = np.random.default_rng(seed)
     p = {k: v.copy() for k, v in p.items()}
     past = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    drawn = np.searchsorted(np.cumsum(counts), rng.integers(0, counts.sum(), steps * batch), side="right")
+    contexts, place = np.unique(codes // CLASSES, return_inverse=True)
+    blocks = min(blocks, len(contexts))
+    seen = np.zeros((len(contexts), CLASSES))
+    np.add.at(seen, (place, codes % CLASSES), counts * (blocks / counts.sum()))
+    false = seen.sum(axis=1, keepdims=True) * (samples * noise)
     log_noise = np.log(samples * noise)
-    for step in range(steps):
-        some = codes[drawn[step * batch:(step + 1) * batch]]
-        c2, c1, c = some // CLASSES ** 2, some // CLASSES % CLASSES, some % CLASSES
-        x = rng.choice(CLASSES, samples, p=noise)
-        r1, r2 = p["r"][c1], p["r"][c2]
-        h = r1 @ p["m1"] + r2 @ p["m2"]
-        true = (h * p["q"][c]).sum(axis=1) + p["b"][c] - log_noise[c]
-        false = h @ p["q"][x].T + p["b"][x] - log_noise[x]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30))) / batch               # how far a true token is from certain
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30))) / batch
-        dh = up[:, None] * p["q"][c] + down @ p["q"][x]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(g["q"], c, up[:, None] * h)
-        np.add.at(g["q"], x, down.T @ h)
-        np.add.at(g["b"], c, up)
-        np.add.at(g["b"], x, down.sum(axis=0))
-        g["m1"], g["m2"] = r1.T @ dh, r2.T @ dh
-        np.add.at(g["r"], c1, dh @ p["m1"].T)
-        np.add.at(g["r"], c2, dh @ p["m2"].T)
-        for k in p:
-            past[k] += g[k] ** 2
-            p[k] += rate * g[k] / np.sqrt(past[k])
+    for _ in range(-(-steps // blocks)):
+        for some in np.array_split(rng.permutation(len(contexts)), blocks):
+            c2, c1 = contexts[some] // CLASSES, contexts[some] % CLASSES
+            r1, r2 = p["r"][c1], p["r"][c2]
+            h = r1 @ p["m1"] + r2 @ p["m2"]
+            certain = 1 / (1 + np.exp(-np.clip(h @ p["q"].T + p["b"] - log_noise, -30, 30)))  # that a token is a true one
+            up = seen[some] * (1 - certain) - false[some] * certain
+            dh = up @ p["q"]
+            g = {"q": up.T @ h, "b": up.sum(axis=0), "m1": r1.T @ dh, "m2": r2.T @ dh, "r": np.zeros_like(p["r"])}
+            np.add.at(g["r"], c1, dh @ p["m1"].T)
+            np.add.at(g["r"], c2, dh @ p["m2"].T)
+            for k in p:
+                past[k] += g[k] ** 2
+                p[k] += rate * g[k] / np.sqrt(past[k])
     return p
 
 
@@ -188,14 +187,14 @@ def class_log_probabilities(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def train(triples: DataFrame, size: int = 24, rounds: int = 4, tasks: int = 6, steps: int = 250) -> dict[str, np.ndarray]:
-    """The model trained on shards of the triples; each round averages the tasks' parameters."""
+    """The model trained on all triples, in shards of whole contexts; each round averages the tasks' parameters."""
     p = initial(size)
     mass = np.ones(CLASSES)
     for r in triples.groupBy((F.col("code") % CLASSES).alias("c")).agg(F.sum("n").alias("n")).collect():
         mass[r["c"]] += r["n"]
     noise = mass / mass.sum()
     shape = {k: v.shape for k, v in p.items()}
-    shards = settle(triples.repartition(tasks, "code"))
+    shards = settle(triples.repartition(tasks, F.expr(f"code div {CLASSES}")))
 
     def learner(start: dict[str, np.ndarray], turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

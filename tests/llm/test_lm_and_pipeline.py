@@ -71,6 +71,14 @@ def test_noise_contrastive_training_learns_a_pattern():
     assert table[codes].mean() > math.log10(0.5)
 
 
+def test_training_weighs_all_counts_and_draws_none():
+    codes, counts = np.array([3, 4, 5]), np.array([7_000_000, 2_000_000, 1_000_000])
+    noise = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    p, q = (lm.train_on(lm.initial(16), codes, counts, noise, seed, 400) for seed in (1, 2))
+    assert all(np.array_equal(p[k], q[k]) for k in p)
+    assert np.allclose(10 ** lm.class_log_probabilities(p)[codes], counts / counts.sum(), atol=0.01)
+
+
 def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = lm.scores(odd, known_words=50).collect()
