@@ -78,6 +78,16 @@ def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
             .select(*keys, "_row.*"))
 
 
+def newest_first(day_col: Column | str, value: Column | str) -> Column:
+    """(day, value) as one long for ``max_by``: a struct as ordering would sort all rows before the map
+    side reduces them, a long lets them be hashed. On equal days the larger value is newer, compared at
+    the four decimals of every stored quantity and price; null comes first on its day."""
+    days = F.coalesce(F.unix_date(day_col), F.lit(-1_000_000)).cast("long")
+    value = F.col(value) if isinstance(value, str) else value
+    units = F.coalesce((value.try_cast("decimal(12,4)") * 10_000).cast("long"), F.lit(-10 ** 12))
+    return days * (2 * 10 ** 12) + units
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Row with the smallest ordering value per key (ties: smallest remaining columns)."""
     rest = [c for c in df.columns if c not in keys]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import params
-from shelfwise.operators.common import count_if, day, latest_row, newest_run, num, top_per_group, total, total_if
+from shelfwise.operators.common import count_if, day, newest_first, newest_run, num, top_per_group, total, total_if
 from shelfwise.session import settle
 
 
@@ -29,9 +29,9 @@ def dead_stock(snapshots: DataFrame, master: DataFrame, orders: DataFrame, sales
                p: params.DeadStock = params.DeadStock()) -> DataFrame:
     """Every stocked position scored by age and value. ``needs`` are the day's recommendations and
     ``shortages`` the understocking rows; either turns a sell-off into a transfer."""
-    stocked = (latest_row(snapshots.select("sku_id", "location_id", "snapshot_date", "qty_on_hand"),
-                          ["sku_id", "location_id"], ["snapshot_date"])
-               .filter("qty_on_hand > 0").select("sku_id", "location_id", F.col("qty_on_hand").cast("double").alias("qty_on_hand")))
+    stocked = (snapshots.groupBy("sku_id", "location_id")
+               .agg(F.max_by(F.col("qty_on_hand").cast("double"), newest_first("snapshot_date", "qty_on_hand")).alias("qty_on_hand"))
+               .filter("qty_on_hand > 0"))
     moved = (sales.filter(F.col("transaction_date") >= day(as_of, -p.lookback_days))
              .filter(~F.coalesce(F.col("is_warranty"), F.lit(False)))
              .groupBy("sku_id", "location_id")
@@ -116,12 +116,12 @@ def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataF
     """Branch positions below their reorder point on at least ``min_share`` of the observed days."""
     seen = snapshots.filter((F.col("snapshot_date") >= day(as_of, -lookback)) & (F.col("reorder_point") > 0)
                             & ~F.col("location_id").isin(*excluded))
-    costed = F.when(F.col("unit_cost").isNotNull(), F.struct("snapshot_date", F.col("unit_cost").cast("double").alias("c")))
+    costed = F.when(F.col("unit_cost").isNotNull(), newest_first("snapshot_date", "unit_cost"))
     stats = (seen.groupBy("sku_id", "location_id")
              .agg(F.count(F.lit(1)).alias("days_observed"),
                   count_if(num("qty_on_hand") < F.col("reorder_point")).alias("days_below_reorder"),
-                  F.max_by(F.col("reorder_point").cast("double"), F.col("snapshot_date")).alias("current_min"),
-                  F.max(costed).alias("cost"))
+                  F.max_by(F.col("reorder_point").cast("double"), newest_first("snapshot_date", "reorder_point")).alias("current_min"),
+                  F.max_by(F.col("unit_cost").cast("double"), costed).alias("cost"))
              .withColumn("pct", F.col("days_below_reorder") / F.col("days_observed"))
              .filter(F.col("pct") >= min_share))
     transfers = (recommendations.filter((F.col("recommendation_type") == "transfer")
@@ -133,7 +133,7 @@ def chronic_understocking(snapshots: DataFrame, master: DataFrame, detail: DataF
          .join(profit_per_unit(detail, as_of, lookback), "sku_id", "left")
          .join(transfers, ["sku_id", "location_id"], "left").join(confirmed, ["sku_id", "location_id"], "left")
          .withColumn("daily", num("avg_weekly_units") / 7.0)
-         .withColumn("unit", F.coalesce(F.col("cost.c"), F.col("master_cost").cast("double"), F.lit(0.0)))
+         .withColumn("unit", F.coalesce("cost", F.col("master_cost").cast("double"), F.lit(0.0)))
          .filter("daily > 0 and unit > 0 and pct > 0"))
     suggested = F.col("daily") * cover_days
     rows = settle(x.select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from shelfwise.operators.common import day
+from shelfwise.operators.common import day, spread
 from shelfwise.plans.catalog import AS_OF, frame
 
 _SNAPSHOT_DAYS = 90
@@ -108,7 +108,9 @@ def purchase_orders(c):
 
 @frame
 def sku_keys(c):
-    return c.raw("part").select(_e("p_partkey div 20 as s")).distinct()
+    # A SKU is a few bytes here and up to 810 rows in the grids below: adaptive execution would merge all into one
+    # task. Spread before they are distinct: the planner drops a repartition by the keys of an aggregate below it.
+    return spread(c.raw("part").select(_e("p_partkey div 20 as s")), ["s"]).distinct()
 
 
 @frame

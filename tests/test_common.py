@@ -64,3 +64,11 @@ def test_fill_from_keeps_old_values_where_new_is_unknown(make):
     new = make("k string, a int", [("x", None), ("y", 9)])
     got = sorted((r.k, r.a, r.b) for r in common.fill_from(old, new, ["k"], ["a"]).collect())
     assert got == [("x", 1, 1), ("y", 9, 2)]
+
+
+def test_newest_first_orders_like_day_and_value(make):
+    d = date(2026, 3, 1)
+    rows = [(d, 5.0), (d, -2.5), (d, None), (date(1960, 1, 1), 99_999_999.0), (d, 5.0001), (None, 7.0), (date(2026, 3, 2), -99_999_999.0)]
+    got = make("day date, v double", rows).orderBy(common.newest_first("day", "v")).collect()
+    low = date.min
+    assert [tuple(r) for r in got] == sorted(rows, key=lambda r: (r[0] or low, float("-inf") if r[1] is None else r[1]))

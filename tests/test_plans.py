@@ -4,8 +4,10 @@ import pathlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfwise.plans.catalog import Catalog
+from shelfwise.operators import stock
+from shelfwise.plans.catalog import AS_OF, Catalog
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
 FOLDER = "/root/testdata/sf0.001"
@@ -48,6 +50,22 @@ def test_imputation_aggregates_the_days_once(catalog):
     assert "ReusedExchange" in counted._jdf.queryExecution().executedPlan().toString()
 
 
+def test_snapshots_are_made_by_many_tasks(catalog):
+    assert catalog["inventory"].select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_snapshots_are_reduced_by_hash(make):
+    keys = "sku_id string, location_id string, "
+    snaps = make(keys + "snapshot_date date, qty_on_hand double, reorder_point double, unit_cost double", [])
+    master = make("sku_id string, abc_class string, avg_weekly_units double, last_sale_date date, unit_cost double", [])
+    orders = make("po_number int, line_number int, sku_id string, supplier_id string, status string, actual_delivery_date date, unit_cost double", [])
+    sales = make(keys + "transaction_date date, is_warranty boolean", [])
+    needs = make(keys + "recommendation_date date, qty_to_order double", [])
+    text = plan(stock.dead_stock(snaps, master, orders, sales, make("prod_line_pn string, tran_date date", []), needs,
+                                 make(keys[:-2], []), AS_OF))
+    assert not re.search(r"SortAggregate[^\n]*\n(?:[^\n]+\n)*?[^\n]*max_by\([^\n]*qty_on_hand", text)
+
+
 def test_sources_follow_the_house_rules():
     banned = re.compile(r"localCheckpoint|\.collect\(\)|\.toPandas\(\)|\brdd\b|\.crossJoin\((?!F\.broadcast)")
     for path in (p for p in (ROOT / "shelfwise").rglob("*.py") if "llm" not in p.parts):  # that subpackage has its own tests

@@ -35,6 +35,19 @@ def test_dead_stock_branches(make):
     assert got["s6"].classification == "HEALTHY" and got["s7"].action == "Markdown — price reduction" and got["s7"].transfer_candidate_location == "L2"
 
 
+def test_two_snapshots_of_one_day_give_one_answer(make):
+    """The larger minimum and the larger cost of the newest day count, in whatever order the rows come."""
+    rows = [("s", "L1", AS_OF, 1.0, 9.0, 3.0), ("s", "L1", AS_OF, 1.0, 8.0, 4.0), ("s", "L1", d(1), 1.0, 20.0, 50.0)]
+    master = make("sku_id string, description string, avg_weekly_units double, unit_cost double", [("s", "x", 7.0, 1.0)])
+    detail = make("prod_line_pn string, tran_date date, tran_code string, gross_profit double, qty_ship double", [])
+    recs = _recs(make, [])
+    flags = make("prod_line_pn string, location_id string, flag string", [])
+    for some in (rows, rows[::-1]):
+        snaps = make("sku_id string, location_id string, snapshot_date date, qty_on_hand double, reorder_point double, unit_cost double", some)
+        got = stock.chronic_understocking(snaps.coalesce(1), master, detail, recs, flags, AS_OF).first()
+        assert (got.current_min_qty, got.unit_cost, got.days_observed) == (9.0, 4.0, 3)
+
+
 def _recs(make, rows):
     return make("sku_id string, location_id string, recommendation_date date, recommendation_type string, qty_to_order double, transfer_from_location string", rows)
 
