@@ -23,7 +23,8 @@ def xyz_class(c):
 
 @query
 def supplier_scores(c):
-    return classify.supplier_scores(c["purchase_orders"], AS_OF)
+    # Read by the supplier alerts and by the report sections: one row per supplier, stored once.
+    return settle(classify.supplier_scores(c["purchase_orders"], AS_OF))
 
 
 @query

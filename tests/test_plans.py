@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import stock
+from shelfwise.plans import reports
 from shelfwise.plans.catalog import AS_OF, Catalog
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
@@ -66,6 +67,13 @@ def test_snapshots_are_reduced_by_hash(make):
     assert not re.search(r"SortAggregate[^\n]*\n(?:[^\n]+\n)*?[^\n]*max_by\([^\n]*qty_on_hand", text)
 
 
+def test_critical_actions_read_the_order_lines_once(catalog, make):
+    alerts = make("alert_type string, severity string, alert_key string, sku_id string, location_id string, supplier_id string,"
+                  " financial_impact double", [])
+    text = plan(reports.critical_actions(alerts, catalog["purchase_orders"], catalog["supplier_scores"], AS_OF))
+    assert "lineitem" not in text  # open orders and scores come from stored rows
+
+
 def test_sources_follow_the_house_rules():
     banned = re.compile(r"localCheckpoint|\.collect\(\)|\.toPandas\(\)|\brdd\b|\.crossJoin\((?!F\.broadcast)")
     for path in (p for p in (ROOT / "shelfwise").rglob("*.py") if "llm" not in p.parts):  # that subpackage has its own tests
