@@ -7,6 +7,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.session import settle
+
 # Last order date of the driver tables: the explicit "today" of every registered query.
 AS_OF = date(2001, 8, 1)
 
@@ -42,6 +44,10 @@ class Catalog:
             self._built[name] = _FRAMES[name](self)
         return self._built[name]
 
+    def keep(self, name: str) -> None:
+        """Store a frame that many of the next frames read, so that its joins are done once."""
+        self._built[name] = settle(self[name])
+
 
 def query_names() -> list[str]:
     return list(_QUERIES)

@@ -138,6 +138,8 @@ def report_morning_brief(c):
 
 @query
 def report_critical_actions(c):
+    # A dozen readings of the order lines meet here, by alerts, orders and scores: joined and stored once.
+    c.keep("order_lines")
     return reports.critical_actions(c["alerts_today"], c["purchase_orders"], c["supplier_scores"], AS_OF)
 
 
