@@ -8,8 +8,8 @@
    ln a = ln c - r (t + 1 - beta); the sample is the (s, t) of least a.
    Two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Texts with equal words are one node. Nodes that share a band meet in a bucket. A bucket of n members
-   gives n - 1 pairs with its busiest node, then pairs with eight random nodes for each member that did
-   not join that node's component, for a few rounds. Of the nodes whose buckets are still split, all pairs
+   gives n - 1 pairs with its busiest node, then pairs with sixteen random nodes for each member that did
+   not join that node's component. Of the nodes whose buckets are still split, all pairs
    that a prefix filter over their rarest shingles leaves follow, so none in a crowded bucket is missed.
    A pair is looked at only if its facts allow it: each node has 1024 parity bits of its shingles, and two
    sets differ in at least as many shingles as their bits do, and by at least the difference of their sums.
@@ -48,8 +48,8 @@ COUNTERS = 1 << 18
 _RANGES = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _LAST = (1 << 63) - 1
-_DRAWS = 8       # random nodes of a bucket that an unlinked member is tested against in one round
-_ROUNDS = 2      # rounds of such draws, before all pairs that are still apart are tested
+_DRAWS = 16      # random nodes of a bucket that an unlinked member is tested against in one round
+_ROUNDS = 1      # rounds of such draws, before all pairs that are still apart are tested
 _BITS = 1024     # parity bits of a node
 _BLOCK = 24_000  # shingles handled at once, so that work arrays stay in the cache
 
@@ -388,7 +388,7 @@ def _left_apart(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
 def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame | None:
     """(node, label) of the nodes that have a verified link, or nothing.
 
-    The first round tests every member of a bucket against its busiest node. In up to ``_ROUNDS``
+    The first round tests every member of a bucket against its busiest node. In ``_ROUNDS``
     further ones, while links are found, those that are not in that node's component are tested
     against a few random nodes of each of their buckets. These rounds only join what is joined
     easily: at last every pair that is still apart and can be similar is tested."""

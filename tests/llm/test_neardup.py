@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from shelfwise.llm import neardup, queries
 from shelfwise.llm.components import components
+from shelfwise.llm.shared import settle
 from tests.llm.conftest import SMALL
 
 
@@ -137,3 +138,14 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "7", "None"])
     assert neardup.classes(none).count() == 0 and neardup.representatives(none).count() == 0
+
+
+def test_a_step_of_components_is_one_join_and_one_grouping(spark):
+    edges = settle(spark.createDataFrame([(i, 50) for i in range(100) if i != 50], "a long, b long"))
+    spark.sparkContext.setJobGroup("components", "a star: one step, and one that moves nothing")
+    labels = components(edges)
+    status = spark.sparkContext.statusTracker()
+    stages = {k for j in status.getJobIdsForGroup("components") for k in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert {r.label for r in labels.collect()} == {0}
+    assert len(stages) <= 14  # the driver keeps a record of every task
