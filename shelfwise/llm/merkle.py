@@ -1,13 +1,15 @@
 """A Merkle manifest of the documents: leaves, subroots by language, one root, and a proof per document.
 
 Concatenated levels: a group's leaves are ranked and cut into aligned blocks of ``FANOUT ** LEVELS``
-nodes. A block keeps each of its levels as one string of hexadecimal digests (stored as its bytes, so a
+nodes. A block keeps each of its levels as one string of hexadecimal digests (as its bytes, so a
 place in it is found without walking the text). Fixed-width substrings of that string are the runs to
 hash into parents, and the substrings on both sides of a node are its siblings. The blocks' roots are the
-nodes of the next round, until each group has one; the groups' roots are the nodes of one last tree.
+nodes of the next round, until each group has one; the groups' roots are the nodes of one last tree. Then
+the rounds are gone through downwards: a block takes over the path above it and hands its own on.
 
-Only digests are shuffled, never texts. A block is a bounded group whatever the language's share, ranks
-come from a range partitioning, and each round has ``FANOUT ** LEVELS`` times fewer rows.
+Only digests are shuffled, never texts, and only digests are stored: paths, many times as long, are made
+from them while the rows go by. A block is a bounded group whatever the language's share, ranks come from
+a range partitioning, and each round has ``FANOUT ** LEVELS`` times fewer rows.
 
 Cases: a null field reads ``-``; a null language is a group of its own and comes first. Leaves of a group
 ascend by doc_id (nulls last), then by digest, so repeated rows are neighbouring equal leaves with proofs
@@ -27,7 +29,7 @@ from shelfwise.llm.shared import kept_columns, settle
 from shelfwise.operators.common import global_rank
 
 FANOUT = 8
-LEVELS = 3  # of a block
+LEVELS = 2  # of a block; a reader holds 4,096 stored blocks at once, so they are small
 WIDTH = 64  # hexadecimal digits of a digest
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _RUN = FANOUT * WIDTH
@@ -58,40 +60,51 @@ def _segment(k: int) -> str:
             f"substring(level{k}, cast({node} * {WIDTH} + {WIDTH + 1} as int), cast(({FANOUT - 1} - {at}) * {WIDTH} as int)) as right)")
 
 
-def _blocks(nodes: DataFrame, carried: Sequence[str]) -> DataFrame:
-    """(group, block, n_blocks, root, members) of nodes (group, pos, n, node, carried columns): a row per
-    aligned block, whose members hold their path of siblings up to the block's root."""
-    size = FANOUT ** LEVELS
-    rows = nodes.groupBy("group", F.expr(f"pos div {size}").alias("block")).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "node", *carried))).alias("rows"))
-    rows = rows.withColumn("level0", F.expr("cast(array_join(transform(rows, x -> x.node), '') as binary)"))
+def _levels(blocks: DataFrame) -> DataFrame:
+    """Adds the block's levels as strings, and how many of them its group needs."""
+    blocks = blocks.withColumn("level0", F.expr("cast(array_join(transform(rows, x -> x.node), '') as binary)"))
     # A group of one block stops as soon as one node is left; the blocks of a larger one all have LEVELS levels.
     depth = F.lit(LEVELS)
     for k in reversed(range(LEVELS)):
         depth = F.when(F.col("n") <= FANOUT ** k, k).otherwise(depth)
-    rows = rows.withColumn("depth", depth)
+    blocks = blocks.withColumn("depth", depth)
     for k in range(LEVELS):
-        rows = rows.withColumn(f"level{k + 1}", F.when(F.col("depth") > k, _parents(f"level{k}")).otherwise(F.col(f"level{k}")))
-    path = f"slice(array({', '.join(_segment(k) for k in range(LEVELS))}), 1, depth)"
-    own = "".join(f", x.{c} as {c}" for c in carried)
-    return rows.select("group", "block", F.expr(f"(n - 1) div {size} + 1").alias("n_blocks"), F.col(f"level{LEVELS}").cast("string").alias("root"),
-                       F.expr(f"transform(rows, (x, i) -> struct(x.pos as pos, x.node as node{own}, {path} as path))").alias("members"))
+        blocks = blocks.withColumn(f"level{k + 1}", F.when(F.col("depth") > k, _parents(f"level{k}")).otherwise(F.col(f"level{k}")))
+    return blocks
+
 
+def _blocks(nodes: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """(group, block, n, rows, root) of nodes (group, pos, n, node, carried columns): a row per aligned block."""
+    rows = nodes.groupBy("group", F.expr(f"pos div {FANOUT ** LEVELS}").alias("block")).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "node", *carried))).alias("rows"))
+    return _levels(rows).select("group", "block", "n", "rows", F.col(f"level{LEVELS}").cast("string").alias("root"))
 
-def _climb(nodes: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """(group, block, members, above, top): the blocks of the nodes, with the path above each block and the group's root."""
-    blocks = settle(_blocks(nodes, carried))
-    if (blocks.agg(F.max("n_blocks")).first()[0] or 0) <= 1:
-        return blocks.select("group", "block", "members", F.expr(_NO_PATH).alias("above"), F.col("root").alias("top"))
-    upper = _members(_climb(blocks.select("group", F.col("block").alias("pos"), F.col("n_blocks").alias("n"), F.col("root").alias("node"))))
-    return blocks.join(upper.select("group", F.col("pos").alias("block"), F.col("path").alias("above"), "top"), ["group", "block"]).select(
-        "group", "block", "members", "above", "top")
 
+def _climb(nodes: DataFrame, carried: Sequence[str] = ()) -> list[DataFrame]:
+    """The stored blocks of every round, lowest first; in the last one each group has a single block."""
+    rounds = []
+    while True:
+        rounds.append(settle(_blocks(nodes, carried)))
+        nodes, carried = rounds[-1].select("group", F.col("block").alias("pos"), F.expr(f"(n - 1) div {FANOUT ** LEVELS} + 1").alias("n"),
+                                           F.col("root").alias("node")), ()
+        if (nodes.agg(F.max("n")).first()[0] or 0) <= 1:
+            return rounds
 
-def _members(blocks: DataFrame, *more: str) -> DataFrame:
-    """One row per member, its path carried on to the group's root."""
-    inner = blocks.select("group", "above", "top", *more, F.inline("members"))
-    return inner.withColumn("path", F.concat("path", "above")).drop("above")
+
+def _descend(rounds: Sequence[DataFrame], tops: DataFrame) -> DataFrame:
+    """One row per node of the lowest round, with its ``path``: ``tops`` has a row per group with the path above
+    the group and columns to hand down. Every join is by block, so no group is in one task, and merges, as a
+    round's paths are too many to broadcast."""
+    more = [c for c in tops.columns if c not in ("group", "path")]
+    path = f"slice(array({', '.join(_segment(k) for k in range(LEVELS))}), 1, depth)"
+    nodes = tops.withColumn("pos", F.lit(0).cast("long"))
+    for blocks in reversed(rounds):
+        above = nodes.select("group", F.col("pos").alias("block"), F.col("path").alias("above"), *more)
+        own = "".join(f"x.{f} as {f}, " for f in blocks.schema["rows"].dataType.elementType.names)
+        inner = _levels(blocks.drop("root").join(above.hint("merge"), ["group", "block"])).select(
+            "group", "above", *more, F.expr(f"inline(transform(rows, (x, i) -> struct({own}{path} as path)))"))
+        nodes = inner.withColumn("path", F.concat("path", "above")).drop("above")
+    return nodes
 
 
 def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
@@ -104,14 +117,13 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     leaves = rows.select(F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), F.col("lang").cast("string"))).alias("group"), "doc_id",
                          leaf(now).alias("node"), F.when(text.isNotNull(), leaf({**now, "text": text})).alias("changed"))
     ranked = global_rank(leaves, [F.asc_nulls_last("doc_id"), F.col("node"), F.col("changed")], ["group"])
-    blocks = _climb(ranked.withColumnsRenamed({"rank_idx": "pos", "rank_n": "n"}), ["doc_id", "changed"])
-    tops = global_rank(blocks.where("block = 0").select("group", F.col("top").alias("node")), [F.col("group")])
+    rounds = _climb(ranked.withColumnsRenamed({"rank_idx": "pos", "rank_n": "n"}), ["doc_id", "changed"])
+    tops = global_rank(rounds[-1].select("group", F.col("root").alias("node")), [F.col("group")])
     groups = _climb(tops.select(F.lit("").alias("group"), F.col("rank_idx").alias("pos"), F.col("rank_n").alias("n"), "node",
                                 F.col("group").alias("of")), ["of"])
-    roots = settle(_members(groups).select(F.col("of").alias("group"), F.col("path").alias("last"), F.col("top").alias("root")))
-    whole = _members(blocks.join(roots, "group"), "last", "root")
-    return whole.select("doc_id", F.col("node").alias("leaf"), "changed", F.concat("path", "last").alias("path"),
-                        F.col("top").alias("subroot"), "root")
+    roots = _descend(groups, groups[-1].select("group", F.expr(_NO_PATH).alias("path"), "root"))
+    whole = _descend(rounds, roots.select(F.col("of").alias("group"), "path", F.col("node").alias("subroot"), "root"))
+    return whole.select("doc_id", F.col("node").alias("leaf"), "changed", "path", "subroot", "root")
 
 
 def folded(leaf_digest: Column, path: Column) -> Column:

@@ -129,9 +129,11 @@ def global_rank(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (
         one_row = placed.agg(F.count(F.lit(1)).alias("rank_n"))
         out = ranked.crossJoin(F.broadcast(one_row)).withColumn("rank_idx", F.col("_rank"))
     else:
-        spans = ranked.groupBy(*group).agg(F.min("_rank").alias("_start"),
-                                           F.count(F.lit(1)).alias("rank_n"))
-        out = ranked.join(spans, list(group)).withColumn("rank_idx", F.col("_rank") - F.col("_start"))
+        # A row per group and partition: rows meet their group's span by both, so a large group stays spread.
+        pieces = ranked.groupBy(*group, "_part").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        spans = pieces.groupBy(*group).agg(F.min("_first").alias("_start"), F.sum("_n").alias("rank_n"))
+        spans = pieces.select(*group, "_part").join(spans, list(group))
+        out = ranked.join(spans, [*group, "_part"]).withColumn("rank_idx", F.col("_rank") - F.col("_start"))
     return out.drop("_id", "_part", "_off", "_rank", "_start")
 
 

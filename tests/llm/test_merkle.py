@@ -59,6 +59,21 @@ def test_many_languages_and_rounds(spark, monkeypatch):
     assert proofs(merkle.manifest(spark.createDataFrame(rows))) == by_force(rows)
 
 
+def test_stored_blocks_stay_narrow(spark, monkeypatch):
+    """A reader holds 4,096 stored rows at once: with all paths in them, a block of many leaves took 0.8 MB."""
+    widths, store = [], merkle.settle
+
+    def watched(df):
+        out = store(df)
+        widths.append(out.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0])
+        return out
+
+    monkeypatch.setattr(merkle, "settle", watched)
+    docs = spark.range(1500).selectExpr("id as doc_id", "'s' as source", "'en' as lang", "1L as n_chars", "cast(id as string) as text")
+    assert merkle.manifest(docs, F.upper("text")).count() == 1500
+    assert widths and max(widths) < 32_000
+
+
 def test_a_proof_holds_for_its_leaf_only(spark):
     rows = [(k, "s", "en" if k % 4 else "fr", 3, f"Text {k}") for k in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")

@@ -22,6 +22,19 @@ def test_global_rank_equals_sorted_order_with_a_hot_group(spark, make):
         assert whole[r[1]] == i
 
 
+def test_global_rank_spreads_a_group_that_holds_all_rows(spark, make):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("false", "-1", "16")):
+            spark.conf.set(k, v)
+        ranked = common.global_rank(make("g string, k int", [("all", i) for i in range(4000)]), [F.asc("k")], ["g"])
+        parts = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == 4000 and max(parts) < 2000
+
+
 def test_fraction_class_cut_offs_are_half_even_with_minimum_sizes(spark):
     def classes(n):
         df = spark.range(n).select(common.fraction_class(F.col("id"), F.lit(n), 0.2, 0.5).alias("c"), "id").orderBy("id")
