@@ -279,7 +279,9 @@ def churn_summary(flags: DataFrame) -> DataFrame:
 
 
 def churn_tiers(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("customers"), F.bround(F.avg("churn_score"), 2).alias("avg_score"),
+    # Scores have two decimals; their exact sum keeps an average on the edge of rounding from depending on the order of rows.
+    average = total(F.col("churn_score").cast("decimal(12,2)")) / F.count("churn_score")
+    return scores.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("customers"), F.bround(average, 2).alias("avg_score"),
                                            F.bround(total("revenue_90d"), 2).alias("revenue_90d"))
 
 

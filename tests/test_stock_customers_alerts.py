@@ -4,6 +4,7 @@ from datetime import timedelta
 import pytest
 
 from shelfwise.operators import accuracy, alerts, customers, forecast, purchasing, stock
+from shelfwise.plans import reports
 from shelfwise.streaming import incremental
 from tests.conftest import AS_OF
 
@@ -88,6 +89,13 @@ def test_churn_scores_halved_stopped_and_new(make):
     assert got["half"].order_count_90d == 5 and got["half"].frequency_score == 50.0 and got["half"].monetary_score == 40.0
 
 
+def test_average_churn_score_does_not_depend_on_the_order_of_rows(make):
+    scores = [1.6, 37.6, 15.98, 10.4, 17.58, 11.2, 31.6, 10.85, 10.4, 34.94]  # 182.15 in all; sums of doubles end beside it in some orders
+    for order in (scores, sorted(scores), sorted(scores, reverse=True)):
+        rows = make("risk_tier string, churn_score double, revenue_90d double", [("LOW", x, 1.0) for x in order]).coalesce(1)
+        assert [tuple(r) for r in reports.churn_tiers(rows).collect()] == [("LOW", 10, 18.22, 10.0)]
+
+
 def test_churn_flag_segments(make):
     ddl = "customer_id string, location_id string, is_commercial boolean, baseline_sales double, baseline_tx int, baseline_months int, comparison_sales double, last_purchase_date date"
     base = 18 * 1000.0
